@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +57,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def keep_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns, one row for each distinct text: the one with the largest id; of rows that repeat id and text, one."""
-    key = "__lodestone_digest"
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keepers = exact_dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias(key)).distinct()
-    tagged = df.withColumn(key, F.unhex(F.sha2(low, 256)))
-    out = tagged.join(keepers.withColumnRenamed(key, f"{key}2"), tagged[id_col].eqNullSafe(F.col("__lodestone_id")) & (F.col(key) == F.col(f"{key}2")), "left_semi")
-    return out.dropDuplicates([id_col, key]).select(*df.columns)
+
+    @F.pandas_udf("binary")
+    def digest(text: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256((t or "").encode().lower()).digest() for t in text], dtype=object)
+
+    keepers = exact_dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_kept")).distinct()
+    tagged = df.withColumn("__lodestone_digest", digest(F.col(text_col).cast("string")))
+    out = tagged.join(keepers, tagged[id_col].cast("long").eqNullSafe(F.col("__lodestone_id")) & (F.col("__lodestone_digest") == F.col("__lodestone_kept")), "left_semi")
+    return out.dropDuplicates([id_col, "__lodestone_digest"]).select(*df.columns)

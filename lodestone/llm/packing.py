@@ -25,7 +25,7 @@ from .common import text_pass, texts, written
 #: White space beside white space; elsewhere the pre-tokenizer always cuts before a single space.
 _RUN = re.compile(r"\s\s")
 #: Words that a worker remembers the ids of.
-CACHE = 200_000
+CACHE = 400_000
 
 
 @lru_cache(maxsize=2)

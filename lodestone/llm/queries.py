@@ -7,51 +7,106 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, licenses, media, pii, sentencepiece_codec, toxicity
 from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .sharding import shard
 from .simhash import near_groups
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on all machines."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the number and SHA-256 of its ids, and the SHA-256 of what they decode to."""
+    model = vocabulary(PIECES)
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(documents(spark, sf_dir), model), model)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(VOCABULARY))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(documents(spark, sf_dir)))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(rows.unionByName(more), vocabulary(VOCABULARY)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_exact_dedup, op4_best_fit_packing, op6_sharding, op10_simhash)
+    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash)
     return {f.__name__: f for f in own}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _escaped_length(column: str) -> str:
+    """Characters of the escaped column: one more for each backslash and for each control string (no two of which overlap)."""
+    strings = [(s, s) for s in chat.CONTROL] + [("\\", "\\")]
+    more = " + ".join(f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}" for s, _ in strings)
+    return f"(length({column}) + {more})"
+
+
 def oracle_sql() -> dict[str, str]:
+    marks = sum(map(len, (chat.TURN, chat.TEXT, chat.END)))
     return {
         "op2_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOW} AS low FROM documents),
             g AS (SELECT low, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY low)
             SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(low) AS text_sha256
             FROM d JOIN g USING (low)""",
+        "op8_chat": f"""
+            WITH r AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+                UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            g AS (
+                SELECT conv_id, count(*)::BIGINT AS n_turns,
+                    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                    sum({marks} + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
+                FROM r GROUP BY conv_id)
+            SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     }

@@ -190,3 +190,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = written(named.join(least, "label").select("fp", "component_id"), "components")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """df's columns; of each group of near_groups() the rows whose id names it. Rows that share an id stand or fall together."""
+    groups = near_groups(df, id_col, text_col, **how)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestone_id")).distinct()
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(F.col("__lodestone_id")), "left_semi")
