@@ -134,13 +134,13 @@ def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, id
     joined = rows.join(large.select("digest", "pieces"), "digest", "left")
     row_hash = F.xxhash64("doc_id", "digest", "size")
     item = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("digest"), F.lit(bundles)).cast("string")).otherwise(F.concat_ws(":", F.hex("digest"), F.pmod(row_hash, F.col("pieces"))))
-    # Within an item, rows are numbered by sub-group of some 10,000, so no window sees a whole hot group.
+    # Within an item, rows are numbered by sub-group of some 1,000, so no window sees a whole hot group.
     tagged = written(joined.select("doc_id", "size", "text_crc32", item.alias("item")), "tagged")
     items = written(tagged.groupBy("item").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "items")
     placed = written(_placed(items, room, shards, fineness), "placed")
     subs = tagged.join(placed, "item").withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("subs")))
     sizes = subs.groupBy("shard", "item", "sub").agg(F.count(F.lit(1)).alias("m"))
-    # A row for each sub-group: shards * fineness of them, and one more for each 10,000 rows.
+    # A row for each sub-group: shards * fineness of them, and one more for each 1,000 rows.
     before = sizes.withColumn("first", F.sum("m").over(Window.partitionBy("shard").orderBy("item", "sub").rowsBetween(Window.unboundedPreceding, -1))).select("item", "sub", F.coalesce("first", F.lit(0)).alias("first"))
     place = F.row_number().over(Window.partitionBy("item", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
     out = subs.withColumn("place", place).join(before, ["item", "sub"])
@@ -149,7 +149,7 @@ def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, id
 
 def _placed(items: DataFrame, room: int, shards: int | None, fineness: int) -> DataFrame:
     """item, subs, shard. A task packs the items of 64 shards at most, some 64 * fineness of them."""
-    subs = F.ceil(F.col("n") / 10_000).cast("long").alias("subs")
+    subs = F.ceil(F.col("n") / 1_000).cast("long").alias("subs")
     if shards:
         parts = max(1, -(-shards // 64))
     else:
