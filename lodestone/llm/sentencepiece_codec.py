@@ -26,7 +26,9 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: The same, for models without a piece that holds a newline: no merge reaches over one.
 _LINES = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+(?=\n|$)|\n")
 #: Words that a worker remembers the ids of.
-CACHE = 300_000
+CACHE = 150_000
+#: Pairs of neighbours, and characters of a batch's texts, that it holds at once.
+PAIRS, PART_CHARS = 400_000, 2_000_000
 
 
 class Codec:
@@ -46,10 +48,12 @@ class Codec:
             self.spell[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.spell[i] = bytes([b])
-        self.tails = {p[k:]: False for p in self.pieces for k in range(len(p) - 1)} | {p: True for p in self.pieces if len(p) > 1}  # ends of pieces: is it a piece
+        self.names = list(self.rank)  # by rank
+        # Ends of pieces of two characters or more: the rank of the piece that it is, or -1.
+        self.tails = {p[k:]: -1 for p in self.pieces for k in range(len(p) - 1)} | {p: r for p, r in self.rank.items() if len(p) > 1}
         self.newline = not any("\n" in p for p in self.pieces)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -65,47 +69,55 @@ class Codec:
                 return parts
             parts[at] += parts.pop(at + 1)
 
-    def _stays(self, piece: str) -> bool:
+    def _stays(self, piece: int) -> bool:
         known = self.alone.get(piece)
         if known is None:
-            known = self.alone[piece] = self.merged(piece) == [piece]
+            known = self.alone[piece] = len(self.merged(self.names[piece])) == 1
         return known
 
-    def _neighbours(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def _neighbours(self, a: int, b: int) -> bool:
+        """Do the pieces of ranks a and b, merged by themselves, stay these two? A character that is no piece merges with nothing."""
+        if a < 0:
+            return self._stays(b)
+        key = a << 20 | b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            left, right = self.names[a], self.names[b]
+            known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
     def segment_sorted(self, words: list[str]):
         """Yields (word, its pieces) for sorted distinct words; the table reaches over the prefix shared with the word before."""
-        last: list[str] = []  # last[i]: the last piece of the encoding of word[:i + 1]
-        before, tails, pairs = "", self.tails.get, self.pairs.get
+        last: list[int] = []  # last[i]: the rank of the last piece of the encoding of word[:i + 1], -1 for a character that is none
+        sizes: list[int] = []  # its length
+        before, tails, one, pairs = "", self.tails.get, self.rank.get, self.pairs
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared:]
+            del last[shared:], sizes[shared:]
             for i in range(shared, len(word)):
-                found = word[i]
+                found, size = one(word[i], -1), 1
                 for at in range(i - 1, -1, -1):
-                    piece = word[at : i + 1]
-                    whole = tails(piece)
-                    if whole is None:
+                    piece = tails(word[at : i + 1])
+                    if piece is None:
                         break
-                    if whole:
-                        fits = pairs((last[at - 1], piece)) if at else self._stays(piece)
-                        if fits or fits is None and self._neighbours(last[at - 1], piece):
-                            found = piece
+                    if piece >= 0:
+                        left = last[at - 1] if at else -1
+                        fits = pairs.get(left << 20 | piece) if left >= 0 else None
+                        if fits or fits is None and self._neighbours(left, piece):
+                            found, size = piece, i + 1 - at
                             break
                 last.append(found)
+                sizes.append(size)
             before = word
             out, i = [], len(word)
             while i:
-                out.append(last[i - 1])
-                i -= len(out[-1])
+                size = sizes[i - 1]
+                out.append(word[i - size : i])
+                i -= size
             yield word, out[::-1]
 
     def _ids(self, parts: list[str]) -> bytes:
@@ -119,6 +131,16 @@ class Codec:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
+        out, part, chars = [], [], 0
+        for text in batch:
+            part.append(text)
+            chars += len(text)
+            if chars >= PART_CHARS:
+                out += self._encode(part)
+                part, chars = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         unit = _LINES if self.newline else _UNIT
         cut = [unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
         known = self.words
