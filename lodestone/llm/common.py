@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text that a Python worker holds as Python objects at once.
-SLICE_BYTES = 4 << 20
+#: Text that a Python worker holds as Python objects at once; rows of an Arrow batch, unless the session says otherwise.
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
 @lru_cache(maxsize=1)
@@ -34,6 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches of whole texts fit an executor's memory, where the session still has Spark's own default of 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """At the end of a task: workers are reused, so what it held goes back to the machine and not to the worker's next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -74,7 +93,10 @@ def text_pass(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
         for part in slices(batches):
             out = work(part)
             yield pa.record_batch([pa.array(out[n], type=arrow.field(n).type) if not isinstance(out[n], pa.Array) else out[n].cast(arrow.field(n).type) for n in names], schema=arrow)
+        del work
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_pass, utf8, written
+from .common import small_batches, text_pass, utf8, written
 
 
 def _normalised(df: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
@@ -62,6 +62,7 @@ def keep_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def digest(text: pd.Series) -> pd.Series:
         return pd.Series([hashlib.sha256((t or "").encode().lower()).digest() for t in text], dtype=object)
 
+    small_batches(df.sparkSession)
     keepers = exact_dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_kept")).distinct()
     tagged = df.withColumn("__lodestone_digest", digest(F.col(text_col).cast("string")))
     out = tagged.join(keepers, tagged[id_col].cast("long").eqNullSafe(F.col("__lodestone_id")) & (F.col("__lodestone_digest") == F.col("__lodestone_kept")), "left_semi")

@@ -28,8 +28,8 @@ from .common import text_pass, texts, written
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters that only some regex libraries call white space.
 _ODD = re.compile("[\x1c-\x1f\x85]")
-#: Strings that a worker remembers the ids of.
-CACHE = 500_000
+#: Strings that a worker remembers the ids of; characters of texts that it cuts at once.
+CACHE, PART_CHARS = 350_000, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +55,16 @@ class WordIds:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        out, part, chars = [], [], 0
+        for text in batch:
+            part.append(text)
+            chars += len(text)
+            if chars >= PART_CHARS:
+                out += self._known(part)
+                part, chars = [], 0
+        return out + self._known(part)
+
+    def _known(self, batch: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE:
             known.clear()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_pass, texts
+from .common import small_batches, text_pass, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -235,6 +235,7 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(_scores(Grammar(model.insults), model, [t or "" for t in text]))
 
+    small_batches(df.sparkSession)
     return df.filter(scored(F.col(text_col).cast("string")) < limit)
 
 
