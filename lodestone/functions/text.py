@@ -100,7 +100,7 @@ def safe_title(title: Column, fallback: Column) -> Column:
 def content_type(name: Column) -> Column:
     """Kind of a capture by its file extension."""
     ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    kinds = {"text": ("txt", "md", "markdown", "rst"), "audio": ("mp3", "wav", "m4a", "ogg", "flac", "aac"), "image": ("jpg", "jpeg", "png", "gif", "webp", "heic"), "video": ("mp4", "mov", "avi", "mkv", "webm"), "document": ("pdf", "doc", "docx", "odt")}
+    kinds = {"text": ("txt",), "markdown": ("md", "markdown"), "audio": ("mp3", "wav", "m4a", "ogg", "flac"), "image": ("jpg", "jpeg", "png", "gif", "webp", "bmp"), "pdf": ("pdf",), "json": ("json",)}
     out = F.lit("other")
     for kind, names in kinds.items():
         out = F.when(ext.isin(*names), kind).otherwise(out)

@@ -211,7 +211,7 @@ def path_dedupe_suffix(spark, d):
 
 
 def capture_types(spark, d):
-    kinds = F.array(*map(F.lit, ("md", "TXT", "mp3", "png", "pdf", "mov", "bin")))
+    kinds = F.array(*map(F.lit, ("md", "TXT", "mp3", "png", "pdf", "json", "bin")))
     rows = model.files(spark, d).select("file_id", F.concat("title", F.lit("."), F.element_at(kinds, (F.col("file_id") % 7 + 1).cast("int"))).alias("name"))
     return rows.groupBy(content_type(F.col("name")).alias("content_type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -260,6 +260,6 @@ QUERIES = {
     "salience_lines": (salience_lines, f"{model.with_sql('lines')}, r AS (SELECT file_id, line, trim(regexp_replace(text, '\\b[Ww]hat of\\b|\\b[Bb]y the\\b', 'next', 'g')) AS bare FROM lines), s AS (SELECT file_id, line, bare, lower(replace(bare, '’', chr(39))) AS low FROM r) SELECT file_id, line FROM s WHERE bare != '' AND (contains(bare, '?') OR bare[1] IN ('-', '*', '•') OR contains(low, 'i realized') OR contains(low, 'the point is') OR contains(low, 'what i''m saying') OR contains(low, 'decision') OR contains(low, 'so i''m going to') OR contains(low, 'next') OR contains(low, 'action') OR contains(low, 'summary'))"),
     "safe_titles": (safe_titles, rf"{_M}, t AS (SELECT conv_id, turn, trim(regexp_replace(content[:40], '[^\p{{L}}\p{{N}} _-]', '', 'g')) AS title FROM m) SELECT conv_id, turn, CASE WHEN title = '' THEN 'chat-' || conv_id ELSE title END AS title FROM t"),
     "path_dedupe_suffix": (path_dedupe_suffix, f"{_M}, t AS (SELECT conv_id, turn, 'chats/' || role AS folder, regexp_replace(content, '[^a-zA-Z ]', '', 'g')[:3] AS title FROM m WHERE turn < 2), n AS (SELECT *, row_number() OVER (PARTITION BY folder, title ORDER BY conv_id, turn) AS n FROM t) SELECT conv_id, turn, folder || '/' || title || (CASE WHEN n > 1 THEN '-' || n ELSE '' END) || '.md' AS path FROM n"),
-    "capture_types": (capture_types, "SELECT ['text', 'text', 'audio', 'image', 'document', 'video', 'other'][doc_id % 7 + 1] AS content_type, count(*) AS n FROM documents GROUP BY 1"),
+    "capture_types": (capture_types, "SELECT ['markdown', 'text', 'audio', 'image', 'pdf', 'json', 'other'][doc_id % 7 + 1] AS content_type, count(*) AS n FROM documents GROUP BY 1"),
     "marker_block_status": (marker_block_status, f"WITH {_MARKERS} SELECT file_id, status, md5(text) AS md5 FROM t"),
 }
