@@ -40,7 +40,7 @@ def excluded(path: Column, globs: list[str]) -> Column:
 
 
 def read_vault(spark: SparkSession, root: str, exclude: list[str] | None = None, pattern: str = "*.md") -> DataFrame:
-    """(rel_path, title, mtime_ns, size_bytes, content, content_hash) of the folder's files; names that begin with a dot or underscore are hidden from Spark."""
+    """(rel_path, title, mtime_ns, size_bytes, content, content_hash) of the folder's files; names that begin with a dot or underscore are hidden from Spark, and so are empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split("://")[-1].lstrip("/").rstrip("/")
     path = F.url_decode(F.replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), F.lit("+"), F.lit("%2B")))
