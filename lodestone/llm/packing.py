@@ -10,68 +10,62 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from functools import lru_cache
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_pass, texts, written
 
-#: The byte-level pre-tokenizer's own pattern: it cuts a text into the strings that are encoded each for itself.
-_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters that only some regex libraries call white space.
-_ODD = re.compile("[\x1c-\x1f\x85]")
-#: Strings that a worker remembers the ids of; characters of texts that it cuts at once.
-CACHE, PART_CHARS = 350_000, 1_000_000
+# The pattern by which byte-level vocabularies cut a text into the strings that are merged each for itself.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that the encoders call differently; a long run of white space.
+_ODD, _BLANK = "\x1c\x1d\x1e\x1f\x85", re.compile(r"\s{200}")
+
+
+def _hard(text: str) -> bool:
+    """Is there a stretch that only the slower encoder takes in reasonable time, or a character that they call differently?"""
+    return any(c in text for c in _ODD) or len(text) >= 200 and (_BLANK.search(text) is not None or max(map(len, text.split()), default=0) >= 2000)
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _encoders(path: str):
+    """The tokenizer of a file, and a faster encoder of the same vocabulary and pattern."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    # Byte-level vocabularies write each byte as a printable character: itself where that is one, else from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spell = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(map(spell.__getitem__, t)): i for t, i in whole.get_vocab().items() if t not in special}
+    return whole, tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding each whole text.
+class TokenIds:
+    """Token ids of texts as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text.
 
-    A text is cut as the pre-tokenizer cuts it, and the ids of each string come from a bounded memory of those seen before.
+    The ids are those of the tokenizer's file. Both encoders read its vocabulary; the faster one, which is the usual one,
+    leaves texts with extreme stretches to the other.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.whole, self.fast = _encoders(path)
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        out, part, chars = [], [], 0
+        out = []
         for text in batch:
-            part.append(text)
-            chars += len(text)
-            if chars >= PART_CHARS:
-                out += self._known(part)
-                part, chars = [], 0
-        return out + self._known(part)
-
-    def _known(self, batch: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        cut = [[t] if _ODD.search(t) else _CUT.findall(t) for t in batch]
-        missing = list(set(chain.from_iterable(cut)).difference(known))
-        known.update(zip(missing, self._encode(missing), strict=True))
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            ids = self.whole.encode(text, add_special_tokens=False).ids if _hard(text) else self.fast.encode_ordinary(text)
+            out.append(np.array(ids, "<u4").tobytes())
+        return out
 
 
 def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -83,12 +77,12 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: i
     last = np.array([end_id], "<u4").tobytes()
 
     def make():
-        words, row = WordIds(vocabulary), count(TaskContext.get().partitionId() << 33)
+        encoder, row = TokenIds(vocabulary), count(TaskContext.get().partitionId() << 33)
 
         def work(batch):
             out = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32", "ids")}
             ids = batch.column(0).to_pylist()
-            for doc, code in zip(ids, words.encode(texts(batch.column(1))), strict=True):
+            for doc, code in zip(ids, encoder.encode(texts(batch.column(1))), strict=True):
                 code += last
                 n = len(code) // 4
                 at, k, own = 0, 0, next(row)
