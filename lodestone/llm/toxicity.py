@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
 
         return work
 
-    rows = np.array(text_pass(sample, ["text", "toxic"], make, f"toxic int, {names}").orderBy("toxic", *FEATURES).collect(), float)
+    rows = np.array(text_pass(sample, ["text", "toxic"], make, f"toxic int, {names}").collect(), float)
+    rows = rows[np.lexsort(rows.T)]  # sums of floats come out the same whatever the order of tasks
     mean, scale = rows[:, 1:].mean(axis=0), rows[:, 1:].std(axis=0) + 1e-6
     x = np.column_stack([np.ones(len(rows)), (rows[:, 1:] - mean) / scale])
     return Model(insults, _fit(x, rows[:, 0]).tolist(), mean.tolist(), scale.tolist())
