@@ -72,14 +72,15 @@ class Formatter:
     def part(self, turns: list[tuple[str, str]]) -> dict:
         text, spans = render(turns)
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
-        mask = bytearray(len(encoded.ids))
+        ids, offsets = encoded.ids, encoded.offsets  # each access makes the list anew
+        mask = bytearray(len(ids))
         loss = []
         own = [s for s, (role, _) in zip(spans, turns, strict=True) if role == "assistant"]
-        for (a, b), (i, j) in zip(own, masked_tokens(encoded.offsets, own), strict=True):
+        for (a, b), (i, j) in zip(own, masked_tokens(offsets, own), strict=True):
             if i < j:
                 mask[i:j] = b"\1" * (j - i)
-                loss.append(unescape(text[max(a, encoded.offsets[i][0]) : min(b, encoded.offsets[j - 1][1])]))
-        return {"text": text, "spans": spans, "ids": encoded.ids, "mask": bytes(mask), "loss": loss}
+                loss.append(unescape(text[max(a, offsets[i][0]) : min(b, offsets[j - 1][1])]))
+        return {"text": text, "spans": spans, "ids": ids, "mask": bytes(mask), "loss": loss}
 
 
 _TEXTS = "conv_id long, part int, text string, ids array<int>, loss_mask binary"
