@@ -57,17 +57,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _size(column: pa.Array) -> int:
-    return column.nbytes
-
-
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about SLICE_BYTES at most, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        total = sum(_size(c) for c in batch.columns)
+        total = sum(c.nbytes for c in batch.columns)
         step = n if total <= SLICE_BYTES else max(1, n * SLICE_BYTES // total)
         for at in range(0, n, step):
             yield batch.slice(at, min(step, n - at))

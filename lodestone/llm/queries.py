@@ -84,8 +84,7 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 def _escaped_length(column: str) -> str:
     """Characters of the escaped column: one more for each backslash and for each control string (no two of which overlap)."""
-    strings = [(s, s) for s in chat.CONTROL] + [("\\", "\\")]
-    more = " + ".join(f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}" for s, _ in strings)
+    more = " + ".join(f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}" for s in (*chat.CONTROL, "\\"))
     return f"(length({column}) + {more})"
 
 

@@ -156,10 +156,9 @@ def link_forest(fps: DataFrame, errors: int = 4, blocks: int = 6, limit: int = 1
     """Links (a, b) between distinct fingerprints of column fp that join all that differ in at most `errors` bits."""
 
     def key(t: int, parts: list[tuple[int, int]]):
-        bits, shift = F.lit(t).cast("long"), 0
+        bits = F.lit(t).cast("long")
         for offset, width in parts:
             bits = F.shiftleft(bits, width).bitwiseOR(F.shiftrightunsigned("fp", offset).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-            shift += width
         return bits
 
     tagged = fps.select("fp", F.explode(F.array(*[key(t, p) for t, p in enumerate(_subtrees(errors, blocks))])).alias("task"))
