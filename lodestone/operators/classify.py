@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,10 +81,13 @@ def route_by_hash(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*df.columns, F.when(known, F.col("top")).otherwise("UNKNOWN").alias("label"), confidence.alias("confidence"))
 
 
-def route_hybrid(df: DataFrame, text: str = "text", threshold: float = 0.9, force_model: bool = False) -> DataFrame:
-    """The rules' result where its confidence reaches the threshold, else the model's; engine says whose."""
+def route_hybrid(df: DataFrame, text: str = "text", threshold: float = 0.9, force_model: bool = False, model: Callable[[DataFrame, str], DataFrame] = route_by_hash) -> DataFrame:
+    """The rules' result where its confidence reaches the threshold, else the model's; engine says whose.
+
+    model adds label and confidence to a DataFrame, as a call to a language model would.
+    """
     rules = route_by_rules(df, text).withColumnsRenamed({"label": "rule_label", "confidence": "rule_confidence"})
-    both = route_by_hash(rules, text)
+    both = model(rules, text)
     sure = F.lit(False) if force_model else F.col("rule_confidence") >= threshold
     return both.select(*df.columns, F.when(sure, F.col("rule_label")).otherwise(F.col("label")).alias("label"), F.when(sure, F.col("rule_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.when(sure, "rule").otherwise("model").alias("engine"))
 

@@ -82,11 +82,20 @@ def proposals(df: DataFrame, key: str = "capture_id", text: str = "text") -> Dat
     return rows.select(key, "ord", "p.artifact_type", "p.title", F.round(F.col("own") * F.col("p.share"), 4).alias("confidence"))
 
 
-def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo") -> DataFrame:
-    """Tasks whose text stands in no existing todo text. existing is one row for each todo file, few enough to broadcast (checked)."""
-    if existing.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 todo files: join them by a key first")
-    return found.join(F.broadcast(existing.select(F.col(todo).alias("__todo"))), F.col("__todo").contains(F.col(task)), "left_anti")
+def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", small: int = 1000, gram: int = 8) -> DataFrame:
+    """Tasks whose text stands in no existing todo text.
+
+    Up to `small` todo texts are broadcast. Beyond that, tasks and todo texts meet by the task's first `gram` characters,
+    which stand somewhere in any text that holds the task; the whole task is compared after that. An empty task stands in any text.
+    """
+    texts = existing.select(F.col(todo).alias("__todo")).filter("__todo is not null")
+    if texts.limit(small + 1).count() <= small:
+        return found.join(F.broadcast(texts), F.col("__todo").contains(F.col(task)), "left_anti")
+    windows = [F.expr(f"transform(sequence(1, greatest(char_length(__todo), 1)), i -> substring(__todo, i, {n}))") for n in range(1, gram + 1)]
+    pieces = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *windows)))
+    keyed = texts.select("__todo", F.explode(pieces).alias("__key"))
+    tasks = found.withColumn("__start", F.substring(F.col(task), 1, gram))
+    return tasks.join(keyed, (F.col("__start") == F.col("__key")) & F.col("__todo").contains(F.col(task)), "left_anti").drop("__start")
 
 
 def new_entities(found: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:

@@ -172,7 +172,9 @@ def test_distill(spark):
 def test_new_tasks_and_entities(spark):
     found = spark.createDataFrame([("pay rent",), ("sleep",)], "text string")
     todo = spark.createDataFrame([("- [ ] pay rent now",)], "todo string")
-    assert one(distill.new_tasks(found, todo)) == [("sleep",)]
+    assert one(distill.new_tasks(found, todo)) == one(distill.new_tasks(found, todo, small=0)) == [("sleep",)]
+    odd = spark.createDataFrame([("",), (None,), ("pay rent now",), ("rent",), ("rent nov",), ("now",)], "text string")
+    assert sorted(map(str, one(distill.new_tasks(odd, todo, small=0)))) == sorted(map(str, one(distill.new_tasks(odd, todo)))) == ["('rent nov',)", "(None,)"]
     e = spark.createDataFrame([(1, "Ann", "P"), (2, "ann", "P"), (3, "Bo", "P")], "i int, name string, kind string")
     assert one(distill.new_entities(e, e.filter("i = 3").select("name", "kind"), [F.asc("i")]).select("i")) == [(1,)]
 
