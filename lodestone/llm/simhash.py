@@ -38,8 +38,9 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
         starts, ends = [0, *after[:-words].tolist()], (after[words - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[s:e], seed) for s, e in zip(starts, ends, strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
+    octets, ones = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for at in range(0, len(octets), 1 << 16):
+        ones += np.unpackbits(octets[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
