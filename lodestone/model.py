@@ -44,8 +44,7 @@ def file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, target): one link from each file and another from each even one."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    n = d.agg(F.count(F.lit(1)).alias("n"))
-    both = d.crossJoin(F.broadcast(n))  # one row
+    both = d.withColumn("n", d.agg(F.count(F.lit(1)).alias("n")).scalar())
     first = both.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc"), ((F.col("doc_id") * 31 + 7) % F.col("n")).cast("string")).alias("target"))
     second = both.filter(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc"), ((F.col("doc_id") * 17 + 3) % F.col("n")).cast("string")).alias("target"))
     return first.unionByName(second)

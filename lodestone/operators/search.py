@@ -45,16 +45,17 @@ def allowed(files: DataFrame, file_tags: DataFrame, tags: list[str] | None = Non
 def bm25(chunks: DataFrame, query: str, columns: tuple[str, ...] = ("heading_path", "text")) -> DataFrame:
     """chunks whose columns hold the query as one phrase, with bm25 (lower is better) and hits.
 
-    Statistics (number of chunks, their mean length in tokens, chunks with the phrase) cover all chunks; one row of them is
-    broadcast. A query without tokens matches nothing. Only two numbers a chunk are computed before the filter.
+    Statistics (number of chunks, their mean length in tokens, chunks with the phrase) cover all chunks; a scalar
+    subquery of one row. A query without tokens matches nothing. Only two numbers a chunk are computed before the filter.
     """
     phrase = query_tokens(query)
     # One fold over the columns' tokens: a lambda's variable is computed once, however often it is used.
     zero = F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("tf"))
     both = F.aggregate(F.array(*[tokens(F.col(c)) for c in columns]), zero, lambda s, w: F.struct((s["d"] + token_count(w)).alias("d"), (s["tf"] + phrase_count(w, phrase)).alias("tf")))
     # The counts alone are aggregated; the texts of matching chunks are read in the second pass only.
-    stats = chunks.select(both.alias("m")).agg(F.count(F.lit(1)).alias("n"), F.avg("m.d").alias("mean"), F.count_if(F.col("m.tf") > 0).alias("df"))
-    found = chunks.withColumn("m", both).filter("m.tf > 0").withColumn("d", F.col("m.d")).withColumn("hits", F.col("m.tf")).drop("m").crossJoin(F.broadcast(stats))
+    stats = chunks.select(both.alias("m")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("m.d").alias("mean"), F.count_if(F.col("m.tf") > 0).alias("df")).alias("stats"))
+    found = chunks.withColumn("m", both).filter("m.tf > 0").withColumn("d", F.col("m.d")).withColumn("hits", F.col("m.tf")).drop("m")
+    found = found.withColumn("stats", stats.scalar()).withColumns({k: F.col(f"stats.{k}") for k in ("n", "mean", "df")}).drop("stats")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     score = -idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * ((1 - B) + B * F.col("d") / F.col("mean")))
     return found.withColumn("bm25", score).drop("d", "n", "mean", "df")
