@@ -8,6 +8,7 @@ that isn't full. What is given up meets in fewer buckets and is packed again, un
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,21 +34,30 @@ def _hard(text: str) -> bool:
     return any(c in text for c in _ODD) or len(text) >= 200 and (_BLANK.search(text) is not None or max(map(len, text.split()), default=0) >= 2000)
 
 
-@lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The tokenizer of a file, and a faster encoder of the same vocabulary and pattern."""
+@lru_cache(maxsize=1)
+def _whole(path: str):
+    """The tokenizer of a file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+@lru_cache(maxsize=1)
+def _fast(path: str):
+    """A faster encoder of the same vocabulary and pattern, made from the file alone: most workers never load the other."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {t["content"] for t in content["added_tokens"]}
     # Byte-level vocabularies write each byte as a printable character: itself where that is one, else from 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spell = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(map(spell.__getitem__, t)): i for t, i in whole.get_vocab().items() if t not in special}
-    return whole, tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(spell.__getitem__, t)): i for t, i in content["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class TokenIds:
@@ -58,7 +68,11 @@ class TokenIds:
     """
 
     def __init__(self, path: str):
-        self.whole, self.fast = _encoders(path)
+        self.path, self.fast = path, _fast(path)
+
+    @property
+    def whole(self):
+        return _whole(self.path)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out = []
