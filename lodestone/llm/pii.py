@@ -1,9 +1,10 @@
 """PII (operator 1): information-theoretic sanitisation.
 
-Protected entities are the personal data that patterns find. Over the whole corpus, the documents in which a term stands
-near an entity, those with the term and those with the entity are counted. The pointwise mutual information of term and
-entity, as a share of the entity's information content, says how much of the entity the term reveals; a term that
-exceeds the disclosure threshold is generalised or removed where it stands near the entity.
+Protected entities are the personal data that patterns find. Over the whole corpus, the documents with both a term and an
+entity, those with the term and those with the entity are counted. The pointwise mutual information of term and entity, as
+a share of the entity's information content, says how much of the entity the term reveals; a term that exceeds the
+disclosure threshold is generalised or removed wherever it stands in a document that holds the entity. Most entities stand
+in too few documents to count by themselves, so each is counted as its group too (mail domain, network, number prefix).
 
 With N documents: PMI(t; e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)).
 """
@@ -96,28 +97,72 @@ def near_terms(text: str, spans: list[tuple[int, int, str]], window: int, width:
     return out
 
 
-_FOUND = "row long, doc_id long, digest binary, base array<struct<start:int,end:int,kind:string>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+def group(name: str) -> str:
+    """The group of an entity (see entity()): mail domain, first three parts of an address, first six digits of a card, all but the last four of a phone."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        return f"{kind}@{value.rsplit('@', 1)[1]}"
+    return f"{kind}/{value.rsplit('.', 1)[0] if kind == 'ip' else value[:6] if kind == 'card' else value[:-4]}"
+
+
+def free_terms(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of each term in the whole text that overlaps none of the spans, which are in order of start."""
+    k, covered = 0, 0
+    for m in TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            covered = max(covered, spans[k][1])
+            k += 1
+        if covered <= m.start():
+            yield m[0].lower(), m.start(), m.end()
+
+
+_FOUND = "row long, doc_id long, digest binary, base array<struct<start:int,end:int,kind:string>>, keys array<string>, text string"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _detect(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    
-        row = TaskContext.get().partitionId() << 33
-        for part in slices(batches):
-            base, near, digests = [], [], []
-            for text in texts(part.column(1)):
-                spans = base_spans(text)
-                digests.append(hashlib.sha256(text.encode()).digest() if spans else None)
-                base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(text, spans, window)] if spans else [])
-            n = part.num_rows
-            yield pa.record_batch([pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(digests, pa.binary()), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["row", "doc_id", "digest", "base", "near"])
-            row += n
-        give_back()
+def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their patterns' spans; the entities, their groups and the text only of rows that have some."""
+    row = TaskContext.get().partitionId() << 33
+    for part in slices(batches):
+        base, keys, digests, held = [], [], [], []
+        for text in texts(part.column(1)):
+            spans = base_spans(text)
+            own = {entity(k, text[a:b]) for a, b, k in spans}
+            digests.append(hashlib.sha256(text.encode()).digest() if spans else None)
+            base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
+            keys.append(sorted(own | set(map(group, own))))
+            held.append(text if spans else None)
+        n = part.num_rows
+        yield pa.record_batch([pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(digests, pa.binary()), pa.array(base, pa.list_(_SPAN)), pa.array(keys, pa.list_(pa.string())), pa.array(held, pa.string())], names=["row", "doc_id", "digest", "base", "keys", "text"])
+        row += n
+    give_back()
+
+
+def _spans(column: pa.Array) -> list[list[tuple[int, int, str]]]:
+    return [[(x["start"], x["end"], x["kind"]) for x in own] for own in column.to_pylist()]
 
-    return run
+
+def _terms_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, term) for the distinct free terms of each of (row, text, base)."""
+    for part in slices(batches):
+        rows, found = [], []
+        for row, text, spans in zip(part.column(0).to_pylist(), texts(part.column(1)), _spans(part.column(2)), strict=True):
+            own = {t for t, _, _ in free_terms(text, spans)}
+            rows += [row] * len(own)
+            found += own
+        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(found, pa.string())], names=["row", "term"])
+    give_back()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, extra) for (row, text, base, told): each free place of the told terms."""
+    for part in slices(batches):
+        extra = []
+        for text, spans, told in zip(texts(part.column(1)), _spans(part.column(2)), part.column(3).to_pylist(), strict=True):
+            want = set(told)
+            extra.append([{"start": a, "end": b, "kind": "term"} for t, a, b in free_terms(text, spans) if t in want])
+        yield pa.record_batch([part.column(0), pa.array(extra, pa.list_(_SPAN))], names=["row", "extra"])
+    give_back()
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,35 +184,43 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def disclosing_terms(near: DataFrame, df: DataFrame, text_col: str = "text", threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:
-    """(entity, term) of the terms that reveal an entity: PMI / IC of threshold or more, found with at least `share` of the entity's documents and `support` of them.
+def disclosing_terms(found: DataFrame, df: DataFrame, text_col: str = "text", threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:
+    """(row, term) of the terms that reveal an entity or a group of entities of the row: PMI / IC of threshold or more, found in at least `share` of its documents and `support` of them.
 
-    near: distinct (row, entity, term). An entity in all documents has no information to reveal.
+    found: row, keys, text and base of the rows. An entity in all documents has no information to reveal. Entities and
+    terms in fewer than `support` documents, and terms in more than N (n(e) / N) ** threshold, can't pass: they are left out
+    before pairs are made, which changes no result.
     """
     total = df.count()
-    together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    owners = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("own"))
-    pairs = written(together.join(owners, "entity").filter(F.col("both") >= share * F.col("own")), "pairs")
-    terms = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    keyed = found.filter(F.size("keys") > 0).select("row", F.explode("keys").alias("key"))
+    owners = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("own")).filter((F.col("own") >= support) & (F.col("own") < total))
+    held = written(keyed.join(owners, "key"), "held")
+    terms = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
+    rows = found.join(held.select("row").distinct(), "row", "left_semi").select("row", "text", "base")
+    known = rows.mapInArrow(_terms_of_rows, "row long, term string").join(terms, "term")
+    most = F.lit(float(total)) * F.pow(F.col("own") / F.lit(float(total)), F.lit(threshold))
+    pairs = written(known.join(held, "row").filter(F.col("n") <= most * 1.000001).select("row", "key", "own", "term", "n"), "pairs")
+    both = pairs.groupBy("key", "term").agg(F.count(F.lit(1)).alias("both"), F.first("own").alias("own"), F.first("n").alias("n"))
     ratio = F.log(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("own"))) / F.log(F.lit(float(total)) / F.col("own"))
-    return pairs.join(terms, "term").filter((F.col("own") < total) & (ratio >= threshold)).select("entity", "term")
+    telling = both.filter((F.col("both") >= support) & (F.col("both") >= share * F.col("own")) & (ratio >= threshold))
+    return pairs.join(telling.select("key", "term"), ["key", "term"]).select("row", "term").distinct()
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 6, threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:
     """doc_id, digest, base, extra for each row of df: spans (start, end, kind) in code points, end exclusive.
 
-    base has the patterns' spans by start, then kind; extra the disclosing terms within `window` terms of an entity, by
-    start. digest is the text's SHA-256, null where base is empty. A null text is an empty one. Repeated rows and rows of
-    null id are rows and count as documents of their own. Counts cover all rows and whole texts. No rows give no rows.
+    base has the patterns' spans by start, then kind; extra every place of the terms that disclose one of the row's
+    entities or their groups, by start. digest is the text's SHA-256, null where base is empty. A null text is an empty
+    one. Repeated rows and rows of null id are rows and count as documents of their own. Counts cover all rows and whole
+    texts. No rows give no rows.
     """
     small_batches(df.sparkSession)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = written(own.mapInArrow(_detect(window), _FOUND), "found")
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    telling = disclosing_terms(near, own, "text", threshold, share, support)
-    extra = near.join(telling, ["entity", "term"]).select("row", F.struct("start", "end", F.lit("term").alias("kind")).alias("s")).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("extra"))
+    found = written(own.mapInArrow(_detect, _FOUND), "found")
+    told = disclosing_terms(found, own, "text", threshold, share, support).groupBy("row").agg(F.collect_set("term").alias("told"))
+    extra = found.join(told, "row").select("row", "text", "base", "told").mapInArrow(_places, "row long, extra array<struct<start:int,end:int,kind:string>>")
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return found.drop("near").join(extra, "row", "left").select("doc_id", "digest", "base", F.coalesce("extra", empty).alias("extra"))
+    return found.select("row", "doc_id", "digest", "base").join(extra, "row", "left").select("doc_id", "digest", "base", F.coalesce("extra", empty).alias("extra"))
 
 
 def _told(spans: F.Column) -> F.Column:

@@ -108,6 +108,48 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert "[TERM]" not in pii.sanitise(df, generalise=False).filter("doc_id = 0").first().text
 
 
+def test_terms_far_from_rare_entities(spark):
+    """Each address stands in one document; their domain's term stands far from them, and twice."""
+    far = "filler words that stand between both sides " * 12
+    texts = [f"Initech begins {far} u{k}@initech.example {far} initech ends" for k in range(5)] + [f"{far} a{k}@other{k}.example" for k in range(5)] + [far] * 90 + ["initech"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(5):
+        assert clean[k].lower().count("initech") == 0 and clean[k].count("[TERM]") == 4 and clean[k].startswith("[TERM] [TERM] filler")
+    assert all("[TERM]" not in clean[k] for k in range(5, 101)) and clean[100] == "initech"
+
+
+def test_whole_document_terms_equal_brute_force(spark):
+    rnd = random.Random(4)
+    words = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(8) for j in range(12)]
+    texts = []
+    for k in range(150):
+        mark = [[f"n{k}@d{k % 7}.example"], [f"10.{k % 5}.3.{k}"], [f"+1 (017) 555-{k % 3}{k:03d}"], []][k % 4]
+        body = [rnd.choice(words) for _ in range(30)] + mark + [f"tied{'abcdefg'[k % 7]}"] * (k % 4 == 0 and k % 9 > 0)
+        rnd.shuffle(body)
+        texts.append(" ".join(body))
+    have, own, free = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, t in enumerate(texts):
+        spans = brute_spans(t)
+        for m in re.finditer(r"[^\W\d_]{4,}", t):
+            have[m[0]].add(k)
+            if all(m.end() <= a or m.start() >= b for a, b, _ in spans):
+                free[k].add((m[0], m.start(), m.end()))
+        for a, b, kind in spans:
+            e = pii.entity(kind, t[a:b])
+            own[e].add(k)
+            own[pii.group(e)].add(k)
+    n, want = len(texts), defaultdict(set)
+    for ks in own.values():
+        for w in {w for k in ks for w, _, _ in free[k]}:
+            both = {k for k in ks if any(x[0] == w for x in free[k])}
+            if len(both) >= 3 and len(both) >= 0.25 * len(ks) and len(ks) < n and np.log(n * len(both) / (len(have[w]) * len(ks))) / np.log(n / len(ks)) >= 0.8:
+                for k in both:
+                    want[k] |= {(a, b) for x, a, b in free[k] if x == w}
+    assert want
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert [(s["start"], s["end"]) for s in r.extra] == sorted(want[r.doc_id])
+
+
 def test_pii_odd_rows(spark, odd):
     assert pii.pii_digests(odd).count() == odd.count()
     back = pii.sanitise(odd)
