@@ -1,13 +1,15 @@
 """License scans (operator 9): a generalised suffix automaton of licence tokens.
 
 Texts stream through the automaton, which gives for each word the length of the longest run ending there that some
-template contains. Runs that can't be extended are seeds; seeds in the order of a template are chained into spans, and
-a template is reported where a chain covers enough of it.
+template contains; suffix links lead to the shorter runs of the other templates. A run that can't be extended at a place
+of a template is a seed of that place; the seeds of a template are chained in its order into spans by dynamic
+programming, and a template is reported where a chain covers enough of it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -53,7 +55,7 @@ class State:
     length: int
     link: int
     next: dict[int, int] = field(default_factory=dict)
-    ends: dict[int, int] = field(default_factory=dict)  # by template: where an occurrence of the state's run ends
+    ends: dict[int, list[int]] = field(default_factory=dict)  # by template: where the occurrences of the state's run end
 
 
 class Automaton:
@@ -66,11 +68,11 @@ class Automaton:
             last = 0
             for k, word in enumerate(tokens):
                 last = self._extend(last, self.ids.setdefault(word, len(self.ids) + 1))
-                self.states[last].ends.setdefault(t, k + 1)
+                self.states[last].ends.setdefault(t, []).append(k + 1)
         for s in sorted(range(1, len(self.states)), key=lambda i: -self.states[i].length):
             up = self.states[self.states[s].link]
-            for t, k in self.states[s].ends.items():
-                up.ends.setdefault(t, k)
+            for t, places in self.states[s].ends.items():
+                up.ends[t] = sorted({*up.ends.get(t, []), *places})
 
     def _extend(self, last: int, token: int) -> int:
         states = self.states
@@ -121,6 +123,21 @@ class Scanner:
         get = self.automaton.ids
         self.phrases = [([get[w] for w in words(p)], label) for p, label in PHRASES.items()]
         self.last = {p[-1] for p, _ in self.phrases}
+        self.places = [self._places(s) for s in range(len(self.automaton.states))]
+
+    def _places(self, s: int) -> list[tuple[int, int, int, int | None]]:
+        """(template, end, length, next token) of each place of a template where the state's run or the longest suffix that fits ends; length 0 stands for the run's own."""
+        out, done, states, own = [], set(), self.automaton.states, s
+        while s > 0 and (s == own or states[s].length >= self.min_seed):
+            for t, ends in states[s].ends.items():
+                if t < len(TEMPLATES):
+                    for end in ends:
+                        if (t, end) not in done:
+                            done.add((t, end))
+                            follow = self.automaton.ids[self.lists[t][end]] if end < len(self.lists[t]) else None
+                            out.append((t, end, 0 if s == own else states[s].length, follow))
+            s = states[s].link
+        return out
 
     def _runs(self, seen: list[str]) -> list[tuple[int, list[int]]]:
         """Stretches of at least two words that templates know: their start and token ids."""
@@ -152,23 +169,39 @@ class Scanner:
                     for tokens, label in self.phrases:
                         if n >= len(tokens) and run[i + 1 - len(tokens) : i + 1] == tokens:
                             places.append((start + i + 1 - len(tokens), label))
-                if n >= self.min_seed and (i + 1 == len(found) or found[i + 1][1] <= n):
-                    for t, end in self.automaton.states[state].ends.items():
-                        seeds.setdefault(t, []).append((start + i + 1 - n, start + i + 1, end - n, end))
-        return len(seen), places, [s for t, own in seeds.items() if t < len(TEMPLATES) for s in self._chains(t, own)]
+                if n >= self.min_seed:
+                    then, at = run[i + 1] if i + 1 < len(run) else 0, start + i + 1
+                    for t, end, shorter, follow in self.places[state]:
+                        if follow != then:
+                            size = shorter or n
+                            seeds.setdefault(t, []).append((at - size, at, end - size, end))
+        return len(seen), places, [s for t, own in seeds.items() for s in self._chains(t, own)]
 
     def _chains(self, t: int, seeds: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """seeds (text start, text end, template start, template end) in text order; each extends the chain before it or begins one."""
-        out, chain = [], None
-        for a, b, c, d in [*seeds, (None,) * 4]:
-            if chain and a is not None and a - chain[1] <= self.max_gap and d > chain[2]:
-                skip = max(0, chain[1] - a, chain[2] - c)  # words that overlap the chain
-                if a + skip < b:
-                    chain = (chain[0], b, d, chain[3] + b - a - skip)
-                continue
-            if chain and chain[3] >= self.cover * len(self.lists[t]):
-                out.append((self.names[t], chain[0], chain[1], min(1.0, chain[3] / len(self.lists[t]))))
-            chain = None if a is None else (a, b, d, b - a)
+        """The chains of seeds (text start, text end, template start, template end) that cover enough, best first, none over another.
+
+        A chain's seeds follow each other in text and template; words that overlap the seed before count once. seeds are
+        in order of text end, so those that a seed can follow lie shortly before it.
+        """
+        size, best, low = len(self.lists[t]), [], 0  # best: words covered, text start of the best chain that ends with the seed
+        reach = max(b - a for a, b, _, _ in seeds) + self.max_gap
+        for k, (a, b, c, d) in enumerate(seeds):
+            while seeds[low][1] < b - reach:
+                low += 1
+            top = (b - a, a)
+            for j in range(low, k):
+                _, end, _, stop = seeds[j]
+                if end < b and stop < d and a - end <= self.max_gap:
+                    gain = b - a - max(0, end - a, stop - c)
+                    if gain > 0 and (best[j][0] + gain, best[j][1]) > top:
+                        top = (best[j][0] + gain, best[j][1])
+            best.append(top)
+        out, taken = [], []
+        for n, start, end in sorted(((n, a, seeds[k][1]) for k, (n, a) in enumerate(best) if n >= self.cover * size), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            k = bisect_left(taken, (end,))  # those that begin before the chain's end; the last of them ends last
+            if not k or taken[k - 1][1] <= start:
+                taken.insert(k, (start, end))
+                out.append((self.names[t], start, end, n / size))
         return out
 
 

@@ -441,6 +441,45 @@ def test_licences_equal_brute_force(spark, docs, odd):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_template_within_a_longer_run():
+    scan = licenses.Scanner().scan
+    _, _, spans = scan("Licensed under the Apache License, Version 2.0. The weather was fine that day.")
+    assert ("apache-2.0", 0, 8, 1.0) in spans
+    _, _, spans = scan("under the Apache License. Licensed under the Apache License, Version 2.0. The same again: Licensed under the Apache License, Version 2.0 the end")
+    assert [s for s in spans if s[0] == "apache-2.0"] == [("apache-2.0", 4, 12, 1.0), ("apache-2.0", 15, 23, 1.0)]
+
+
+def test_chains_equal_brute_force():
+    """The best chain over words that match, whatever runs they are cut into, and all maximal runs as seeds."""
+    rnd, scanner = random.Random(6), licenses.Scanner()
+    lists = scanner.lists[: len(licenses.TEMPLATES)]
+    full = 0
+    for _ in range(250):
+        seen = []
+        while len(seen) < 40:
+            one = rnd.choice(lists)
+            at = rnd.randrange(len(one))
+            seen += one[at : at + rnd.randrange(1, 12)] if rnd.random() < 0.6 else one[: rnd.randrange(1, 40)] if rnd.random() < 0.8 else [rnd.choice(["the", "zzz", "license"])]
+        _, _, spans = scanner.scan(" ".join(seen))
+        for t, one in enumerate(lists):
+            seeds = []
+            for i in range(len(seen)):
+                for j in range(len(one)):
+                    if seen[i] == one[j] and (not i or not j or seen[i - 1] != one[j - 1]):
+                        n = next(n for n in range(1, 99) if i + n == len(seen) or j + n == len(one) or seen[i + n] != one[j + n])
+                        if n >= 2:
+                            seeds.append((i, i + n, j, j + n))
+            seeds.sort(key=lambda s: s[1])
+            best = []
+            for k, (a, b, c, d) in enumerate(seeds):
+                best.append(max([b - a] + [best[j] + b - a - max(0, y - a, w - c) for j, (_, y, _, w) in enumerate(seeds[:k]) if y < b and w < d and a - y <= 8 and b - a > max(0, y - a, w - c)]))
+            top = max(best, default=0)
+            own = [s for s in spans if s[0] == scanner.names[t]]
+            assert bool(own) == (top >= 0.75 * len(one)) and (not own or max(s[3] for s in own) == top / len(one))
+            full += bool(own)
+    assert full > 100
+
+
 # near copies
 
 
