@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from .common import give_back, slices, small_batches, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: What sanitised texts have in place of personal data and of disclosing terms.
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,9 +49,21 @@ def _luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) by start, then kind as listed in KINDS."""
-    found, end = [], 0
+def _octet(part: str) -> bool:
+    """Is a run of digits a number of at most 255? Leading zeros may be many, so they go before it is read."""
+    value = part.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
+def span_arrays(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kinds (places in KINDS) of the patterns, by start, then kind: 9 bytes a span, however dense they are."""
+    starts, ends, kinds, end = array("i"), array("i"), array("b"), 0
+
+    def add(a: int, b: int, kind: int) -> None:
+        starts.append(a)
+        ends.append(b)
+        kinds.append(kind)
+
     at = text.find("@")
     floor = 0
     while at >= 0:
@@ -57,21 +71,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         size = len(lead) - len(lead.rstrip(_LOCAL))
         floor = at + 1
         if size and (m := _DOMAIN.match(text, at)):
-            found.append((at - size, m.end(), "email"))
             end = m.end()
+            add(at - size, end, 0)
         at = text.find("@", max(at + 1, end))
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-                found.append((m.start(), m.end(), "ip"))
+            if all(map(_octet, m[0].split("."))):
+                add(m.start(), m.end(), 1)
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
-                found.append((m.start(), m.end(), "card"))
+                add(m.start(), m.end(), 2)
         for m in _PHONE.finditer(text):
             if 9 <= sum(map(len, _DIGITS.findall(m[0]))) <= 15:
-                found.append((m.start(), m.end(), "phone"))
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+                add(m.start(), m.end(), 3)
+    a, b, k = np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32), np.frombuffer(kinds, np.int8)
+    order = np.lexsort((b, k, a))
+    return a[order], b[order], k[order]
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) by start, then kind as listed in KINDS."""
+    a, b, k = span_arrays(text)
+    return [(x, y, KINDS[z]) for x, y, z in zip(a.tolist(), b.tolist(), k.tolist(), strict=True)]
 
 
 def entity(kind: str, value: str) -> str:
@@ -79,24 +101,6 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{''.join(_DIGITS.findall(value)) if kind in ('card', 'phone') else value.lower()}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]], window: int, width: int = 256) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for up to `window` terms on each side of each span, whole within `width` characters of it; none that overlaps a span."""
-    out, starts, ends = [], [s[0] for s in spans], []
-    for s in spans:
-        ends.append(max(s[1], ends[-1] if ends else 0))
-
-    def free(m: re.Match) -> bool:
-        k = bisect_left(starts, m.end())
-        return not k or ends[k - 1] <= m.start()
-
-    for start, end, kind in spans:
-        own, lo, hi = entity(kind, text[start:end]), max(0, start - width), min(len(text), end + width)
-        before = [m for m in TERM.finditer(text, lo, start) if not (m.start() == lo and lo and text[lo - 1].isalpha())]
-        after = [m for m in TERM.finditer(text, end, hi) if not (m.end() == hi < len(text) and text[hi].isalpha())]
-        out += [(own, m[0].lower(), m.start(), m.end()) for m in [*before[-window:], *after[:window]] if free(m)]
-    return out
-
-
 def group(name: str) -> str:
     """The group of an entity (see entity()): mail domain, first three parts of an address, first six digits of a card, all but the last four of a phone."""
     kind, value = name.split(":", 1)
@@ -105,12 +109,12 @@ def group(name: str) -> str:
     return f"{kind}/{value.rsplit('.', 1)[0] if kind == 'ip' else value[:6] if kind == 'card' else value[:-4]}"
 
 
-def free_terms(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+def free_terms(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of each term in the whole text that overlaps none of the spans, which are in order of start."""
-    k, covered = 0, 0
+    k, covered, n = 0, 0, len(starts)
     for m in TERM.finditer(text):
-        while k < len(spans) and spans[k][0] < m.end():
-            covered = max(covered, spans[k][1])
+        while k < n and starts[k] < m.end():
+            covered = max(covered, int(ends[k]))
             k += 1
         if covered <= m.start():
             yield m[0].lower(), m.start(), m.end()
@@ -118,6 +122,25 @@ def free_terms(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[s
 
 _FOUND = "row long, doc_id long, digest binary, base array<struct<start:int,end:int,kind:string>>, keys array<string>, text string"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
+_NAMES = pa.array([*KINDS, "term"], pa.string())
+
+
+def _span_lists(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """A list of spans for each row, made of whole arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a, _, _ in rows])]).astype(np.int32)
+    starts, ends, kinds = (np.concatenate(c) for c in zip(*rows, strict=True))
+    spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), _NAMES.take(pa.array(kinds, pa.int8()))], fields=list(_SPAN))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+
+
+def _span_edges(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of each row's spans, as views of the column."""
+    spans = column.flatten()
+    starts, ends = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+    at = 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield starts[at : at + n], ends[at : at + n]
+        at += n
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,28 +149,24 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         base, keys, digests, held = [], [], [], []
         for text in texts(part.column(1)):
-            spans = base_spans(text)
-            own = {entity(k, text[a:b]) for a, b, k in spans}
-            digests.append(hashlib.sha256(text.encode()).digest() if spans else None)
-            base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
+            a, b, k = span_arrays(text)
+            own = {entity(KINDS[z], text[x:y]) for x, y, z in zip(a, b, k, strict=True)}
+            digests.append(hashlib.sha256(text.encode()).digest() if len(a) else None)
+            base.append((a, b, k))
             keys.append(sorted(own | set(map(group, own))))
-            held.append(text if spans else None)
+            held.append(text if len(a) else None)
         n = part.num_rows
-        yield pa.record_batch([pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(digests, pa.binary()), pa.array(base, pa.list_(_SPAN)), pa.array(keys, pa.list_(pa.string())), pa.array(held, pa.string())], names=["row", "doc_id", "digest", "base", "keys", "text"])
+        yield pa.record_batch([pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(digests, pa.binary()), _span_lists(base), pa.array(keys, pa.list_(pa.string())), pa.array(held, pa.string())], names=["row", "doc_id", "digest", "base", "keys", "text"])
         row += n
     give_back()
 
 
-def _spans(column: pa.Array) -> list[list[tuple[int, int, str]]]:
-    return [[(x["start"], x["end"], x["kind"]) for x in own] for own in column.to_pylist()]
-
-
 def _terms_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, term) for the distinct free terms of each of (row, text, base)."""
     for part in slices(batches):
         rows, found = [], []
-        for row, text, spans in zip(part.column(0).to_pylist(), texts(part.column(1)), _spans(part.column(2)), strict=True):
-            own = {t for t, _, _ in free_terms(text, spans)}
+        for row, text, (starts, ends) in zip(part.column(0).to_pylist(), texts(part.column(1)), _span_edges(part.column(2)), strict=True):
+            own = {t for t, _, _ in free_terms(text, starts, ends)}
             rows += [row] * len(own)
             found += own
         yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(found, pa.string())], names=["row", "term"])
@@ -158,10 +177,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, extra) for (row, text, base, told): each free place of the told terms."""
     for part in slices(batches):
         extra = []
-        for text, spans, told in zip(texts(part.column(1)), _spans(part.column(2)), part.column(3).to_pylist(), strict=True):
-            want = set(told)
-            extra.append([{"start": a, "end": b, "kind": "term"} for t, a, b in free_terms(text, spans) if t in want])
-        yield pa.record_batch([part.column(0), pa.array(extra, pa.list_(_SPAN))], names=["row", "extra"])
+        for text, (starts, ends), told in zip(texts(part.column(1)), _span_edges(part.column(2)), part.column(3).to_pylist(), strict=True):
+            want, a, b = set(told), array("i"), array("i")
+            for t, x, y in free_terms(text, starts, ends):
+                if t in want:
+                    a.append(x)
+                    b.append(y)
+            extra.append((np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), np.full(len(a), len(KINDS), np.int8)))
+        yield pa.record_batch([part.column(0), _span_lists(extra)], names=["row", "extra"])
     give_back()
 
 
@@ -236,12 +259,17 @@ def pii_digests(df: DataFrame, **how) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(both).alias("spans"), F.size("extra").cast("long").alias("n_terms"))
 
 
-def mask(text: str, spans: list[tuple[int, int, str]], generalise: bool = True) -> str:
-    """The text with each span's mask in its place; of overlapping spans the first and longest is masked, and all they cover goes."""
+def mask(text: str, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, generalise: bool = True) -> str:
+    """The text with each span's mask in its place; of overlapping spans the first and longest is masked, and all they cover goes.
+
+    kinds are places in KINDS, behind them that of a term.
+    """
     out, at = [], 0
-    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+    marks = [MARKS[k] for k in KINDS] + [MARKS["term"] if generalise else ""]
+    order = np.lexsort((-ends, starts))
+    for start, end, kind in zip(starts[order].tolist(), ends[order].tolist(), kinds[order].tolist(), strict=True):
         if start >= at:
-            out += [text[at:start], MASKS[kind] if generalise or kind != "term" else ""]
+            out += [text[at:start], marks[kind]]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
@@ -253,11 +281,14 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     """
 
     @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else mask(t, [(x["start"], x["end"], x["kind"]) for x in s], generalise) for t, s in zip(text, spans, strict=True)], dtype=object)
+    def masked(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else mask(t, np.asarray(a), np.asarray(b), np.asarray(k), generalise) for t, a, b, k in zip(text, starts, ends, kinds, strict=True)], dtype=object)
 
     edits = find_pii(df, id_col, text_col, **how).filter("digest is not null")
     edits = edits.groupBy(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_digest")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat("base", "extra")))).alias("__lodestone_spans"))
+    edits = written(edits, "edits")
     keyed = df.withColumn("__lodestone_text", F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
     joined = keyed.join(edits, keyed[id_col].cast("long").eqNullSafe(F.col("__lodestone_id")) & (F.col("__lodestone_text") == F.col("__lodestone_digest")), "left")
-    return joined.select(*[masked(F.col(c).cast("string"), F.col("__lodestone_spans")).alias(c) if c == text_col else df[c] for c in df.columns])
+    spans = F.col("__lodestone_spans")
+    parts = [F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.transform(spans, lambda s: (F.array_position(F.array(*map(F.lit, (*KINDS, "term"))), s["kind"]) - 1).cast("int"))]
+    return joined.select(*[masked(F.col(c).cast("string"), *parts).alias(c) if c == text_col else df[c] for c in df.columns])

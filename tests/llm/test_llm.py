@@ -46,7 +46,7 @@ def brute_spans(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((m.start(), 0, m.end(), "email"))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(re.fullmatch("0*(|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])", p) for p in m[0].split(".")):
             out.append((m.start(), 1, m.end(), "ip"))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[ -]", "", m[0])
@@ -63,23 +63,44 @@ def test_patterns_equal_plain_regexes():
     for _ in range(4000):
         text = "".join(rnd.choice("ab.@-+ 0123459()é%") for _ in range(rnd.randrange(60)))
         assert pii.base_spans(text) == brute_spans(text), text
+    zeros = "0" * 5_000
+    for text in (f"{zeros}.1.1.1", f"1.1.{zeros[:4400]}7.1 x", f"1.1.{zeros}256.1 1.1.1.1{zeros}", "1" * 5_000 + ".1.1.1"):
+        assert pii.base_spans(text) == brute_spans(text)
     for text in ("4111 1111 1111 1111", "a@b.c@d.e.f", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255", "+1 (017) 555-7713"):
         assert pii.base_spans(text) == brute_spans(text)
     assert pii.base_spans("x" * 200_000) == [] and pii.base_spans("1" * 200_000) == []
 
 
-def brute_terms(texts, window=6, threshold=0.8, share=0.25, support=3):
-    near, have = defaultdict(set), defaultdict(set)
+def brute_extra(texts, threshold=0.8, share=0.25, support=3):
+    """The places of disclosing terms in each text, by counting each pair of a term and an entity or its group over whole texts."""
+    have, own, free = defaultdict(set), defaultdict(set), defaultdict(set)
     for k, t in enumerate(texts):
-        for w in re.findall(r"[^\W\d_]{4,}", t):
-            have[w.lower()].add(k)
-        for e, w, _, _ in pii.near_terms(t, brute_spans(t), window):
-            near[e, w].add(k)
-    own = defaultdict(set)
-    for (e, _), ks in near.items():
-        own[e] |= ks
-    n = len(texts)
-    return {(e, w) for (e, w), ks in near.items() if len(ks) >= support and len(ks) >= share * len(own[e]) and len(own[e]) < n and np.log(n * len(ks) / (len(have[w]) * len(own[e]))) / np.log(n / len(own[e])) >= threshold}
+        spans = brute_spans(t)
+        for m in re.finditer(r"[^\W\d_]{4,}", t):
+            have[m[0].lower()].add(k)
+            if all(m.end() <= a or m.start() >= b for a, b, _ in spans):
+                free[k].add((m[0].lower(), m.start(), m.end()))
+        for a, b, kind in spans:
+            e = pii.entity(kind, t[a:b])
+            own[e].add(k)
+            own[pii.group(e)].add(k)
+    n, want = len(texts), defaultdict(set)
+    for ks in own.values():
+        for w in {w for k in ks for w, _, _ in free[k]}:
+            both = {k for k in ks if any(x[0] == w for x in free[k])}
+            if len(both) >= support and len(both) >= share * len(ks) and len(ks) < n and np.log(n * len(both) / (len(have[w]) * len(ks))) / np.log(n / len(ks)) >= threshold:
+                for k in both:
+                    want[k] |= {(a, b) for x, a, b in free[k] if x == w}
+    return want
+
+
+def brute_mask(text, spans):
+    out, at = "", 0
+    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if a >= at:
+            out += text[at:a] + pii.MARKS[kind]
+        at = max(at, b)
+    return out + text[at:]
 
 
 def test_disclosing_terms_equal_brute_force(spark):
@@ -95,13 +116,11 @@ def test_disclosing_terms_equal_brute_force(spark):
         texts.append(" ".join(body))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.find_pii(df).collect()
-    want = brute_terms(texts)
-    assert {w for _, w in want} >= {"projectx", "classified"}
+    want = brute_extra(texts)
+    assert {texts[k][a:b] for k, ps in want.items() for a, b in ps} >= {"projectx", "classified"}
     for r in found:
-        spans = {(s["start"], s["end"]) for s in r.extra}
-        t = texts[r.doc_id]
-        assert spans == {(a, b) for e, w, a, b in pii.near_terms(t, brute_spans(t), 6) if (e, w) in want}
-        assert [tuple(s) for s in r.base] == brute_spans(t)
+        assert [(s["start"], s["end"]) for s in r.extra] == sorted(want[r.doc_id])
+        assert [tuple(s) for s in r.base] == brute_spans(texts[r.doc_id])
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("@" not in t and "projectx" not in t and "555" not in t for t in clean.values()) and "[TERM] [EMAIL] [TERM]" in clean[0]
     assert {k: t for k, t in clean.items() if k % 10 and k % 17} == {k: t for k, t in enumerate(texts) if k % 10 and k % 17}
@@ -127,24 +146,7 @@ def test_whole_document_terms_equal_brute_force(spark):
         body = [rnd.choice(words) for _ in range(30)] + mark + [f"tied{'abcdefg'[k % 7]}"] * (k % 4 == 0 and k % 9 > 0)
         rnd.shuffle(body)
         texts.append(" ".join(body))
-    have, own, free = defaultdict(set), defaultdict(set), defaultdict(set)
-    for k, t in enumerate(texts):
-        spans = brute_spans(t)
-        for m in re.finditer(r"[^\W\d_]{4,}", t):
-            have[m[0]].add(k)
-            if all(m.end() <= a or m.start() >= b for a, b, _ in spans):
-                free[k].add((m[0], m.start(), m.end()))
-        for a, b, kind in spans:
-            e = pii.entity(kind, t[a:b])
-            own[e].add(k)
-            own[pii.group(e)].add(k)
-    n, want = len(texts), defaultdict(set)
-    for ks in own.values():
-        for w in {w for k in ks for w, _, _ in free[k]}:
-            both = {k for k in ks if any(x[0] == w for x in free[k])}
-            if len(both) >= 3 and len(both) >= 0.25 * len(ks) and len(ks) < n and np.log(n * len(both) / (len(have[w]) * len(ks))) / np.log(n / len(ks)) >= 0.8:
-                for k in both:
-                    want[k] |= {(a, b) for x, a, b in free[k] if x == w}
+    want = brute_extra(texts)
     assert want
     for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         assert [(s["start"], s["end"]) for s in r.extra] == sorted(want[r.doc_id])
@@ -566,12 +568,8 @@ def test_pipeline_equals_brute_force(spark, docs):
     assert three.columns == columns and sorted(three.collect()) == sorted(kept)
     four = stage[3](spark, three, DATA)
     texts = [r.text for r in kept]
-    terms = brute_terms(texts)
-    clean = {}
-    for r in kept:
-        spans = brute_spans(r.text)
-        extra = [(a, b, "term") for e, w, a, b in pii.near_terms(r.text, spans, 6) if (e, w) in terms]
-        clean[r.doc_id] = pii.mask(r.text, spans + extra)
+    extra = brute_extra(texts)
+    clean = {r.doc_id: brute_mask(r.text, brute_spans(r.text) + [(a, b, "term") for a, b in extra[k]]) for k, r in enumerate(kept)}
     assert four.columns == columns and {r.doc_id: r.text for r in four.collect()} == clean
     five = stage[4](spark, four, DATA).collect()
     check_packing(five, clean)
