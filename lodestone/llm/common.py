@@ -96,6 +96,21 @@ def text_pass(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows with the columns of table, which has one row for each key and, in column n, how many of the rows have it.
+
+    Keys that more than a thousandth of all rows have, so less than a thousand keys whatever the data, are broadcast; the
+    rest meet by a shuffle in which no key has more than a thousandth of the rows.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
+    hot = written(table.filter(F.col(n) * 1_000 > total), "hot")
+    if not hot.take(1):
+        return rows.join(table, key)
+    often = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(n) * 1_000 <= total), key)
+    return often.unionByName(rest)
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 

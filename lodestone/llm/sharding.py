@@ -1,17 +1,24 @@
 """Sharding (operator 6): best-fit-decreasing bin packing of groups of equal texts.
 
-Groups are indivisible. Large ones are items of their own; the many small ones are first gathered by hash into bundles,
-so what is packed has a bound that does not depend on the data. Items sorted by size enter the shard with the tightest
-room that holds them, found in a balanced tree. All sizes, digests and positions are DataFrame operations.
+Groups are indivisible. Sorted by size, each enters the shard with the tightest room that holds it, found in a balanced
+tree. What decides is how many groups there are of each size: groups of B bytes in all have less than sqrt(2 B) different
+sizes, so this table is small where the data is large, and one task packs it. The groups of a size are then numbered and
+dealt to the shards that the packing gave their numbers. All sizes, digests, numbers and positions are DataFrame operations.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import look_up, written
+
+#: Groups of one size whose places are looked up together.
+BLOCK = 10_000
 
 
 class RoomTree:
@@ -87,82 +94,113 @@ class RoomTree:
         return node[0]
 
 
-def best_fit(sizes: list[int], capacity: int, bins: int | None = None) -> list[int]:
-    """The bin of each size, largest first (ties: the given order), into the tightest room.
+def best_fit_runs(sizes: Iterable[tuple[int, int]], capacity: int, bins: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Best-fit decreasing over (size, how many) in falling order of size: yields (size, first, count, bin) for the items first to first + count of that size.
 
-    With bins given, all are open from the start, and what fits none goes to the roomiest; else bins open as needed, and
-    a size over the capacity gets one of its own.
+    An item goes into the bin with the tightest room that holds it. That bin then has less room than any other that would
+    do, so it takes items of the same size until it holds no more: equal sizes enter bin by bin, not one by one. With bins
+    given, all are open from the start, and what fits none goes to the roomiest; else bins open as needed, and a size over
+    the capacity gets one of its own.
     """
-    tree, out, made = RoomTree(), [0] * len(sizes), bins or 0
+    tree, made = RoomTree(), bins or 0
     for b in range(made):
         tree.insert((capacity, b))
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        found = tree.tightest(sizes[i])
-        if found is None and bins:
-            found = tree.roomiest()
-        if found is None:
-            found, made = (capacity, made), made + 1
-        else:
-            tree.remove(found)
-        out[i] = found[1]
-        tree.insert((found[0] - sizes[i], found[1]))
-    return out
+    for size, left in sizes:
+        first = 0
+        while left:
+            found = tree.tightest(size)
+            if found is not None:
+                tree.remove(found)
+            elif bins:
+                found = tree.roomiest()
+                tree.remove(found)
+            else:
+                found, made = (capacity, made), made + 1
+            room, b = found
+            count = max(1, min(left, room // size))
+            tree.insert((room - count * size, b))
+            yield size, first, count, b
+            first, left = first + count, left - count
+
+
+def place_groups(sizes: np.ndarray, counts: np.ndarray, shards: int | None, capacity: int | None) -> Iterator[tuple[int, int, int, int]]:
+    """(size, first, count, shard) for all groups, given as how many there are of each size, in falling order of size.
+
+    With shards given, a group over an equal share of what is left has a shard of its own, and the rest is shared out anew.
+    """
+    if not shards:
+        yield from best_fit_runs(zip(sizes.tolist(), counts.tolist(), strict=True), capacity)
+        return
+    total, alone, at, taken = int((sizes * counts).sum()), 0, 0, 0
+    while at < len(sizes) and alone < shards - 1 and sizes[at] > -(-total // (shards - alone)):
+        yield int(sizes[at]), taken, 1, alone
+        total, alone, taken = total - int(sizes[at]), alone + 1, taken + 1
+        if taken == counts[at]:
+            at, taken = at + 1, 0
+    left = counts[at:].copy()
+    left[:1] -= taken
+    own = shards - alone
+    for size, first, count, b in best_fit_runs(zip(sizes[at:].tolist(), left.tolist(), strict=True), -(-total // own), own):
+        yield size, first + (taken if at < len(sizes) and size == sizes[at] else 0), count, alone + b
+
+
+def _placed(groups: DataFrame, shards: int | None, capacity: int | None) -> DataFrame:
+    """bytes, first, count, shard of runs of groups of one size: one task over the sizes, of which there are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        sizes, counts = (np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*parts, strict=True) if parts else ((), ())))
+        order = np.argsort(-sizes)
+        out: list[tuple[int, int, int, int]] = []
+        for one in place_groups(sizes[order], counts[order], shards, capacity):
+            out.append(one)
+            if len(out) >= 100_000:
+                yield _runs(out)
+                out = []
+        yield _runs(out)
+
+    sizes = written(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    return sizes.coalesce(1).mapInArrow(run, "bytes long, first long, count long, shard int")
+
+
+def _runs(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["bytes", "first", "count", "shard"])
+
+
+def _numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with numbers from 0 within each key, without gaps. Column part says which task wrote a row: rows are numbered within
+    (key, part), which no task has more of than it read, and parts follow each other."""
+    sizes = df.groupBy(key, "part").agg(F.count(F.lit(1)).alias("m"))
+    behind = F.sum("m").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(key, "part", F.coalesce(behind, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order)) - 1
+    return df.withColumn("place", place).join(before, [key, "part"]).withColumn(name, (F.col("before") + F.col("place")).cast("long")).drop("before", "place")
 
 
 def _measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    part: Column = F.spark_partition_id().alias("part")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"), part)
 
 
-def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", fineness: int = 512) -> DataFrame:
+def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of df.
 
-    Size is the text's UTF-8 bytes plus 1; a null text is an empty one. With shards given, each gets a near equal share of
-    all bytes; else shards of `capacity` bytes are opened as needed, as few as best-fit decreasing finds. Rows of equal text
-    are one group and stay together; only a group larger than a whole shard is cut, by a hash of doc_id, into pieces of about
-    a sixteenth of one, since no shard can hold it. Groups under 1 / fineness of a shard are bundled by
-    hash. Slots count from 0 in each shard without gaps. Null ids and repeated rows are rows like others. No rows, no shards.
+    Size is the text's UTF-8 bytes plus 1; a null text is an empty one. Rows of equal text are one group and always stay
+    together. With shards given, each gets a near equal share of all bytes, but for a group over that share, which fills a
+    shard by itself while the others share the rest; else shards of `capacity` bytes are opened as needed, as few as
+    best-fit decreasing finds, and a larger group gets one of its own. Slots count from 0 in each shard without gaps.
+    Groups of one size are interchangeable. Null ids and repeated rows are rows like others. No rows, no shards.
     """
     rows = written(_measured(df, id_col, text_col), "measured")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-    room = -(-total // shards) if shards else capacity
-    least = max(1, room // fineness)
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    # At most total / least groups are large: shards * fineness of them, whatever the data.
-    large = written(groups.filter(F.col("bytes") >= least).withColumn("pieces", F.when(F.col("bytes") > room, F.ceil(16 * F.col("bytes") / room)).otherwise(1).cast("long")), "large")
-    bundles = max(1, -(-total // least))
-    joined = rows.join(large.select("digest", "pieces"), "digest", "left")
-    row_hash = F.xxhash64("doc_id", "digest", "size")
-    item = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("digest"), F.lit(bundles)).cast("string")).otherwise(F.concat_ws(":", F.hex("digest"), F.pmod(row_hash, F.col("pieces"))))
-    # Within an item, rows are numbered by sub-group of some 1,000, so no window sees a whole hot group.
-    tagged = written(joined.select("doc_id", "size", "text_crc32", item.alias("item")), "tagged")
-    items = written(tagged.groupBy("item").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "items")
-    placed = written(_placed(items, room, shards, fineness), "placed")
-    subs = tagged.join(placed, "item").withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("subs")))
-    sizes = subs.groupBy("shard", "item", "sub").agg(F.count(F.lit(1)).alias("m"))
-    # A row for each sub-group: shards * fineness of them, and one more for each 1,000 rows.
-    before = sizes.withColumn("first", F.sum("m").over(Window.partitionBy("shard").orderBy("item", "sub").rowsBetween(Window.unboundedPreceding, -1))).select("item", "sub", F.coalesce("first", F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("item", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = subs.withColumn("place", place).join(before, ["item", "sub"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))
-
-
-def _placed(items: DataFrame, room: int, shards: int | None, fineness: int) -> DataFrame:
-    """item, subs, shard. A task packs the items of 64 shards at most, some 64 * fineness of them."""
-    subs = F.ceil(F.col("n") / 1_000).cast("long").alias("subs")
-    if shards:
-        parts = max(1, -(-shards // 64))
-    else:
-        parts = max(1, -(-items.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n // (64 * max(1, room))))
-    own = [shards // parts + (k < shards % parts) for k in range(parts)] if shards else None
-    first = [sum(own[:k]) for k in range(parts)] if shards else None
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows["part"].iloc[0])
-        rows = rows.sort_values(["bytes", "item"], ascending=[False, True])
-        sizes = [int(x) for x in rows["bytes"]]
-        share = -(-sum(sizes) // own[part]) if own else room
-        bins = best_fit(sizes, share, own[part] if own else None)
-        return rows[["item", "subs"]].assign(shard=[b + first[part] if own else b * parts + part for b in bins])
-
-    return items.select("item", "bytes", subs, F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")).groupBy("part").applyInPandas(run, "item string, subs long, shard int")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("part", F.spark_partition_id())
+    groups = written(groups, "groups")
+    runs = written(_placed(groups, shards, capacity), "runs")
+    spread = runs.select("bytes", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + count - 1) div {BLOCK})")).alias("block"), "first", "shard")
+    blocks = spread.groupBy("bytes", "block").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("runs"))
+    ranked = _numbered(groups, "bytes", ["digest"], "number").withColumn("block", F.expr(f"number div {BLOCK}"))
+    own = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)["shard"]
+    placed = written(ranked.join(blocks, ["bytes", "block"]).select("digest", "n", own.alias("shard")), "placed")
+    tagged = written(look_up(rows, placed, "digest").drop("digest", "n"), "tagged")
+    return _numbered(tagged, "shard", ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -340,11 +340,56 @@ def test_shards(spark, docs, odd):
     fixed = sharding.shard(docs, shards=None, capacity=200_000).collect()
     loads = check_shards(fixed, 100)
     assert max(loads.values()) <= 200_000 and len(loads) <= 1.1 * sum(loads.values()) / 200_000 + 1
-    hot = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "one hot text " * 300).otherwise(F.col("text")))
-    check_shards(sharding.shard(hot).collect(), 8)
+    for share in (3, 2):
+        hot = docs.withColumn("text", F.when(F.col("doc_id") % share == 0, "one hot text " * 300).otherwise(F.col("text")))
+        rows = sharding.shard(hot).collect()
+        loads = check_shards(rows, 8)
+        crc = zlib.crc32(b"one hot text " * 300)
+        own = {r.shard for r in rows if r.text_crc32 == crc}
+        assert len(own) == 1 and {r.text_crc32 for r in rows if r.shard in own} == {crc}  # over an equal share: whole, and by itself
+        rest = [v for k, v in loads.items() if k not in own]
+        assert len(rest) == 7 and max(rest) - min(rest) <= 0.05 * sum(rest) / 7
     assert len(sharding.shard(odd).collect()) == odd.count() and sharding.shard(odd.limit(0)).count() == 0
 
 
+def brute_best_fit(sizes, capacity, bins=None):
+    """Bin by bin, item by item."""
+    room, out = [capacity] * (bins or 0), []
+    for size in sizes:
+        fit = [(r, b) for b, r in enumerate(room) if r >= size]
+        if fit:
+            b = min(fit)[1]
+        elif bins:
+            b = max((r, b) for b, r in enumerate(room))[1]
+        else:
+            room.append(capacity)
+            b = len(room) - 1
+        room[b] -= size
+        out.append(b)
+    return out
+
+
+def test_runs_equal_item_by_item():
+    rnd = random.Random(12)
+    for k in range(400):
+        sizes = sorted((rnd.choice([rnd.randint(1, 30), 7, 3]) for _ in range(rnd.randrange(1, 60))), reverse=True)
+        bins = rnd.choice([None, 3, 8])
+        capacity = -(-sum(sizes) // bins) if bins else rnd.randint(5, 40)
+        got = []
+        for size, first, count, b in sharding.best_fit_runs(sorted(Counter(sizes).items(), reverse=True), capacity, bins):
+            assert first == sum(s == size for s, _ in got)
+            got += [(size, b)] * count
+        assert got == list(zip(sizes, brute_best_fit(sizes, capacity, bins), strict=True)), k
+        large = np.array(sorted(Counter([*sizes, 1000, 1000, 300]).items(), reverse=True))
+        placed = list(sharding.place_groups(large[:, 0], large[:, 1], 4, None))
+        seen = Counter()
+        for size, first, count, _ in placed:
+            assert first == seen[size]
+            seen[size] += count
+        assert seen == Counter([*sizes, 1000, 1000, 300])
+        assert [b for s, _, _, b in placed if s == 1000] == [0, 1]
+
+
 # media
 
 
