@@ -51,16 +51,17 @@ def hash_embed(text: str, dim: int) -> list[float]:
 def hash_embedding(text: Column, dim: int) -> Column:
     """dim numbers from -1 to 1: the little-endian words of SHA-256 over a little-endian block number and the text."""
 
-    def block(k: int) -> Column:
-        digest = F.sha2(F.concat(F.unhex(F.lit(struct.pack("<I", k).hex())), F.encode(F.coalesce(text, F.lit("")), "UTF-8")), 256)
-
+    def words(digest: Column) -> Column:
         def word(i: int) -> Column:
             at = 8 * i + 1
             return F.conv(F.concat(*[F.substring(digest, at + 2 * b, 2) for b in (3, 2, 1, 0)]), 16, 10).cast("double") / F.lit(4294967295.0) * 2 - 1
 
         return F.array(*[word(i) for i in range(8)])
 
-    return F.slice(F.flatten(F.array(*[block(k) for k in range(-(-dim // 8))])), 1, dim)
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    digests = F.array(*[F.sha2(F.concat(F.unhex(F.lit(struct.pack("<I", k).hex())), data), 256) for k in range(-(-dim // 8))])
+    # The digests are a lambda's variable, so each is computed once for its eight words.
+    return F.slice(F.flatten(F.transform(digests, words)), 1, dim)
 
 
 def weighted_mean(df: DataFrame, by: list[str], vector: str, weight: str) -> DataFrame:

@@ -5,9 +5,16 @@ Each function reads the tables of a folder and returns a lazy DataFrame; columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.batches import by_bytes
+
 EPOCH, MONTH_SECONDS = 1_704_067_200, 2_592_000
 
 
@@ -50,25 +57,33 @@ def outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, line, text, start_byte, end_byte, start_char): the lines of each file with their offsets; the newline isn't part of a line.
+def split_lines(texts: DataFrame) -> DataFrame:
+    """(file_id, line, text, start_byte, end_byte, start_char) of (file_id, text): lines with their offsets; the newline isn't part of a line.
 
-    Offsets are a running sum over the file's own array of lines, so nothing is shuffled.
+    A running sum over each file's own lines, with whole Arrow arrays: linear in the text, and nothing is shuffled. A null
+    text is an empty one, which is one empty line.
     """
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
-    zero = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<text:string,b:bigint,c:bigint>>").alias("out"))
-    step = F.aggregate(
-        "parts",
-        zero,
-        lambda s, x: F.struct(
-            (s["b"] + F.octet_length(x) + 1).alias("b"),
-            (s["c"] + F.char_length(x) + 1).alias("c"),
-            F.concat(s["out"], F.array(F.struct(x.alias("text"), s["b"].alias("b"), s["c"].alias("c")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    rows = d.select("file_id", F.posexplode(step).alias("line", "x"))
-    return rows.select("file_id", "line", F.col("x.text").alias("text"), F.col("x.b").alias("start_byte"), (F.col("x.b") + F.octet_length("x.text")).alias("end_byte"), F.col("x.c").alias("start_char"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            parts = pc.split_pattern(pc.fill_null(batch.column(1), ""), "\n")
+            counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+            line = parts.flatten()
+            first = np.repeat(np.cumsum(counts) - counts, counts)
+            columns = {"file_id": batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), "line": pa.array(np.arange(len(first)) - first, pa.int32()), "text": line}
+            for name, sizes in (("byte", pc.binary_length(line)), ("char", pc.utf8_length(line))):
+                size = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.cumsum(size + 1) - size - 1
+                columns[f"start_{name}"] = start - start[first]
+                columns[f"end_{name}"] = columns[f"start_{name}"] + size
+            yield pa.record_batch({k: columns[k] for k in ("file_id", "line", "text", "start_byte", "end_byte", "start_char")})
+
+    return texts.select(F.col("file_id").cast("long").alias("file_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "file_id long, line int, text string, start_byte long, end_byte long, start_char long")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split_lines() of all documents."""
+    return split_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

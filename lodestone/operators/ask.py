@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decay, note_type
 
+# Days that each mode looks back.
 WINDOW_DAYS = {"recent": 7, "month": 30, "year": 180, "all": None, "hybrid": None}
 
 

@@ -60,6 +60,7 @@ def route_by_rules(df: DataFrame, text: str = "text") -> DataFrame:
     rows = _with_counts(df, text)
     rivals = sum((F.when((F.col(f"n_{k}") > 0) & (F.col(f"n_{k}") >= F.col("best") * 0.7), 1).otherwise(0) for k in KEYWORDS), F.lit(0))
     rows = rows.withColumn("ambiguous", F.coalesce((F.col("best") > 0) & ~F.col("short") & (rivals > 1), F.lit(False)))
+    # Confidence by how many keywords were found.
     ladder = F.when(F.col("best") == 1, F.when(F.col("ambiguous"), 0.5).otherwise(0.6)).when(F.col("best") == 2, F.when(F.col("ambiguous"), 0.65).otherwise(0.75)).otherwise(F.when(F.col("ambiguous"), 0.75).otherwise(0.9))
     known = ~F.col("short") & (F.col("best") > 0)
     return rows.select(

@@ -82,26 +82,30 @@ def proposals(df: DataFrame, key: str = "capture_id", text: str = "text") -> Dat
     return rows.select(key, "ord", "p.artifact_type", "p.title", F.round(F.col("own") * F.col("p.share"), 4).alias("confidence"))
 
 
-def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", small: int = 1000, gram: int = 8) -> DataFrame:
-    """Tasks whose text stands in no existing todo text.
+def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", gram: int = 16) -> DataFrame:
+    """Tasks whose text stands in no existing todo text. A null task is new; an empty one stands in any text.
 
-    Up to `small` todo texts are broadcast. Beyond that, tasks and todo texts meet by the task's first `gram` characters,
-    which stand somewhere in any text that holds the task; the whole task is compared after that. An empty task stands in any text.
+    Distinct tasks and todo texts meet by the task's first `gram` characters, or all of a shorter one, which stand somewhere
+    in any text that holds the task; the whole task is compared after that. Todo texts are cut only to the lengths that
+    tasks have, of which there are gram + 1 at most. A text's own repeated cuts count once.
     """
-    texts = existing.select(F.col(todo).alias("__todo")).filter("__todo is not null")
-    if texts.limit(small + 1).count() <= small:
-        return found.join(F.broadcast(texts), F.col("__todo").contains(F.col(task)), "left_anti")
-    windows = [F.expr(f"transform(sequence(1, greatest(char_length(__todo), 1)), i -> substring(__todo, i, {n}))") for n in range(1, gram + 1)]
-    pieces = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *windows)))
-    keyed = texts.select("__todo", F.explode(pieces).alias("__key"))
-    tasks = found.withColumn("__start", F.substring(F.col(task), 1, gram))
-    return tasks.join(keyed, (F.col("__start") == F.col("__key")) & F.col("__todo").contains(F.col(task)), "left_anti").drop("__start")
-
-
-def new_entities(found: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:
-    """Entities (name, kind) not known yet, the first of each name (whatever its case) and kind."""
-    rows = found.withColumn("__low", F.lower("name")).join(known.select(F.lower("name").alias("__low"), "kind").distinct(), ["__low", "kind"], "left_anti")
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__low", "kind").orderBy(*order))).filter("__n = 1").drop("__low", "__n")
+    texts = existing.select(F.col(todo).alias("__todo")).filter("__todo is not null").distinct()
+    start = F.substring(F.col(task), 1, gram)
+    one = found.select(F.col(task).alias("__task"), start.alias("__start")).filter("__task is not null").distinct()
+    lengths = [r.n for r in one.select(F.char_length("__start").alias("n")).distinct().collect()]
+    if not lengths:
+        return found
+    windows = [F.expr(f"transform(sequence(1, greatest(char_length(__todo) - {n - 1}, 1)), i -> substring(__todo, i, {n}))") for n in lengths]
+    keyed = texts.select("__todo", F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("__key"))
+    known = one.join(keyed, (F.col("__start") == F.col("__key")) & F.col("__todo").contains(F.col("__task")), "left_semi").select("__task")
+    return found.join(known, F.col(task) == F.col("__task"), "left_anti")
+
+
+def new_entities(found: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """Entities (name, kind) not known yet, the first by the given columns of each name (whatever its case) and kind: an aggregate that combines before the shuffle."""
+    first = found.groupBy(F.lower("name").alias("__low"), F.col("kind").alias("__kind")).agg(F.min_by(F.struct(*found.columns), F.struct(*order, *[c for c in found.columns if c not in order])).alias("__row"))
+    old = known.select(F.lower("name").alias("__low"), F.col("kind").alias("__kind")).distinct()
+    return first.join(old, ["__low", "__kind"], "left_anti").select("__row.*").select(*found.columns)
 
 
 def salient_lines(lines: DataFrame) -> DataFrame:

@@ -26,8 +26,10 @@ def status_counts(changes: DataFrame) -> DataFrame:
 
 
 def merge_by_key(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """current with the rows of updates in place of those with the same keys."""
-    return current.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(*current.columns))
+    """current with the rows of updates in place of those with the same keys; of updates that repeat a key one stays, the largest by its other columns."""
+    rest = [c for c in current.columns if c not in keys]
+    last = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__last")).select(*keys, "__last.*") if rest else updates.select(*keys).distinct()
+    return current.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*current.columns))
 
 
 def insert_or_ignore(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import row_numbers
+
 
 def tail(lines: DataFrame, n: int = 20, order: str = "line_no", json: str = "value", schema: str = "event_id string, run_id string, ts string, event_type string, capture_id string, payload map<string,string>") -> DataFrame:
     """The last n lines of a log, then those of them that parse."""
@@ -26,7 +28,7 @@ def watermark(records: DataFrame, by: str, time: str) -> DataFrame:
     return records.groupBy(by).agg(F.max(time).alias("watermark"))
 
 
-#: What each review action makes of an item.
+# What each review action makes of an item.
 STATUS = {"approve": "approved", "veto": "vetoed", "correct": "corrected", "defer": "deferred"}
 
 
@@ -50,7 +52,8 @@ def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFr
     return events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def collision_names(items: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """items with file_name: name.json, then name_1.json, name_2.json."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return items.withColumn("file_name", F.concat(name, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".json")))
+def collision_names(items: DataFrame, name: str, order: list[Column], bucket: Column | None = None) -> DataFrame:
+    """items with file_name: name.json, then name_1.json, name_2.json. bucket: see row_numbers()."""
+    n = F.col("__k") - 1
+    rows = row_numbers(items, [name], order, "__k", bucket)
+    return rows.withColumn("file_name", F.concat(name, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".json"))).drop("__k")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ask import last_n
 from .index import dangling_embeddings, merge_by_key
 from .search import cosine_topk
 
@@ -54,7 +55,10 @@ def _kept(old: Column, new: Column, most: int) -> Column:
 
 
 def append_to_sessions(sessions: DataFrame, rows: DataFrame, column: str, fields: list[str], order: str, most: int) -> DataFrame:
-    """sessions with the rows' fields behind those of `column`, by order, the last `most` kept; updated_at follows order."""
+    """sessions with the rows' fields behind those of `column`, by order, the last `most` kept; updated_at follows order.
+
+    A session's rows are cut to its last `most` before they are listed."""
+    rows = last_n(rows, ["session_id"], [F.desc(order), *[F.desc(f) for f in fields if f != order]], most)
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     new = rows.groupBy("session_id").agg(items.alias("__new"), F.max(order).cast("string").alias("__at"))
     out = sessions.join(new, "session_id", "left")

@@ -60,20 +60,29 @@ def _intent_sql() -> str:
         SELECT capture_id, coalesce(hard, 'reflect') AS intent, (CASE WHEN hard IS NULL THEN 0.5 ELSE 0.99 END)::DOUBLE AS confidence, CASE coalesce(hard, 'reflect') {agents} END AS agent FROM h"""
 
 
-#: A text in the words of the corpus that stands in for what people write: the corpus itself has none of the trigger words.
+#: Words of the corpus that stand in for what people write, in all its languages: the corpus itself has none of the trigger words.
+WORDS = ((" of ", " need to "), (" de ", " need to "), (" und ", " need to "), (" that ", " should "), (" la ", " should "), (" die ", " should "), (" by ", " urgent "), (" en ", " urgent "))
+
+
 def _said(text):
-    """The text with some of its own stems turned into triggers, so that extraction has something to find."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\b[Oo]f\b", "need to"), r"\b[Tt]hat\b", "should"), r"\b[Bb]y\b", "urgent")
+    """The text with some of its own words turned into triggers, so that extraction has something to find."""
+    for word, trigger in WORDS:
+        text = F.replace(text, F.lit(word), F.lit(trigger))
+    return text
 
 
-_SAID = r"regexp_replace(regexp_replace(regexp_replace(text, '\b[Oo]f\b', 'need to', 'g'), '\b[Tt]hat\b', 'should', 'g'), '\b[Bb]y\b', 'urgent', 'g')"
+def _said_sql(column: str) -> str:
+    for word, trigger in WORDS:
+        column = f"replace({column}, '{word}', '{trigger}')"
+    return column
 
 
 def _notes(spark, d):
-    return model.table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("capture_id"), _said(F.coalesce("text", F.lit(""))).alias("text"))
+    """All captures, in these words."""
+    return model.captures(spark, d).select("capture_id", _said(F.col("text")).alias("text"))
 
 
-_NOTES = f"WITH captures AS (SELECT doc_id::VARCHAR AS capture_id, {_SAID} AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE lang = 'en'))"
+_NOTES = f"{_C.replace('captures AS', 'raw_captures AS', 1)}, captures AS (SELECT capture_id, {_said_sql('text')} AS text FROM raw_captures)"
 
 
 def route_notes(spark, d):
@@ -175,15 +184,16 @@ def proposal_fanout(spark, d):
 
 
 def todo_substring_antijoin(spark, d):
-    tasks = model.lines(spark, d).filter("line = 0").select("file_id", F.substring("text", 1, 3).alias("text"))
-    todo = model.table(spark, d, "benchmark").filter("item_id % 10 = 0").select(F.col("text").alias("todo"))
+    """The tasks of all captures that stand in none of the benchmark's texts."""
+    tasks = _notes(spark, d).select("capture_id", F.posexplode(distill.tasks(F.col("text"))).alias("pos", "t")).select("capture_id", "pos", "t.text")
+    todo = model.table(spark, d, "benchmark").select(_said(F.col("text")).alias("todo"))
     return distill.new_tasks(tasks, todo)
 
 
 def entity_dedupe_antijoin(spark, d):
     found = distill.entities(model.captures(spark, d))
     known = found.filter(F.length("name") % 2 == 0)
-    return distill.new_entities(found, known, [F.asc("capture_id"), F.asc("ord")]).select("name", "kind", "capture_id")
+    return distill.new_entities(found, known, ["capture_id", "ord"]).select("name", "kind", "capture_id")
 
 
 _ENTITIES = r"""w AS (SELECT capture_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x != '') AS words FROM captures),
@@ -206,8 +216,9 @@ def safe_titles(spark, d):
 
 
 def path_dedupe_suffix(spark, d):
-    notes = model.messages(spark, d).filter("turn < 2").select("conv_id", "turn", F.concat(F.lit("chats/"), "role").alias("folder"), F.substring(F.regexp_replace("content", "[^a-zA-Z ]", ""), 1, 3).alias("title"))
-    return conversations.note_paths(notes, "folder", "title", ["conv_id", "turn"]).select("conv_id", "turn", "path")
+    title = safe_title(F.substring("content", 1, 40), F.concat(F.lit("chat-"), F.col("conv_id").cast("string")))
+    notes = model.messages(spark, d).select("conv_id", "turn", F.concat(F.lit("chats/"), "role").alias("folder"), title.alias("title"))
+    return conversations.note_paths(notes, "folder", "title", ["conv_id", "turn"], bucket=F.expr("conv_id div 1000")).select("conv_id", "turn", "path")
 
 
 def capture_types(spark, d):
@@ -219,7 +230,7 @@ def capture_types(spark, d):
 def _blocks(spark, d):
     text = F.col("text")
     a, b = F.lit("<!-- NOTE:START -->"), F.lit("<!-- NOTE:END -->")
-    body = F.substring(text, 1, 60)
+    body = text
     made = F.when(F.col("file_id") % 4 == 0, body).when(F.col("file_id") % 4 == 1, F.concat(body, a, F.lit("old"), b, F.lit(" tail"))).when(F.col("file_id") % 4 == 2, F.concat(b, body, a)).otherwise(F.concat(a, F.lit("x"), b, body, a, F.lit("y"), b))
     return model.files(spark, d).select("file_id", made.alias("text"))
 
@@ -229,12 +240,14 @@ def marker_block_status(spark, d):
     return rows.select("file_id", "status", F.md5("text").alias("md5"))
 
 
-_MARKERS = r"""f AS (SELECT doc_id AS file_id, coalesce(text, '')[:60] AS body FROM documents),
+_MARKERS = r"""f AS (SELECT doc_id AS file_id, coalesce(text, '') AS body FROM documents),
     t AS (SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'existing' ELSE 'recovered' END AS status,
         CASE WHEN file_id % 4 = 1 THEN body || '<!-- NOTE:START -->' || chr(10) || 'fresh' || chr(10) || '<!-- NOTE:END --> tail'
         ELSE regexp_replace(body, '\s+$', '') || chr(10) || chr(10) || '<!-- NOTE:START -->' || chr(10) || 'fresh' || chr(10) || '<!-- NOTE:END -->' || chr(10) END AS text FROM f)"""
 
 _M = "WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS content FROM conversations)"
+_TITLES = r"""bare AS (SELECT conv_id, turn, role, trim(regexp_replace(content[:40], '[^\p{L}\p{N} _-]', '', 'g')) AS title FROM m),
+    titles AS (SELECT conv_id, turn, role, CASE WHEN title = '' THEN 'chat-' || conv_id ELSE title END AS title FROM bare)"""
 QUERIES = {
     "route_rule": (route_rule, f"{_KC} SELECT capture_id, label, confidence, ambiguous FROM rules"),
     "route_rule_gate_counts": (route_rule_gate_counts, f"{_KC} SELECT label, confidence >= 0.7 AS routed, count(*) AS n FROM rules GROUP BY ALL"),
@@ -255,11 +268,11 @@ QUERIES = {
     "distill_tasks": (distill_tasks, f"{_NOTES}, {_TASKS} SELECT capture_id, pos, text, priority FROM t"),
     "distill_entities": (distill_entities, f"{_C}, {_ENTITIES} SELECT capture_id, ord, name, kind FROM ent"),
     "proposal_fanout": (proposal_fanout, f"{_NOTES}, {_TASKS}, {_SUMMARY} SELECT capture_id, 0::BIGINT AS ord, 'note' AS artifact_type, summary[:80] AS title, round(confidence, 4) AS confidence FROM sm UNION ALL SELECT t.capture_id, pos + 1, 'task', t.text[:80], round(confidence * 0.9::DOUBLE, 4) FROM t JOIN sm ON sm.capture_id = t.capture_id"),
-    "todo_substring_antijoin": (todo_substring_antijoin, f"{model.with_sql('lines')}, t AS (SELECT file_id, text[:3] AS text FROM lines WHERE line = 0) SELECT file_id, text FROM t WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE item_id % 10 = 0 AND contains(b.text, t.text))"),
+    "todo_substring_antijoin": (todo_substring_antijoin, f"{_NOTES}, {_TASKS}, todo AS MATERIALIZED (SELECT DISTINCT {_said_sql('text')} AS todo FROM benchmark WHERE text IS NOT NULL) SELECT capture_id, pos, text FROM t WHERE NOT EXISTS (SELECT 1 FROM todo WHERE contains(todo, t.text))"),
     "entity_dedupe_antijoin": (entity_dedupe_antijoin, f"{_C}, {_ENTITIES}, known AS (SELECT DISTINCT lower(name) AS low, kind FROM ent WHERE length(name) % 2 = 0) SELECT name, kind, capture_id FROM ent WHERE (lower(name), kind) NOT IN (SELECT (low, kind) FROM known) QUALIFY row_number() OVER (PARTITION BY lower(name), kind ORDER BY capture_id, ord) = 1"),
     "salience_lines": (salience_lines, f"{model.with_sql('lines')}, r AS (SELECT file_id, line, trim(regexp_replace(text, '\\b[Ww]hat of\\b|\\b[Bb]y the\\b', 'next', 'g')) AS bare FROM lines), s AS (SELECT file_id, line, bare, lower(replace(bare, '’', chr(39))) AS low FROM r) SELECT file_id, line FROM s WHERE bare != '' AND (contains(bare, '?') OR bare[1] IN ('-', '*', '•') OR contains(low, 'i realized') OR contains(low, 'the point is') OR contains(low, 'what i''m saying') OR contains(low, 'decision') OR contains(low, 'so i''m going to') OR contains(low, 'next') OR contains(low, 'action') OR contains(low, 'summary'))"),
-    "safe_titles": (safe_titles, rf"{_M}, t AS (SELECT conv_id, turn, trim(regexp_replace(content[:40], '[^\p{{L}}\p{{N}} _-]', '', 'g')) AS title FROM m) SELECT conv_id, turn, CASE WHEN title = '' THEN 'chat-' || conv_id ELSE title END AS title FROM t"),
-    "path_dedupe_suffix": (path_dedupe_suffix, f"{_M}, t AS (SELECT conv_id, turn, 'chats/' || role AS folder, regexp_replace(content, '[^a-zA-Z ]', '', 'g')[:3] AS title FROM m WHERE turn < 2), n AS (SELECT *, row_number() OVER (PARTITION BY folder, title ORDER BY conv_id, turn) AS n FROM t) SELECT conv_id, turn, folder || '/' || title || (CASE WHEN n > 1 THEN '-' || n ELSE '' END) || '.md' AS path FROM n"),
+    "safe_titles": (safe_titles, f"{_M}, {_TITLES} SELECT conv_id, turn, title FROM titles"),
+    "path_dedupe_suffix": (path_dedupe_suffix, f"{_M}, {_TITLES}, n AS (SELECT conv_id, turn, 'chats/' || role AS folder, title, row_number() OVER (PARTITION BY role, title ORDER BY conv_id, turn) AS n FROM titles) SELECT conv_id, turn, folder || '/' || title || (CASE WHEN n > 1 THEN '-' || n ELSE '' END) || '.md' AS path FROM n"),
     "capture_types": (capture_types, "SELECT ['markdown', 'text', 'audio', 'image', 'pdf', 'json', 'other'][doc_id % 7 + 1] AS content_type, count(*) AS n FROM documents GROUP BY 1"),
     "marker_block_status": (marker_block_status, f"WITH {_MARKERS} SELECT file_id, status, md5(text) AS md5 FROM t"),
 }

@@ -17,10 +17,11 @@ def chunk_lines_offsets(spark, d):
 
 
 def section_end_lead(spark, d):
-    """Sections begin at every third line; each ends where the next begins, the last at the end of the file."""
+    """Each heading's section ends where the next heading begins, the last at the end of the file."""
+    files = _markdown(spark, d)
+    heads = markdown.headings(markdown.parse_files(files)).join(files.select("file_id", F.octet_length("content").cast("long").alias("size")), "file_id")
     w = Window.partitionBy("file_id").orderBy("start_byte")
-    heads = model.lines(spark, d).filter("line % 3 = 0").join(model.files(spark, d).select("file_id", "size_bytes"), "file_id")
-    return heads.select("file_id", "line", "start_byte", F.lead("start_byte", 1).over(w).alias("next"), "size_bytes").select("file_id", "line", "start_byte", F.coalesce("next", "size_bytes").alias("end_byte"))
+    return heads.select("file_id", "line", "start_byte", F.coalesce(F.lead("start_byte", 1).over(w), "size").alias("end_byte"))
 
 
 def _chunks(spark, d):
@@ -39,7 +40,8 @@ def chunk_ids_hashes(spark, d):
 
 
 def headings_signature(spark, d):
-    return index.ordered_digest(model.lines(spark, d).filter("line % 3 = 0"), "file_id", "line", F.concat_ws(":", (F.col("line") % 2 + 1).cast("string"), "text", F.col("start_byte").cast("string")))
+    heads = markdown.headings(markdown.parse_files(_markdown(spark, d)))
+    return index.ordered_digest(heads, "file_id", "ord", F.concat_ws(":", F.col("level").cast("string"), "text", F.col("start_byte").cast("string")))
 
 
 def file_vector_hash(spark, d):
@@ -145,15 +147,19 @@ def markdown_chunks(spark, d):
     files = _markdown(spark, d)
     c = markdown.chunk_files(files, "sha-16", 300).join(files.select("file_id", "content"), "file_id")
     same = F.sha2(F.substring("content", F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), 256) == F.col("text_hash")
-    return c.groupBy("file_id").agg(F.min("start_byte").alias("first"), F.max("end_byte").alias("last"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"), F.max(F.col("end_byte") - F.col("start_byte")).alias("most"), F.count_if(~same).alias("differing"))
+    return c.groupBy("file_id").agg(F.min("start_byte").alias("first"), F.max("end_byte").alias("last"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"), (F.max(F.col("end_byte") - F.col("start_byte")) <= 300).alias("within"), F.count_if(~same).alias("differing"))
 
 
 _MD = r"""m AS (SELECT *, CASE line % 4 WHEN 0 THEN '# ' || text WHEN 2 THEN '## ' || text WHEN 3 THEN '[[Page ' || line || '#sec|alias]] #tag' || (line % 3) || ' ' || text ELSE text END AS md FROM lines)"""
+#: Where each line of these notes begins: behind the frontmatter and the lines before it.
+_AT = """hd AS (SELECT doc_id AS file_id, octet_length(encode(concat('---', chr(10), 'date: 01-02-2024', chr(10), 'tags: ["', lang, '", #', source, '"]', chr(10), '---', chr(10)))) + 1 AS head FROM documents),
+    pos AS (SELECT m.*, (head + coalesce(sum(octet_length(encode(md)) + 1) OVER (PARTITION BY m.file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first_byte,
+        (head + sum(octet_length(encode(md)) + 1) OVER (PARTITION BY m.file_id) - 1)::BIGINT AS size FROM m JOIN hd ON hd.file_id = m.file_id)"""
 QUERIES = {
     "chunk_lines_offsets": (chunk_lines_offsets, f"{_L} SELECT file_id, line, start_byte, end_byte, start_char, md5(text) AS md5 FROM lines"),
-    "section_end_lead": (section_end_lead, f"{_FL} SELECT l.file_id, line, start_byte, coalesce(lead(start_byte) OVER (PARTITION BY l.file_id ORDER BY start_byte), size_bytes) AS end_byte FROM lines l JOIN files f ON f.file_id = l.file_id WHERE line % 3 = 0"),
+    "section_end_lead": (section_end_lead, f"{_L}, {_MD}, {_AT} SELECT file_id, (line + 5)::INT AS line, first_byte AS start_byte, coalesce(lead(first_byte) OVER (PARTITION BY file_id ORDER BY first_byte), size) AS end_byte FROM pos WHERE line % 2 = 0"),
     "chunk_ids_hashes": (chunk_ids_hashes, f"{_FL}, {_CHUNKS} SELECT file_id, line, text_hash, chunk_id, chunk_hash FROM chunks"),
-    "headings_signature": (headings_signature, f"{_L} SELECT file_id, sha256(string_agg((line % 2 + 1) || ':' || text || ':' || start_byte, '|' ORDER BY line)) AS digest FROM lines WHERE line % 3 = 0 GROUP BY file_id"),
+    "headings_signature": (headings_signature, f"{_L}, {_MD}, {_AT} SELECT file_id, sha256(string_agg((CASE WHEN line % 4 = 0 THEN 1 ELSE 2 END) || ':' || {_SQUEEZE} || ':' || first_byte, '|' ORDER BY line)) AS digest FROM pos WHERE line % 2 = 0 GROUP BY file_id"),
     "file_vector_hash": (file_vector_hash, f"{_FL}, {_CHUNKS} SELECT file_id, sha256(string_agg(chunk_hash, '|' ORDER BY start_byte)) AS digest FROM chunks GROUP BY file_id"),
     "cdc_classify": (cdc_classify, f"{_F} SELECT rel_path, {_STATUS} AS status FROM files"),
     "cdc_counts": (cdc_counts, f"{_F} SELECT {_STATUS} AS status, count(*) AS n FROM files GROUP BY 1"),
@@ -170,5 +176,5 @@ QUERIES = {
     "markdown_links": (markdown_links, f"{_L} SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY line) - 1)::INT AS ord, 'Page ' || line AS target, 'sec' AS section, 'alias' AS alias, (line + 5)::INT AS line FROM lines WHERE line % 4 = 3"),
     "markdown_tags": (markdown_tags, rf"""{_L}, {_MD}, h AS (SELECT file_id, unnest(regexp_extract_all(md, '(?:^|[\s(\[{{<"'':;.,!?])#([A-Za-z0-9_/-]+)', 1)) AS name FROM m)
         SELECT doc_id AS file_id, lang AS name, 'frontmatter' AS source FROM documents UNION SELECT doc_id, source, 'frontmatter' FROM documents UNION SELECT file_id, name, 'inline' FROM h"""),
-    "markdown_chunks": (markdown_chunks, None),
+    "markdown_chunks": (markdown_chunks, f"{_L}, {_MD}, {_AT} SELECT file_id, 0::BIGINT AS first, any_value(size) AS last, any_value(size) AS bytes, true AS within, 0::BIGINT AS differing FROM pos GROUP BY file_id"),
 }

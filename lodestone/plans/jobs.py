@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import excerpt
 from ..functions.vectors import hash_embed, hash_embedding
 from ..operators import ask, conversations, index, markdown, search
+from ..operators.textindex import TextIndex
 from ..sources import vault
 
 
@@ -23,22 +24,29 @@ def with_snapshot(settings: dict, snapshot: dict | None) -> dict:
     return out
 
 
-def ask_plan(chunks: DataFrame, files: DataFrame, vectors: DataFrame, outlinks: DataFrame, query: str, vector: list[float], pinned: DataFrame | None = None, mode: str = "hybrid", top_k: int = 10, per_file_cap: int = 3, packed_max_chars: int = 8000, expand: int = 10, file_key: str = "file_id") -> DataFrame:
-    """The packed excerpts of a question, by rank: hybrid hits, then neighbours, then pins; temporal order, dedupe and cap, budget.
+HIT = ["file_id", "rel_path", "title", "heading_path", "start_byte", "end_byte", "effective_date", "mtime_ns", "score", "expanded_context", "excerpt", "part"]
 
-    chunks: one or more for each file, with start_byte and end_byte, their file named by file_key; files: one row each. What follows the search has
-    top_k + expand + pinned rows.
-    """
-    columns = ["file_id", "rel_path", "title", "heading_path", "start_byte", "end_byte", "effective_date", "mtime_ns", "score", "expanded_context", "excerpt", "part"]
-    primary = search.hybrid(chunks, vectors, query, vector, top_k)
-    hits = primary.withColumn("expanded_context", F.lit(False)).withColumn("part", F.lit(0)).select(columns)
+
+def gather(chunks: DataFrame, files: DataFrame, vectors: DataFrame, outlinks: DataFrame, query: str, vector: list[float], pinned: DataFrame | None = None, top_k: int = 10, expand: int = 10, file_key: str = "file_id", text_index: TextIndex | None = None) -> DataFrame:
+    """The hits of a question: those of the hybrid search, the newest neighbours of their files, a session's pins; part says which."""
+    primary = search.hybrid(chunks, vectors, query, vector, top_k, index=text_index)
+    hits = primary.withColumn("expanded_context", F.lit(False)).withColumn("part", F.lit(0)).select(HIT)
     near = search.expand_links(primary.select(F.col(file_key).alias("file_id"), "title").distinct(), files, outlinks, expand)
     near = near.withColumn("excerpt", excerpt(F.col("text"), query)).withColumn("part", F.lit(1))
-    hits = hits.unionByName(near.select(columns))
+    hits = hits.unionByName(near.select(HIT))
     if pinned is not None:
         kept = search.dated(ask.pins(chunks, pinned)).withColumns({"score": F.lit(0.0), "expanded_context": F.lit(False), "excerpt": excerpt(F.col("text"), query), "part": F.lit(2)})
-        hits = hits.unionByName(kept.select(columns))
-    return ask.pack(ask.rerank(ask.temporal(hits, mode), per_file_cap), packed_max_chars)
+        hits = hits.unionByName(kept.select(HIT))
+    return hits
+
+
+def ask_plan(*tables, mode: str = "hybrid", per_file_cap: int = 3, packed_max_chars: int = 8000, **how) -> DataFrame:
+    """The packed excerpts of a question, by rank: what gather() finds in temporal order, deduped and capped, within the budget.
+
+    tables and how: see gather(). chunks: one or more for each file, with start_byte and end_byte, their file named by
+    file_key; files: one row each. What follows the search has top_k + expand + pinned rows; a session keeps few pins.
+    """
+    return ask.pack(ask.rerank(ask.temporal(gather(*tables, **how), mode), per_file_cap), packed_max_chars)
 
 
 def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16", dim: int = 16, most: int = 4000, exclude: list[str] | None = None) -> dict[str, int]:

@@ -28,7 +28,7 @@ def manifest_latest(spark, d):
 
 
 def resume_watermark(spark, d):
-    return ledger.watermark(model.ledger(spark, d).filter("k % 2 = 0"), "run_id", "ts").select("run_id", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss").alias("watermark"))
+    return ledger.watermark(model.ledger(spark, d), "run_id", "ts").select("run_id", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss").alias("watermark"))
 
 
 def _actions(spark, d):
@@ -64,7 +64,7 @@ def daily_overview_rollup(spark, d):
 
 def artifact_collisions(spark, d):
     items = model.ledger(spark, d).select("event_id", F.concat(F.col("event_type"), F.lit("-"), (F.col("run_id") % 10).cast("string")).alias("name"))
-    return ledger.collision_names(items, "name", [F.asc("event_id")]).select("event_id", "file_name")
+    return ledger.collision_names(items, "name", [F.asc("event_id")], bucket=F.expr("event_id div 100000")).select("event_id", "file_name")
 
 
 def ledger_windows(spark, d):
@@ -77,7 +77,7 @@ QUERIES = {
     "ledger_tail": (ledger_tail, f"{_E} SELECT event_id AS line_no, event_id::VARCHAR AS event_id, run_id::VARCHAR AS run_id, event_type FROM (SELECT * FROM ledger ORDER BY event_id DESC LIMIT 200) WHERE event_id % 7 != 0"),
     "manifest_totals": (manifest_totals, f"{_E} SELECT event_type, count(*) AS discovered, count(*) FILTER (k % 5 = 0) AS errored, sum(k)::BIGINT AS k FROM ledger GROUP BY 1"),
     "manifest_latest": (manifest_latest, f"{_E} SELECT event_type, event_id, run_id, k FROM ledger QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1"),
-    "resume_watermark": (resume_watermark, f"{_E} SELECT run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS watermark FROM ledger WHERE k % 2 = 0 GROUP BY 1"),
+    "resume_watermark": (resume_watermark, f"{_E} SELECT run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS watermark FROM ledger GROUP BY 1"),
     "review_state_fold": (review_state_fold, f"{_E}, {_ACTIONS}, l AS (SELECT item_id, arg_max(action, seq) AS last, count(*) FILTER (action = 'defer') AS defers, max(seq) AS changed FROM a WHERE action != 'quit' GROUP BY 1) SELECT c_custkey AS item_id, CASE last WHEN 'approve' THEN 'approved' WHEN 'veto' THEN 'vetoed' WHEN 'correct' THEN 'corrected' WHEN 'defer' THEN 'deferred' ELSE 'pending' END AS status, coalesce(defers, 0) AS defer_count, coalesce(changed, -1) AS status_changed FROM customer LEFT JOIN l ON c_custkey = item_id"),
     "review_tallies": (review_tallies, f"{_E}, {_ACTIONS} SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'veto') AS vetoed, count(*) FILTER (action = 'correct') AS corrected, count(*) FILTER (action = 'defer') AS deferred FROM a"),
     "session_last_n_queries": (session_last_n_queries, f"{_E} SELECT run_id, event_id, event_type FROM ledger QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) <= 3"),

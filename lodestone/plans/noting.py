@@ -1,4 +1,4 @@
-"""Registered queries: note texts and whole asks."""
+"""Registered queries: note texts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..operators import distill, notes
-from . import jobs, retrieval
 from .capturing import _NOTES, _SUMMARY, _TASKS
 from .capturing import _notes as _captures
 
@@ -16,7 +15,7 @@ def daily_note_blocks(spark, d):
     text = F.col("text")
     none = F.array().cast("array<struct<name:string,kind:string>>")
     block = notes.daily_block(F.col("capture_id"), F.lit("10:00"), F.col("capture_id"), distill.summary(text), F.array().cast("array<string>"), none, distill.tasks(text))
-    return rows.select("capture_id", F.md5(notes.appended(F.when(F.col("capture_id").cast("long") % 2 == 0, F.lit("# Day\n")), block, "# New\n")).alias("md5"))
+    return rows.select("capture_id", F.md5(notes.appended(F.when(F.length("capture_id") % 2 == 0, F.lit("# Day\n")), block, "# New\n")).alias("md5"))
 
 
 def todo_blocks(spark, d):
@@ -37,7 +36,7 @@ def transcript_day_notes(spark, d):
 
 
 def frontmatter_updates(spark, d):
-    rows = model.files(spark, d).select("file_id", F.concat(F.lit("---\ntitle: \"a\"\nsummary: old\n  more\nlang: "), "lang", F.lit("\n---\n"), F.substring("text", 1, 50)).alias("note"))
+    rows = model.files(spark, d).select("file_id", F.concat(F.lit("---\ntitle: \"a\"\nsummary: old\n  more\nlang: "), "lang", F.lit("\n---\n"), "text").alias("note"))
     new = notes.update_frontmatter(F.col("note"), {"summary": F.col("file_id").cast("string")})
     fields = notes.scalar_fields(notes.frontmatter(new))
     return rows.select("file_id", F.md5(new).alias("md5"), fields["lang"].alias("lang"), fields["summary"].alias("summary"))
@@ -53,19 +52,12 @@ def tolerant_answers(spark, d):
     return notes.metadata_payload(rows, "v").select("file_id", F.coalesce("signpost", F.lit("none")).alias("signpost"), F.coalesce("summary", F.lit("none")).alias("summary"), F.coalesce(F.array_join("themes", ","), F.lit("none")).alias("themes"))
 
 
-def ask_pipeline(spark, d):
-    chunks = retrieval._chunks(spark, d)
-    pinned = model.files(spark, d).filter("file_id % 250 = 3").select("rel_path", F.lit(0).cast("long").alias("start_byte"), F.col("size_bytes").alias("end_byte"), F.col("file_id").alias("pos"))
-    rows = jobs.ask_plan(chunks, chunks, model.embeddings(spark, d), model.outlinks(spark, d), retrieval.PHRASE, retrieval.VECTOR, pinned, packed_max_chars=6000)
-    return rows.select(F.col("rank").cast("long").alias("rank"), "file_id", F.round("temporal_score", 6).alias("temporal_score"), "cost")
-
-
 _MARK = "CASE priority WHEN 'high' THEN '[HIGH]' WHEN 'low' THEN '[LOW]' ELSE '[MED]' END"
 QUERIES = {
     "daily_note_blocks": (daily_note_blocks, f"""{_NOTES}, {_TASKS}, {_SUMMARY}, tl AS (SELECT capture_id, string_agg('- [ ] ' || {_MARK} || ' ' || text, chr(10) ORDER BY pos) AS items FROM t GROUP BY 1),
         blk AS (SELECT sm.capture_id, '<!-- block:' || sm.capture_id || ' begin -->' || chr(10) || '### Distilled (10:00 UTC) — ' || sm.capture_id[:8] || chr(10) || chr(10) || '**Summary:** ' || summary || chr(10) || chr(10)
             || coalesce('**Tasks:**' || chr(10) || items || chr(10) || chr(10), '') || '<!-- block:' || sm.capture_id || ' end -->' || chr(10) AS block FROM sm LEFT JOIN tl ON tl.capture_id = sm.capture_id)
-        SELECT capture_id, md5(CASE WHEN capture_id::BIGINT % 2 = 0 THEN '# Day' || chr(10) || chr(10) || block ELSE '# New' || chr(10) || block END) AS md5 FROM blk"""),
+        SELECT capture_id, md5(CASE WHEN length(capture_id) % 2 = 0 THEN '# Day' || chr(10) || chr(10) || block ELSE '# New' || chr(10) || block END) AS md5 FROM blk"""),
     "todo_blocks": (todo_blocks, f"""{_NOTES}, {_TASKS}, fst AS (SELECT capture_id, text AS first FROM t WHERE pos = 0),
         k AS (SELECT t.capture_id, string_agg('- [ ] ' || {_MARK} || ' ' || t.text, chr(10) ORDER BY pos) AS items FROM t JOIN fst ON fst.capture_id = t.capture_id WHERE NOT contains(first, t.text) GROUP BY 1)
         SELECT c.capture_id, md5(coalesce('<!-- block:' || c.capture_id || ' begin -->' || chr(10) || '## Draft tasks (2024-01-02)' || chr(10) || chr(10) || items || chr(10) || chr(10) || '<!-- block:' || c.capture_id || ' end -->' || chr(10), 'none')) AS md5 FROM captures c LEFT JOIN k ON k.capture_id = c.capture_id"""),
@@ -73,7 +65,6 @@ QUERIES = {
         g AS (SELECT conv_id, s, any_value(n) AS n, count(*) AS k, string_agg('- [speaker ' || role || '] ' || content || chr(10) || '<!-- conv_id: ' || conv_id || ' -->' || chr(10) || '<!-- segment_id: ' || conv_id || '-' || turn || ' -->' || chr(10), chr(10) ORDER BY turn) AS body FROM m WHERE turn != 1 GROUP BY conv_id, s),
         p AS (SELECT *, chr(10) || '## Conversation ' || conv_id || ' (' || strftime(s, '%H:%M:%S') || '–' || strftime(s + to_seconds(n), '%H:%M:%S') || ')' || chr(10) || chr(10) || body AS part FROM g)
         SELECT strftime(s, '%Y-%m-%d') AS day, sum(k)::BIGINT AS segments, md5(string_agg(part, chr(10) ORDER BY s, conv_id::VARCHAR)) AS md5 FROM p GROUP BY 1"""),
-    "frontmatter_updates": (frontmatter_updates, """SELECT doc_id AS file_id, md5('---' || chr(10) || 'title: "a"' || chr(10) || 'lang: ' || lang || chr(10) || 'summary: "' || doc_id || '"' || chr(10) || '---' || chr(10) || coalesce(text, '')[:50]) AS md5, lang, doc_id::VARCHAR AS summary FROM documents"""),
+    "frontmatter_updates": (frontmatter_updates, """SELECT doc_id AS file_id, md5('---' || chr(10) || 'title: "a"' || chr(10) || 'lang: ' || lang || chr(10) || 'summary: "' || doc_id || '"' || chr(10) || '---' || chr(10) || coalesce(text, '')) AS md5, lang, doc_id::VARCHAR AS summary FROM documents"""),
     "tolerant_answers": (tolerant_answers, "SELECT doc_id AS file_id, CASE WHEN doc_id % 5 = 4 THEN 'none' ELSE 's' || doc_id END AS signpost, CASE WHEN doc_id % 5 = 4 THEN 'none' ELSE 'a b' END AS summary, CASE WHEN doc_id % 5 = 4 THEN 'none' ELSE 'x' END AS themes FROM documents"),
-    "ask_pipeline": (ask_pipeline, None),
 }

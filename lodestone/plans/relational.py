@@ -17,7 +17,8 @@ def rel_semi(spark, d):
 
 
 def rel_anti(spark, d):
-    return _t(spark, d, "customer").join(_t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    rich = _t(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, d, "customer").join(rich, "c_custkey", "left_anti").select("c_custkey")
 
 
 def rel_union(spark, d):
@@ -58,7 +59,7 @@ def rel_full_outer(spark, d):
 
 QUERIES = {
     "rel_semi": (rel_semi, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-    "rel_anti": (rel_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "rel_anti": (rel_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "rel_union": (rel_union, "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier"),
     "rel_intersect": (rel_intersect, "SELECT l_partkey AS part FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20"),
     "rel_except": (rel_except, "SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40"),

@@ -9,6 +9,8 @@ from .. import model
 from ..functions.text import excerpt
 from ..functions.vectors import hash_embed, hash_embedding, weighted_mean
 from ..operators import ask, search
+from ..operators.textindex import TextIndex
+from . import jobs
 
 PHRASE = "of the"
 #: The query vector of the registered queries, by rule; the SQL builds the same.
@@ -22,9 +24,41 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return model.files(spark, d).withColumn("start_byte", F.lit(0).cast("long")).withColumn("end_byte", F.col("size_bytes"))
 
 
+def _best(rows: DataFrame) -> DataFrame:
+    return rows.select("file_id", "rel_path", "hits", F.round("bm25", 6).alias("bm25"))
+
+
 def fts_bm25_phrase_topk(spark, d):
-    top = search.bm25(_chunks(spark, d), PHRASE).orderBy(F.round("bm25", 9), F.desc("mtime_ns"), "rel_path").limit(20)
-    return top.select("file_id", "rel_path", "hits", F.round("bm25", 6).alias("bm25"))
+    return _best(search.bm25_topk(_chunks(spark, d), PHRASE, 20))
+
+
+def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Chunks as they were and as they are: some gone, some new, some changed."""
+    now = _chunks(spark, d).withColumn("chunk_hash", F.sha2("text", 256))
+    then = now.filter("file_id % 6 != 1").withColumn("text", F.when(F.col("file_id") % 6 == 2, F.lit("of the old version")).otherwise(F.col("text"))).withColumn("chunk_hash", F.sha2("text", 256))
+    return then, now.filter("file_id % 6 != 3")
+
+
+def fts_index_build(spark, d):
+    """How many chunks have each token, and how often it stands, out of the index."""
+    return TextIndex.build(_chunks(spark, d).withColumn("chunk_hash", F.sha2("text", 256))).token_counts()
+
+
+def fts_index_update(spark, d):
+    """The same of an index that was brought up to date."""
+    then, now = _versions(spark, d)
+    return TextIndex.build(then).updated(now).token_counts()
+
+
+def fts_index_search(spark, d):
+    """The phrase search on the postings of that index."""
+    then, now = _versions(spark, d)
+    return _best(TextIndex.build(then).updated(now).topk(PHRASE, 20))
+
+
+def _token_sql(where: str) -> str:
+    return f"""{model.with_sql("files")}, {_BM25.split("counted AS")[0].rstrip().rstrip(",")}, w AS (SELECT file_id, unnest(list_concat(h, t)) AS token FROM tk {where})
+        SELECT token, count(DISTINCT file_id) AS df, count(*) AS tf FROM w GROUP BY token"""
 
 
 _BM25 = r"""tk AS (SELECT *, regexp_extract_all(strip_accents(lower(heading_path)), '[\p{L}\p{N}]+') AS h, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM files),
@@ -57,17 +91,21 @@ def hybrid_prefer_recent(spark, d):
     return _hybrid(spark, d, as_of="2024-01-31").select(F.col("rank").cast("long").alias("rank"), "file_id", "effective_date", F.round("score", 6).alias("score"))
 
 
-def _hybrid_sql(boost: str, columns: str) -> str:
-    return f"""{model.with_sql("files")}, {_BM25}, {_COS},
-        lex AS (SELECT file_id, -bm25 AS lex FROM bm ORDER BY bm25, mtime_ns DESC, rel_path LIMIT 50),
-        vec AS (SELECT file_id, cosine FROM cos SEMI JOIN files USING (file_id) ORDER BY round(cosine, 9) DESC, file_id LIMIT 50),
+def _ranked_sql(boost: str, k: int) -> str:
+    """Common table expressions up to ranked: the k best of both legs."""
+    return f"""{_BM25}, {_COS},
+        lex AS (SELECT file_id, -bm25 AS lex FROM bm ORDER BY round(bm.bm25, 9), mtime_ns DESC, rel_path LIMIT {5 * k}),
+        vec AS (SELECT file_id, cosine FROM cos SEMI JOIN files USING (file_id) ORDER BY round(cosine, 9) DESC, file_id LIMIT {5 * k}),
         both_legs AS (SELECT coalesce(l.file_id, v.file_id) AS file_id, lex, cosine FROM lex l FULL JOIN vec v ON l.file_id = v.file_id),
         scaled AS (SELECT file_id,
             coalesce(CASE WHEN lex IS NULL THEN NULL WHEN max(lex) OVER () = min(lex) OVER () THEN 1.0 ELSE (lex - min(lex) OVER ()) / (max(lex) OVER () - min(lex) OVER ()) END, 0)::DOUBLE AS lex_norm,
             coalesce(CASE WHEN cosine IS NULL THEN NULL WHEN max(cosine) OVER () = min(cosine) OVER () THEN 1.0 ELSE (cosine - min(cosine) OVER ()) / (max(cosine) OVER () - min(cosine) OVER ()) END, 0)::DOUBLE AS vec_norm FROM both_legs),
         scored AS (SELECT *, 0.5::DOUBLE * lex_norm + 0.5::DOUBLE * vec_norm + {boost} AS score FROM scaled JOIN files USING (file_id)),
-        ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, mtime_ns DESC, rel_path) AS rank FROM scored QUALIFY rank <= 10)
-        SELECT {columns} FROM ranked"""
+        ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, mtime_ns DESC, rel_path) AS rank FROM scored QUALIFY rank <= {k})"""
+
+
+def _hybrid_sql(boost: str, columns: str) -> str:
+    return f"{model.with_sql('files')}, {_ranked_sql(boost, 10)} SELECT {columns} FROM ranked"
 
 
 def tag_filter_or(spark, d):
@@ -87,7 +125,8 @@ def allowed_chunks_under_filters(spark, d):
 
 
 def _seeds(spark, d):
-    return model.files(spark, d).filter("file_id % 97 = 5").select("file_id", "title")
+    """The files of the ten best hits."""
+    return _hybrid(spark, d).select("file_id", "title")
 
 
 def link_neighbors_1hop(spark, d):
@@ -95,9 +134,8 @@ def link_neighbors_1hop(spark, d):
     return near.select("file_id", "rel_path", "effective_date", "score", "expanded_context")
 
 
-_NEAR = """seeds AS (SELECT file_id, title FROM files WHERE file_id % 97 = 5),
-    near AS (SELECT o.file_id FROM outlinks o JOIN seeds s ON o.target = s.title
-        UNION SELECT f.file_id FROM outlinks o JOIN seeds s ON o.file_id = s.file_id JOIN files f ON f.title = o.target)"""
+_NEAR = """near AS (SELECT o.file_id FROM outlinks o JOIN ranked s ON o.target = s.title
+        UNION SELECT f.file_id FROM outlinks o JOIN ranked s ON o.file_id = s.file_id JOIN files f ON f.title = o.target)"""
 
 
 def neighbor_representative_chunk(spark, d):
@@ -110,14 +148,42 @@ def excerpt_window(spark, d):
     return model.files(spark, d).select("file_id", excerpt(F.col("text"), " Of The ", 200, 40, 160).alias("excerpt"))
 
 
+def _excerpt_sql(query: str, most: int, before: int, after: int, source: str, name: str) -> str:
+    """A common table expression: all of source, with excerpt."""
+    n = len(query)
+    return f"""{name}_a AS (SELECT *, instr(lower(text), '{query}') - 1 AS p0, length(text) AS n FROM {source}),
+        {name}_w AS (SELECT *, CASE WHEN p0 < 0 THEN 0 ELSE greatest(0, p0 - {before}) END AS s FROM {name}_a),
+        {name}_e AS (SELECT *, CASE WHEN p0 < 0 THEN least(n, s + {most}) ELSE least(greatest(least(n, s + {most}), least(n, p0 + {n} + {after})), s + {most}) END AS e FROM {name}_w),
+        {name} AS (SELECT * EXCLUDE (p0, n, s, e), (CASE WHEN s > 0 THEN '…' ELSE '' END) || substring(text, s + 1, e - s) || (CASE WHEN e < n THEN '…' ELSE '' END) AS excerpt FROM {name}_e)"""
+
+
+def _tables(spark, d):
+    """Chunks, files, vectors, links of gather()."""
+    chunks = _chunks(spark, d)
+    return chunks, chunks, model.embeddings(spark, d), model.outlinks(spark, d)
+
+
+def _pinned(spark, d):
+    """What a session pinned: the last 20 files that are labelled good."""
+    good = model.table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("file_id")).orderBy(F.desc("file_id")).limit(20)
+    return model.files(spark, d).join(good, "file_id", "left_semi").select("rel_path", F.lit(0).cast("long").alias("start_byte"), F.col("size_bytes").alias("end_byte"), F.col("file_id").alias("pos"))
+
+
 def _hits(spark, d) -> DataFrame:
-    """60 hits by a score that is a rule of the file's number."""
-    rows = search.dated(_chunks(spark, d)).withColumn("score", (F.col("file_id") * 37 % 101).cast("double") / 100)
-    rows = rows.withColumn("expanded_context", F.col("file_id") % 11 == 0).withColumn("excerpt", F.substring("text", 1, 120))
-    return rows.orderBy(F.desc("score"), F.desc("mtime_ns"), "rel_path").limit(60)
+    """The 40 best hits of the hybrid search and the 20 newest of their neighbours."""
+    return jobs.gather(*_tables(spark, d), PHRASE, VECTOR, top_k=40, expand=20).withColumn("score", F.round("score", 9))
 
 
-_HITS = "hits AS (SELECT *, ((file_id * 37) % 101)::DOUBLE / 100 AS score, file_id % 11 = 0 AS expanded_context, text[:120] AS excerpt, 0::BIGINT AS start_byte, size_bytes AS end_byte FROM files ORDER BY score DESC, mtime_ns DESC, rel_path LIMIT 60)"
+def _hits_sql(k: int, expand: int, pinned: int = 0) -> str:
+    pins = "" if not pinned else f" UNION ALL SELECT f.*, 0.0::DOUBLE, false, 2 FROM files f WHERE file_id IN (SELECT doc_id FROM labels WHERE quality = 1 ORDER BY doc_id DESC LIMIT {pinned})"
+    return f"""{model.with_sql("files", "outlinks")}, {_ranked_sql("0::DOUBLE", k)}, {_NEAR},
+        fresh AS (SELECT * FROM files WHERE file_id IN (SELECT file_id FROM near) AND file_id NOT IN (SELECT file_id FROM ranked) ORDER BY mtime_ns DESC, rel_path LIMIT {expand}),
+        parts AS (SELECT f.*, round(r.score, 9) AS score, false AS expanded_context, 0 AS part FROM files f JOIN ranked r ON r.file_id = f.file_id
+            UNION ALL SELECT fresh.*, 0.0::DOUBLE, true, 1 FROM fresh{pins}), {_excerpt_sql(PHRASE, 400, 80, 320, "parts", "found")},
+        hits AS (SELECT *, 0::BIGINT AS start_byte, size_bytes AS end_byte FROM found)"""
+
+
+_HITS = _hits_sql(40, 20)
 
 
 def _temporal(mode, **how):
@@ -128,19 +194,24 @@ def _temporal(mode, **how):
     return query
 
 
-def _temporal_sql(mode: str, window: int | None) -> str:
+def _aged_sql(mode: str, window: int | None) -> str:
+    """Common table expressions from hits to timed: with age, type, score t and rank."""
     weight = "0.0" if mode == "all" else "CASE WHEN contains(rel_path, '/journal/') THEN 0.2 ELSE 0.04 END"
     keep = "" if window is None else f"WHERE age_days <= {window} OR NOT (SELECT bool_or(age_days <= {window}) FROM aged)"
-    return f"""{model.with_sql("files")}, {_HITS},
-        aged AS (SELECT *, greatest(date_diff('day', effective_date::DATE, max(effective_date::DATE) OVER ()), 0)::BIGINT AS age_days FROM hits),
-        scored AS (SELECT *, CASE WHEN contains(rel_path, '/journal/') THEN 'journal' ELSE 'evergreen' END AS note_type,
-            score + ({weight})::DOUBLE * exp(-ln(2.0::DOUBLE) * age_days / 30.0::DOUBLE) AS t FROM aged {keep})
-        SELECT row_number() OVER (ORDER BY expanded_context, round(t, 9) DESC, mtime_ns DESC, rel_path, start_byte, end_byte) AS rank, file_id, age_days, note_type, round(t, 6) AS temporal_score FROM scored"""
+    return f"""aged AS (SELECT *, greatest(date_diff('day', effective_date::DATE, max(effective_date::DATE) OVER ()), 0)::BIGINT AS age_days FROM hits),
+        weighed AS (SELECT *, CASE WHEN contains(rel_path, '/journal/') THEN 'journal' ELSE 'evergreen' END AS note_type,
+            score + ({weight})::DOUBLE * exp(-ln(2.0::DOUBLE) * age_days / 30.0::DOUBLE) AS t FROM aged {keep}),
+        timed AS (SELECT *, row_number() OVER (ORDER BY expanded_context, round(t, 9) DESC, mtime_ns DESC, rel_path, start_byte, end_byte) AS rank FROM weighed)"""
+
+
+def _temporal_sql(mode: str, window: int | None) -> str:
+    return f"{_HITS}, {_aged_sql(mode, window)} SELECT rank, file_id, age_days, note_type, round(t, 6) AS temporal_score FROM timed"
 
 
 def _by_source(spark, d):
-    """The hits with their source as the path, so that files have several spans, each of them twice."""
-    rows = _hits(spark, d).withColumn("rel_path", F.col("source")).withColumn("end_byte", F.col("file_id") % 7)
+    """The hits with their folder as the path, so that files have several spans, some of them twice."""
+    folder = F.element_at(F.split("rel_path", "/"), -2)
+    rows = _hits(spark, d).withColumn("rel_path", folder).withColumn("end_byte", F.col("file_id") % 7)
     return rows.withColumn("rank", F.row_number().over(search.Window.orderBy(F.desc("score"), "file_id")))
 
 
@@ -156,31 +227,45 @@ def _pack(budget):
     return query
 
 
+_COST = "(length(excerpt) + length(title) + length(heading_path) + 64)::BIGINT AS cost"
+
+
 def _pack_sql(budget: int) -> str:
-    return f"""{model.with_sql("files")}, {_HITS},
-        r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS rank, (length(excerpt) + length(title) + length(heading_path) + 64)::BIGINT AS cost FROM hits),
+    return f"""{_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS rank, {_COST} FROM hits),
         u AS (SELECT *, (sum(cost) OVER (ORDER BY rank))::BIGINT AS used FROM r)
         SELECT rank, file_id, cost, used FROM u WHERE used <= {budget} OR EXISTS (SELECT 1 FROM u e WHERE e.used = {budget} AND e.rank < u.rank)"""
 
 
 def ask_answer(spark, d):
     rows = ask.rerank(ask.temporal(_hits(spark, d), "hybrid"), 3)
-    return ask.answer(ask.pack(rows, 1500), " What of it? ")
+    return ask.answer(ask.pack(rows, 4000), " What of it? ")
 
 
-_ANSWER = f"""{model.with_sql("files")}, {_HITS},
-    aged AS (SELECT *, greatest(date_diff('day', effective_date::DATE, max(effective_date::DATE) OVER ()), 0) AS age_days FROM hits),
-    s AS (SELECT *, score + (CASE WHEN contains(rel_path, '/journal/') THEN 0.2 ELSE 0.04 END)::DOUBLE * exp(-ln(2.0::DOUBLE) * age_days / 30.0::DOUBLE) AS t FROM aged),
-    r AS (SELECT *, row_number() OVER (ORDER BY expanded_context, round(t, 9) DESC, mtime_ns DESC, rel_path) AS rank FROM s),
-    u AS (SELECT *, sum(length(excerpt) + length(title) + length(heading_path) + 64) OVER (ORDER BY rank) AS used FROM r),
-    p AS (SELECT * FROM u WHERE used <= 1500)
+_ANSWER = f"""{_HITS}, {_aged_sql("hybrid", None)},
+    u AS (SELECT *, {_COST}, (sum(cost) OVER (ORDER BY rank))::BIGINT AS used FROM timed),
+    p AS (SELECT * FROM u WHERE used <= 4000)
     SELECT 'Q: What of it?' || chr(10) || chr(10) || 'Evidence (excerpts):' || chr(10)
-        || string_agg(rank || '. ' || effective_date || ' · ' || title || ' · ' || heading_path || chr(10) || rtrim('   ' || excerpt) || chr(10) || '   [' || rel_path || ':0-' || size_bytes || ']', chr(10) ORDER BY rank)
+        || string_agg(rank || '. ' || effective_date || ' · ' || title || ' · ' || heading_path || chr(10) || rtrim('   ' || excerpt, ' ') || chr(10) || '   [' || rel_path || ':0-' || size_bytes || ']', chr(10) ORDER BY rank)
         || chr(10) || chr(10) || 'Citations:' || chr(10) || string_agg('- ' || rel_path || ':0-' || size_bytes, chr(10) ORDER BY rank) || chr(10) AS answer FROM p"""
 
 
+def ask_pipeline(spark, d):
+    """The whole question: hits, neighbours and pins, in temporal order, deduped, capped and packed."""
+    rows = jobs.ask_plan(*_tables(spark, d), PHRASE, VECTOR, _pinned(spark, d), packed_max_chars=6000)
+    return rows.select(F.col("rank").cast("long").alias("rank"), "file_id", F.round("temporal_score", 6).alias("temporal_score"), "cost")
+
+
+_ASK = f"""{_hits_sql(10, 10, 20)}, {_aged_sql("hybrid", None)},
+    once AS (SELECT * FROM timed QUALIFY row_number() OVER (PARTITION BY rel_path, start_byte, end_byte ORDER BY rank) = 1),
+    u AS (SELECT * REPLACE (row_number() OVER (ORDER BY rank) AS rank), {_COST} FROM once),
+    v AS (SELECT *, (sum(cost) OVER (ORDER BY rank))::BIGINT AS used FROM u)
+    SELECT rank, file_id, round(t, 6) AS temporal_score, cost FROM v WHERE used <= 6000"""
+
+
 def session_pins_join(spark, d):
-    pinned = model.files(spark, d).filter("file_id % 50 = 3").select("rel_path", F.lit(0).cast("long").alias("start_byte"), F.when(F.col("file_id") % 100 == 3, F.col("size_bytes")).otherwise(-1).cast("long").alias("end_byte"), F.col("file_id").alias("pos"))
+    """All labelled files as pins, the bad ones with a span that isn't there."""
+    labels = model.table(spark, d, "labels").select(F.col("doc_id").alias("file_id"), "quality")
+    pinned = model.files(spark, d).join(labels, "file_id").select("rel_path", F.lit(0).cast("long").alias("start_byte"), F.when(F.col("quality") == 1, F.col("size_bytes")).otherwise(-1).cast("long").alias("end_byte"), F.col("file_id").alias("pos"))
     return ask.pins(_chunks(spark, d), pinned).select("pos", "rel_path", "end_byte", "content_hash")
 
 
@@ -190,7 +275,7 @@ def weighted_mean_vector(spark, d):
 
 
 def sha_embed_text(spark, d):
-    rows = model.files(spark, d).select("file_id", F.posexplode(hash_embedding(F.substring("text", 1, 80), 12)).alias("pos", "x"))
+    rows = model.files(spark, d).select("file_id", F.posexplode(hash_embedding(F.col("text"), 12)).alias("pos", "x"))
     return rows.select("file_id", "pos", F.round("x", 9).alias("x"))
 
 
@@ -200,7 +285,7 @@ def representative_vectors(spark, d):
 
     rows = model.embeddings(spark, d)
     mean = weighted_mean(rows.withColumn("w", F.lit(1.0)), ["model"], "vector", "w")
-    return rows.join(F.broadcast(mean), "model").select("file_id", "model", F.round(cosine(F.col("vector"), F.col("mean")), 6).alias("cosine"))
+    return rows.join(mean, "model").select("file_id", "model", F.round(cosine(F.col("vector"), F.col("mean")), 6).alias("cosine"))
 
 
 _F, _T = model.with_sql("files"), model.with_sql("file_tags")
@@ -214,26 +299,27 @@ QUERIES = {
     "tag_filter_and": (tag_filter_and, f"{_T} SELECT file_id FROM file_tags WHERE name IN ('en', 'quality') GROUP BY file_id HAVING count(DISTINCT name) = 2"),
     "effective_date_range": (effective_date_range, f"{_F} SELECT file_id, rel_path, effective_date FROM files WHERE effective_date BETWEEN '2024-01-05' AND '2024-01-12'"),
     "allowed_chunks_under_filters": (allowed_chunks_under_filters, f"{_F} SELECT file_id, content_hash FROM files WHERE lang = 'en' AND effective_date >= '2024-01-03' AND effective_date <= '2024-01-20'"),
-    "link_neighbors_1hop": (link_neighbors_1hop, f"{model.with_sql('files', 'outlinks')}, {_NEAR} SELECT file_id, rel_path, effective_date, 0.0::DOUBLE AS score, true AS expanded_context FROM files WHERE file_id IN (SELECT file_id FROM near) AND file_id NOT IN (SELECT file_id FROM seeds) ORDER BY mtime_ns DESC, rel_path LIMIT 25"),
-    "neighbor_representative_chunk": (neighbor_representative_chunk, f"{model.with_sql('files', 'outlinks', 'lines')}, {_NEAR} SELECT file_id, line, start_byte, end_byte FROM lines WHERE text != '' AND file_id IN (SELECT file_id FROM near) AND file_id NOT IN (SELECT file_id FROM seeds) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY (line = 2) DESC, line) = 1"),
-    "excerpt_window": (excerpt_window, f"""{_F}, a AS (SELECT file_id, text, instr(lower(text), 'of the') - 1 AS p0, length(text) AS n FROM files),
-        w AS (SELECT *, CASE WHEN p0 < 0 THEN 0 ELSE greatest(0, p0 - 40) END AS s FROM a),
-        e AS (SELECT *, CASE WHEN p0 < 0 THEN least(n, s + 200) ELSE least(greatest(least(n, s + 200), least(n, p0 + 6 + 160)), s + 200) END AS e FROM w)
-        SELECT file_id, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substring(text, s + 1, e - s) || (CASE WHEN e < n THEN '…' ELSE '' END) AS excerpt FROM e"""),
+    "link_neighbors_1hop": (link_neighbors_1hop, f"{model.with_sql('files', 'outlinks')}, {_ranked_sql('0::DOUBLE', 10)}, {_NEAR} SELECT file_id, rel_path, effective_date, 0.0::DOUBLE AS score, true AS expanded_context FROM files WHERE file_id IN (SELECT file_id FROM near) AND file_id NOT IN (SELECT file_id FROM ranked) ORDER BY mtime_ns DESC, rel_path LIMIT 25"),
+    "neighbor_representative_chunk": (neighbor_representative_chunk, f"{model.with_sql('files', 'outlinks', 'lines')}, {_ranked_sql('0::DOUBLE', 10)}, {_NEAR} SELECT file_id, line, start_byte, end_byte FROM lines WHERE text != '' AND file_id IN (SELECT file_id FROM near) AND file_id NOT IN (SELECT file_id FROM ranked) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY (line = 2) DESC, line) = 1"),
+    "excerpt_window": (excerpt_window, f"{_F}, {_excerpt_sql(PHRASE, 200, 40, 160, 'files', 'x')} SELECT file_id, excerpt FROM x"),
     "temporal_hybrid": (_temporal("hybrid"), _temporal_sql("hybrid", None)),
     "temporal_recent_window": (_temporal("recent"), _temporal_sql("recent", 7)),
     "temporal_all": (_temporal("all"), _temporal_sql("all", None)),
     "temporal_window_fallback": (_temporal("recent", windows={"recent": 0}), _temporal_sql("recent", 0)),
-    "rerank_dedupe_cap": (rerank_dedupe_cap, f"""{_F}, {_HITS}, r AS (SELECT source AS rel_path, file_id, file_id % 7 AS end_byte, row_number() OVER (ORDER BY score DESC, file_id) AS rank, expanded_context FROM hits),
+    "rerank_dedupe_cap": (rerank_dedupe_cap, f"""{_HITS}, r AS (SELECT string_split(rel_path, '/')[-2] AS rel_path, file_id, file_id % 7 AS end_byte, row_number() OVER (ORDER BY score DESC, file_id) AS rank, expanded_context FROM hits),
         a AS (SELECT * FROM r WHERE NOT expanded_context QUALIFY row_number() OVER (PARTITION BY rel_path, end_byte ORDER BY rank) = 1),
         b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY rank) <= 3)
         SELECT row_number() OVER (ORDER BY rank) AS rank, rel_path, file_id, end_byte FROM b"""),
     "pack_budget": (_pack(3000), _pack_sql(3000)),
     "pack_unlimited": (_pack(0), _pack_sql(1_000_000_000)),
     "ask_answer": (ask_answer, _ANSWER),
-    "session_pins_join": (session_pins_join, f"{_F} SELECT file_id AS pos, rel_path, size_bytes AS end_byte, content_hash FROM files WHERE file_id % 100 = 3"),
+    "ask_pipeline": (ask_pipeline, _ASK),
+    "fts_index_build": (fts_index_build, _token_sql("")),
+    "fts_index_update": (fts_index_update, _token_sql("WHERE file_id % 6 != 3")),
+    "fts_index_search": (fts_index_search, f"{_F}, {_BM25.replace('FROM files)', 'FROM files WHERE file_id % 6 != 3)', 1)} SELECT file_id, rel_path, hits, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm.bm25, 9), mtime_ns DESC, rel_path LIMIT 20"),
+    "session_pins_join": (session_pins_join, f"{_F} SELECT file_id AS pos, rel_path, size_bytes AS end_byte, content_hash FROM files JOIN labels ON doc_id = file_id WHERE quality = 1"),
     "weighted_mean_vector": (weighted_mean_vector, "WITH e AS (SELECT label AS model, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos, vec_id % 5 + 1 AS w FROM embeddings) SELECT model, pos::INT AS pos, round(sum(v * w) / sum(w), 6) AS x FROM e GROUP BY model, pos"),
-    "sha_embed_text": (sha_embed_text, f"""{_F}, b AS (SELECT file_id, sha256(from_hex('00000000') || encode(text[:80])) AS h0, sha256(from_hex('01000000') || encode(text[:80])) AS h1 FROM files),
+    "sha_embed_text": (sha_embed_text, f"""{_F}, b AS (SELECT file_id, sha256(from_hex('00000000') || encode(text)) AS h0, sha256(from_hex('01000000') || encode(text)) AS h1 FROM files),
         p AS (SELECT file_id, unnest(range(0, 12)) AS pos, h0, h1 FROM b),
         s AS (SELECT file_id, pos, (CASE WHEN pos < 8 THEN h0 ELSE h1 END) AS h, ((pos % 8) * 8 + 1)::INT AS k FROM p)
         SELECT file_id, pos::INT AS pos, round(('0x' || substring(h, k + 6, 2) || substring(h, k + 4, 2) || substring(h, k + 2, 2) || substring(h, k, 2))::BIGINT / 4294967295.0::DOUBLE * 2 - 1, 9) AS x FROM s"""),

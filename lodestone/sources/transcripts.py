@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-Fetch = Callable[[str, str], str]
+Fetch = Callable[[str, str, int], str]
+#: Items of a page, as the service gives them.
+PAGE = 100
 
 
 class _Day(InputPartition):
@@ -28,23 +30,35 @@ class _Reader(DataSourceReader):
         first, last = date.fromisoformat(self.options["start"]), date.fromisoformat(self.options["end"])
         return [_Day((first + timedelta(k)).isoformat()) for k in range((last - first).days + 1)]
 
-    def read(self, partition: _Day) -> Iterator[tuple]:
+    def _page(self, day: str, offset: int) -> list:
         if self.fetch:
-            body = self.fetch(partition.day, partition.day)
+            body = self.fetch(day, day, offset)
         else:
-            query = urlencode({"start_date": partition.day, "end_date": partition.day, "include_transcript": "true", "limit": 100})
-            request = Request(f"{self.options['url']}?{query}", headers={"Authorization": f"Bearer {self.options.get('token', '')}"})
+            asked = {"start_date": day, "end_date": day, "include_transcript": "true", "limit": PAGE} | ({"offset": offset} if offset else {})
+            request = Request(f"{self.options['url']}?{urlencode(asked)}", headers={"Authorization": f"Bearer {self.options.get('token', '')}"})
             with urlopen(request, timeout=60) as answer:
                 body = answer.read().decode()
         data = json.loads(body)
-        for item in data if isinstance(data, list) else data.get("conversations", []):
-            yield partition.day, json.dumps(item)
+        return data if isinstance(data, list) else data.get("conversations", [])
+
+    def read(self, partition: _Day) -> Iterator[tuple]:
+        offset, before = 0, None
+        while True:
+            items = self._page(partition.day, offset)
+            if offset and items == before:
+                raise ValueError(f"{partition.day} has {PAGE} items or more, and the service gives no further pages")
+            for item in items:
+                yield partition.day, json.dumps(item)
+            if len(items) < PAGE:
+                return
+            offset, before = offset + len(items), items
 
 
 def transcript_source(fetch: Fetch | None = None, name: str = "transcripts") -> type[DataSource]:
-    """A data source class to register; fetch(first, last) gives a day's JSON instead of a request, for tests and other services.
+    """A data source class to register; fetch(first, last, offset) gives a page of a day's JSON instead of a request, for tests and other services.
 
-    Options: start, end (days, both included), url, token. A page holds 100 items, as the service gives them.
+    Options: start, end (days, both included), url, token. A day of more than a page is asked for page by page; a service
+    that knows no offset, and so repeats its first page, makes the read fail instead of losing the rest.
     """
 
     class Transcripts(DataSource):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_bytes
 from ..functions.text import file_title
 
 
@@ -50,14 +52,21 @@ def read_vault(spark: SparkSession, root: str, exclude: list[str] | None = None,
 
 
 def write_texts(df: DataFrame, root: str, path: str = "path", text: str = "text") -> int:
-    """Writes each row's text to root/path, a folder that all executors share, by a temporary name and a rename; returns the number of files.
+    """Writes each row's text to root/path by a temporary name and a rename; returns the number of files.
 
-    Rows of one path are written by one task, the last by order of text, so a repeated run leaves the same files.
+    root is a folder that all executors share: a task that doesn't see the driver's mark there fails, as does a path with
+    two different texts. Rows that repeat path and text are one file; null is an empty text.
     """
+    os.makedirs(root, exist_ok=True)
+    mark = os.path.join(root, f".mark-{uuid.uuid4().hex}")
+    with open(mark, "w", encoding="utf-8"):
+        pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for batch in batches:
+        for batch in by_bytes(batches):
+            if not os.path.exists(mark):
+                raise OSError(f"{root} is not a folder that this executor shares with the driver")
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 target = os.path.normpath(os.path.join(root, p))
                 if not target.startswith(os.path.normpath(root) + os.sep):
@@ -70,5 +79,10 @@ def write_texts(df: DataFrame, root: str, path: str = "path", text: str = "text"
                 n += 1
         yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
-    rows = df.groupBy(path).agg(F.max(text).alias(text)).select(path, text)
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    value = F.coalesce(F.col(text), F.lit(""))
+    rows = df.groupBy(path).agg(F.max(value).alias("most"), F.min(value).alias("least"))
+    one = F.when(F.col("most") == F.col("least"), F.col("most")).otherwise(F.raise_error(F.concat(F.lit("several texts for "), path)))
+    try:
+        return rows.select(path, one.alias(text)).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    finally:
+        os.remove(mark)

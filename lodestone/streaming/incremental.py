@@ -16,21 +16,23 @@ def stream_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def ingest_new(stream: DataFrame, table_path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Appends the rows whose keys the table doesn't have yet, each once, however often a batch or a source file is repeated.
 
-    A batch that is replayed after a crash writes its own folder anew (batch=<number>), so nothing appears twice.
+    A batch that is replayed after a crash writes its own folder anew (stream=<id in the checkpoint>/batch=<number>), so
+    nothing appears twice; a stream with another checkpoint counts its batches anew and has folders of its own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
+        own = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id").alias("id")).first().id
         try:
-            known = spark.read.parquet(table_path).filter(F.col("batch") != number)
+            known = spark.read.parquet(table_path).filter((F.col("stream") != own) | (F.col("batch") != number))
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
                 raise
             known = None
         if known is not None:
             fresh = fresh.join(known.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{table_path}/stream={own}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import model
 from lodestone.functions import text, vectors
+from lodestone.functions.ranking import row_numbers
 from lodestone.operators import ask, classify, conversations, distill, index, ledger, markdown, search
+from lodestone.operators.textindex import TextIndex
 from lodestone.sources import chat_export, logs, transcripts, vault
 from lodestone.streaming import incremental
 
@@ -172,11 +177,15 @@ def test_distill(spark):
 def test_new_tasks_and_entities(spark):
     found = spark.createDataFrame([("pay rent",), ("sleep",)], "text string")
     todo = spark.createDataFrame([("- [ ] pay rent now",)], "todo string")
-    assert one(distill.new_tasks(found, todo)) == one(distill.new_tasks(found, todo, small=0)) == [("sleep",)]
+    assert one(distill.new_tasks(found, todo)) == one(distill.new_tasks(found, todo, gram=2)) == [("sleep",)]
     odd = spark.createDataFrame([("",), (None,), ("pay rent now",), ("rent",), ("rent nov",), ("now",)], "text string")
-    assert sorted(map(str, one(distill.new_tasks(odd, todo, small=0)))) == sorted(map(str, one(distill.new_tasks(odd, todo)))) == ["('rent nov',)", "(None,)"]
+    assert sorted(map(str, one(distill.new_tasks(odd, todo, gram=3)))) == sorted(map(str, one(distill.new_tasks(odd, todo)))) == ["('rent nov',)", "(None,)"]
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab é") for _ in range(rnd.randrange(12))) for _ in range(60)]
+    want = sorted((t,) for t in texts[:40] if not any(t in x for x in texts[40:]))
+    assert sorted(one(distill.new_tasks(spark.createDataFrame([(t,) for t in texts[:40]], "text string"), spark.createDataFrame([(t,) for t in texts[40:]], "todo string"), gram=3))) == want
     e = spark.createDataFrame([(1, "Ann", "P"), (2, "ann", "P"), (3, "Bo", "P")], "i int, name string, kind string")
-    assert one(distill.new_entities(e, e.filter("i = 3").select("name", "kind"), [F.asc("i")]).select("i")) == [(1,)]
+    assert one(distill.new_entities(e, e.filter("i = 3").select("name", "kind"), ["i"]).select("i")) == [(1,)]
 
 
 def test_salience(spark):
@@ -194,6 +203,54 @@ def test_undo(spark):
     assert got["w1"] == ("undone", "top\n\n\nrest\n") and got["w2"][0] == "modified" and got["w3"] == ("missing", None)
 
 
+def test_lines(spark):
+    texts = [None, "", "a", "é\n\n漢 b\n", "\n"]
+    rows = model.split_lines(spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")).collect()
+    want = []
+    for k, t in enumerate(texts):
+        at = chars = 0
+        for n, x in enumerate((t or "").split("\n")):
+            want.append((k, n, x, at, at + len(x.encode()), chars))
+            at, chars = at + len(x.encode()) + 1, chars + len(x) + 1
+    assert [tuple(r) for r in rows] == want
+    began = time.perf_counter()
+    long = model.split_lines(spark.createDataFrame([(1, "ab\n" * 100_000)], "file_id long, text string"))
+    assert long.agg(F.count("line"), F.max("end_byte")).first()[:] == (100_001, 300_000) and time.perf_counter() - began < 30
+
+
+def test_text_index(spark, tmp_path):
+    schema = "file_id int, chunk_hash string, mtime_ns long, rel_path string, start_byte long, heading_path string, text string"
+    words = ["red", "fox", "the", "a", "naïve"]
+    rnd = random.Random(5)
+
+    def chunks(ids):
+        return spark.createDataFrame([(i, str(h), i, f"{i}.md", 0, "H1 fox", " ".join(rnd.choice(words) for _ in range(rnd.randrange(9)))) for i, h in ids], schema).cache()
+
+    first, second = chunks([(k, 0) for k in range(30)]), chunks([(k, k % 3) for k in range(5, 40)])
+    second = second.filter("chunk_hash != '0' or file_id >= 30").unionByName(first.filter("file_id between 5 and 29 and file_id % 3 = 0")).cache()
+    TextIndex.build(first).write(str(tmp_path / "index"))
+    index = TextIndex.read(spark, str(tmp_path / "index")).updated(second)
+    fresh = TextIndex.build(second)
+    assert sorted(map(str, index.token_counts().collect())) == sorted(map(str, fresh.token_counts().collect()))
+    for query in ("red fox", "fox", "the the", "naive a", "fox the red", "none", "?!"):
+        scanned = [(r.file_id, r.hits, round(r.bm25, 9)) for r in search.bm25_topk(second, query, 50).collect()]
+        assert [(r.file_id, r.hits, round(r.bm25, 9)) for r in index.topk(query, 50).collect()] == scanned
+        assert sorted((r.file_id, r.hits, round(r.bm25, 9)) for r in search.bm25(second, query).collect()) == sorted(scanned)
+    assert TextIndex.build(first.limit(0)).topk("red", 5).count() == 0
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    df = spark.createDataFrame([(None if k % 7 == 0 else "a", k) for k in range(200)], "key string, k int")
+    plain = sorted(map(str, row_numbers(df, ["key"], ["k"]).collect()))
+    assert sorted(map(str, row_numbers(df, ["key"], ["k"], bucket=F.expr("k div 9")).collect())) == plain
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
+    assert sorted(one(index.merge_by_key(old, new, ["k"]))) == [(1, "a"), (2, "d"), (3, "e")]
+
+
 def test_changes(spark):
     schema = "rel_path string, mtime_ns long, size_bytes long, content_hash string"
     disk = spark.createDataFrame([("a", 1, 1, "x"), ("b", 2, 1, "x"), ("c", 2, 2, "y"), ("d", 1, 1, "x")], schema)
@@ -220,13 +277,17 @@ def test_exports(spark, tmp_path):
 
 
 def test_transcripts(spark):
-    def fetch(first, last):
+    def fetch(first, last, offset):
         return json.dumps([{"id": first, "started_at": f"{first}T10:00:00Z", "structured": {"overview": "o", "action_items": [{"description": "do"}, "else"]}, "transcript_segments": [{"text": "x", "speaker_id": 1}, {"id": "s", "text": "y"}]}])
 
     rows = transcripts.read_transcripts(spark, "2024-01-01", "2024-01-02", fetch).orderBy("id").collect()
     assert [r.id for r in rows] == ["2024-01-01", "2024-01-02"]
     assert rows[0].action_items == ["do", "else"] and [s.segment_id for s in rows[0].segments] == ["2024-01-01_seg_0", "s"]
     assert [s.speaker_id for s in rows[0].segments] == ["1", "SPEAKER_00"]
+    pages = lambda first, last, offset: json.dumps([{"id": f"{first}-{k}"} for k in range(250)][offset : offset + 100])
+    assert transcripts.read_transcripts(spark, "2024-01-01", "2024-01-02", pages).select("id").distinct().count() == 500
+    with pytest.raises(Exception, match="no further pages"):
+        transcripts.read_transcripts(spark, "2024-01-01", "2024-01-01", lambda first, last, offset: pages(first, last, 0)).count()
 
 
 def test_blocks(spark):
@@ -244,6 +305,8 @@ def test_vault_round_trip(spark, tmp_path):
     assert got == {"a/x y.md": ("x y", "één", 5), "b.md": ("b", "z", 1)}
     with pytest.raises(Exception, match="leaves the folder"):
         vault.write_texts(spark.createDataFrame([("../z.md", "")], "path string, text string"), root)
+    with pytest.raises(Exception, match="several texts for b.md"):
+        vault.write_texts(spark.createDataFrame([("b.md", "1"), ("b.md", "2")], "path string, text string"), root)
 
 
 def test_logs(spark, tmp_path):
@@ -271,6 +334,9 @@ def test_streamed_rows_arrive_once(spark, tmp_path):
     row(2, 3).write.mode("append").json(source)
     incremental.ingest_new(incremental.stream_jsonl(spark, source, "id int, value string"), table, check, ["id"]).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+    row(3, 4).write.mode("append").json(source)
+    incremental.ingest_new(incremental.stream_jsonl(spark, source, "id int, value string"), table, str(tmp_path / "anew"), ["id"]).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2, 3, 4]  # another stream neither overwrites nor repeats
 
 
 def test_glob():
