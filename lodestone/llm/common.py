@@ -96,16 +96,15 @@ def text_pass(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
     """rows with the columns of table, which has one row for each key and, in column n, how many of the rows have it.
 
     Keys that more than a thousandth of all rows have, so less than a thousand keys whatever the data, are broadcast; the
-    rest meet by a shuffle in which no key has more than a thousandth of the rows.
+    rest meet by a shuffle in which no key has more than a thousandth of the rows. total: the sum of n, if it is known.
     """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
-    hot = written(table.filter(F.col(n) * 1_000 > total), "hot")
-    if not hot.take(1):
-        return rows.join(table, key)
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
+    hot = table.filter(F.col(n) * 1_000 > total)
     often = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(n) * 1_000 <= total), key)
     return often.unionByName(rest)
@@ -118,19 +117,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(v, label) for each end of an edge: label is the smallest end that can be reached.
 
     Rounds of smallest neighbouring label and pointer jumping; each round is a table in the shared folder, so a lost
-    executor costs one round at most. Neighbours are only aggregated (min, combined before the shuffle), never listed.
+    executor costs one round at most. Neighbours are only aggregated (min, combined before the shuffle), never listed; the
+    labels of hubs, ends of more than a thousandth of all edges, are broadcast.
     An edge with a null end is ignored; no edges give no rows. Raises if max_rounds do not suffice.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), "labels0")
+    ends = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    labels = written(ends.select(F.col("a").alias("v"), F.least("a", "m").alias("label"), "n"), "labels0")
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     for k in range(1, max_rounds + 1):
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a, "left").select("v", "label", F.least("label", "near").alias("next"))
+        near = look_up(both.select("a", F.col("b").alias("v")), labels, "v", total=total).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.v == near.a, "left").select("v", "label", "n", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("v").alias("w"), F.col("label").alias("far"))
-        after = step.join(jump, step.next == jump.w, "left").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
+        after = step.join(jump, step.next == jump.w, "left").select("v", "n", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
         after = written(after, f"labels{k}")
-        labels = after.select("v", "label")
+        labels = after.select("v", "label", "n")
         if not after.filter("moved").take(1):
-            return labels
+            return labels.select("v", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, text_pass, utf8, written
+from .common import connected_components, look_up, text_pass, utf8, written
 
 #: Products of node sizes up to this are compared outright; pairs compared at once; rows of a task's block.
 LEAF, CHUNK, BLOCK = 64, 1 << 20, 200_000
@@ -183,13 +183,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     no rows. Texts are read whole; no partner, candidate or group is capped.
     """
     own = written(fingerprints(df, id_col, text_col), "fingerprints")
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = connected_components(link_forest(fps.select("fp"), errors, blocks, limit))
     labels = labels.select(F.col("v").alias("fp"), "label")
-    named = fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = written(named.join(least, "label").select("fp", "component_id"), "components")
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = written(fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    # A large component's label is one key of many fingerprints: looked up like a hot text.
+    ids = written(look_up(named.select("fp", "n", "label"), least, "label", "size").select("fp", "n", "component_id"), "components")
+    return look_up(own, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
