@@ -74,4 +74,28 @@ def pins(chunks: DataFrame, pinned: DataFrame) -> DataFrame:
 
 def last_n(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows of each group, by the given descending order."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= n).drop("n")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+
+
+def with_features(hits: DataFrame, timed: DataFrame) -> DataFrame:
+    """hits with the temporal features that timed has for their span; of several rows of a span the first by rank counts."""
+    span, features = ["rel_path", "start_byte", "end_byte"], ["age_days", "note_type", "boost", "temporal_score"]
+    first = timed.groupBy(*span).agg(F.min_by(F.struct(*features), "rank").alias("__f"))
+    return hits.drop(*features).join(first, span, "left").select(*[c for c in hits.columns if c not in features], "__f.*")
+
+
+def candidates() -> Column:
+    """The hits of a trace, by rank, each with its score, place and temporal features: one array of at most all hits."""
+    row = F.struct("rank", "score", "rel_path", "start_byte", "end_byte", "effective_date", "expanded_context", F.struct("note_type", "age_days", "boost", "temporal_score").alias("time_features"))
+    return F.array_sort(F.collect_list(row))
+
+
+def trace(timed: DataFrame, packed: DataFrame, query: str, settings: dict, ts: str) -> DataFrame:
+    """One row (name, value): the JSON record of a question: its settings, candidates, what was packed, its citations. Names end in a hash of query and time."""
+    found = timed.agg(candidates().alias("c"))
+    used = packed.agg(F.array_sort(F.collect_list(F.struct("rank", "rel_path", "start_byte", "end_byte", "excerpt", "cost"))).alias("p"))
+    cited = F.transform("p", lambda x: F.concat(x["rel_path"], F.lit(":"), x["start_byte"].cast("string"), F.lit("-"), x["end_byte"].cast("string")))
+    config = F.create_map(*[F.lit(str(x)) for kv in sorted(settings.items()) for x in kv]) if settings else F.lit(None).cast("map<string,string>")
+    value = F.to_json(F.struct(F.lit(ts).alias("ts_utc"), F.lit(query).alias("query"), config.alias("ask_config"), F.col("c").alias("candidates"), F.col("p").alias("packed"), cited.alias("citations")))
+    suffix = F.substring(F.sha2(F.lit(f"{query}|{ts}"), 256), 1, 12)
+    return found.crossJoin(used).select(F.concat(F.lit("ask_" + ts.replace(":", "").replace("-", "") + "_"), suffix, F.lit(".json")).alias("name"), value.alias("value"))

@@ -93,6 +93,79 @@ def route_hybrid(df: DataFrame, text: str = "text", threshold: float = 0.9, forc
     return both.select(*df.columns, F.when(sure, F.col("rule_label")).otherwise(F.col("label")).alias("label"), F.when(sure, F.col("rule_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.when(sure, "rule").otherwise("model").alias("engine"))
 
 
+def _plain_answer(text: Column) -> Column:
+    """A model's answer as a variant, out of a fence if it stands in one; null if it isn't a JSON object."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    v = F.try_parse_json(F.regexp_replace(bare, r"(?s)\A```[^\n]*\n(.*?)(?:\n?```)?\z", "$1"))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
+def _get(v: str, key: str, kind: str = "string") -> Column:
+    return F.expr(f"try_variant_get({v}, '$.{key}', '{kind}')")
+
+
+def _texts(v: str, key: str, most: int, chars: int) -> Column:
+    found = F.coalesce(_get(v, key, "array<string>"), F.array().cast("array<string>"))
+    return F.transform(F.slice(found, 1, most), lambda x: F.substring(x, 1, chars))
+
+
+def coerce_route(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """df with label, confidence, next_actions, reasoning as a model's answer gives them, made sound.
+
+    A label that isn't known is UNKNOWN; the confidence is 0.5 without one, held between 0 and 1 and rounded; at most three
+    actions of 200 characters; reasoning of 200. An answer that can't be read is UNKNOWN at 0.3 and says so.
+    """
+    rows = df.withColumn("__v", _plain_answer(F.col(answer)))
+    bad = F.col("__v").isNull()
+    label = F.upper(_get("__v", "route_label"))
+    confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_get("__v", "confidence", "double"), F.lit(0.5)))), 2)
+    return rows.withColumns({
+        "label": F.when(~bad & label.isin(*KEYWORDS), label).otherwise("UNKNOWN"),
+        "confidence": F.when(bad, 0.3).otherwise(confidence),
+        "next_actions": F.when(bad, F.array().cast("array<string>")).otherwise(_texts("__v", "next_actions", 3, 200)),
+        "reasoning": F.when(bad, "JSON parse error from LLM response").otherwise(F.substring(F.coalesce(_get("__v", "reasoning"), F.lit("")), 1, 200)),
+    }).drop("__v")
+
+
+# Kinds of entities and priorities of tasks that an answer may name.
+ENTITY_KINDS, PRIORITIES = ("person", "project", "tool", "topic"), ("low", "med", "high")
+
+
+def coerce_distill(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """df with summary, key_points, tasks, entities, confidence, reasoning as a model's answer gives them, made sound.
+
+    Summary of 500 characters, five points of 200, seven tasks of 200 (a priority that isn't known is med), seven entities of
+    100 characters, those of unknown kind left out. An answer that can't be read has confidence 0.3 and says so.
+    """
+    rows = df.withColumn("__v", _plain_answer(F.col(answer)))
+    bad = F.col("__v").isNull()
+    tasks = F.slice(F.coalesce(_get("__v", "tasks", "array<struct<text:string,priority:string,due_date:string>>"), F.array().cast("array<struct<text:string,priority:string,due_date:string>>")), 1, 7)
+    tasks = F.transform(tasks, lambda t: F.struct(F.substring(F.coalesce(t["text"], F.lit("")), 1, 200).alias("text"), F.when(t["priority"].isin(*PRIORITIES), t["priority"]).otherwise("med").alias("priority"), t["due_date"].alias("due_date")))
+    people = F.slice(F.coalesce(_get("__v", "entities", "array<struct<name:string,kind:string,note:string>>"), F.array().cast("array<struct<name:string,kind:string,note:string>>")), 1, 7)
+    people = F.transform(people, lambda e: F.struct(F.substring(F.coalesce(e["name"], F.lit("")), 1, 100).alias("name"), F.coalesce(e["kind"], F.lit("topic")).alias("kind"), e["note"].alias("note")))
+    return rows.withColumns({
+        "summary": F.when(bad, "Failed to parse LLM response").otherwise(F.substring(F.coalesce(_get("__v", "summary"), F.lit("")), 1, 500)),
+        "key_points": _texts("__v", "key_points", 5, 200),
+        "tasks": tasks,
+        "entities": F.filter(people, lambda e: e["kind"].isin(*ENTITY_KINDS)),
+        "confidence": F.when(bad, 0.3).otherwise(F.coalesce(_get("__v", "confidence", "double"), F.lit(0.7))),
+        "reasoning": F.when(bad, "JSON parse error from LLM response").otherwise(F.substring(F.coalesce(_get("__v", "reasoning"), F.lit("")), 1, 200)),
+    }).drop("__v")
+
+
+def routed_outputs(df: DataFrame, day: str, ts: str, least: float = 0.7) -> DataFrame:
+    """(capture_id, path, text, event_type, payload): the JSON artifact of each routed capture, under routed or, below the gate, under review_queue with the reason.
+
+    df: capture_id, label, confidence, next_actions, raw_path, meta_path. One artifact for each capture_id; see free_names() for folders that hold some.
+    """
+    low = F.col("confidence") < least
+    reason = F.concat(F.lit("Confidence "), F.format_number("confidence", 2), F.lit(f" below threshold {least:.2f}"))
+    path = F.concat(F.when(low, f"10_derived/review_queue/{day}/").otherwise(f"10_derived/routed/{day}/"), "capture_id", F.lit(".json"))
+    text = F.to_json(F.struct("capture_id", F.when(~low, ts).alias("routed_at"), F.when(low, ts).alias("flagged_at"), F.col("label").alias("route_label"), "confidence", "next_actions", F.when(low, reason).alias("review_reason"), F.col("raw_path").alias("raw_file_path"), F.col("meta_path").alias("meta_file_path")))
+    payload = F.map_filter(F.create_map(F.lit("route"), "label", F.lit("confidence"), F.col("confidence").cast("string"), F.lit("path"), path, F.lit("review_reason"), F.when(low, reason)), lambda _, v: v.isNotNull())
+    return df.select("capture_id", path.alias("path"), text.alias("text"), F.lit("CAPTURE_ROUTED").alias("event_type"), payload.alias("payload"))
+
+
 def gate(df: DataFrame, least: float = 0.7) -> DataFrame:
     """df with routed: does the confidence reach the gate, or is the capture to be reviewed."""
     return df.withColumn("routed", F.col("confidence") >= least)

@@ -133,3 +133,37 @@ def replace_block(notes: DataFrame, start: str, end: str, block: Column, text: s
     bare = F.replace(F.replace(F.regexp_replace(value, pattern, ""), F.lit(start), F.lit("")), F.lit(end), F.lit(""))
     append = lambda x: F.concat(F.rtrim(F.regexp_replace(x, r"\s+$", "")), F.lit("\n\n"), whole, F.lit("\n"))
     return notes.withColumn("status", status).withColumn(text, F.when(F.col("status") == "new", append(value)).when(F.col("status") == "existing", F.concat(before, whole, after)).otherwise(append(bare)))
+
+
+def daily_lines(items: DataFrame, paths: DataFrame, metadata: DataFrame, questions: bool = True) -> DataFrame:
+    """(day, block): the lines that a day's note gets for its conversations, by time: a link to each note, its signpost and first open question if there are any.
+
+    items: conversation_id, day, created_at, title; paths: conversation_id, path; metadata: conversation_id, signpost, partial, open_questions.
+    A conversation without a path links to its title. One line list for each day, as long as the day's note.
+    """
+    rows = items.join(paths, "conversation_id", "left").join(metadata, "conversation_id", "left")
+    target = F.regexp_replace(F.coalesce("path", "title"), r"\.md$", "")
+    flat = lambda c: F.trim(F.regexp_replace(c, "\n", " "))
+    sign = F.when(F.coalesce("signpost", F.lit("")) != "", F.concat(F.lit("\n  - "), flat(F.col("signpost")), F.when(F.col("partial"), " ⏳").otherwise("")))
+    asked = F.when(F.lit(questions) & (F.size(F.coalesce("open_questions", F.array().cast("array<string>"))) > 0), F.concat(F.lit("\n  - Q: "), flat(F.get("open_questions", F.lit(0)))))
+    line = F.concat(F.lit("- [["), target, F.lit("]]"), F.coalesce(sign, F.lit("")), F.coalesce(asked, F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("created_at", "conversation_id", line.alias("x"))))
+    return rows.groupBy("day").agg(F.array_join(F.transform(ordered, lambda r: r["x"]), "\n").alias("block"))
+
+
+def without_links(notes: DataFrame, targets: DataFrame, start: str, end: str) -> DataFrame:
+    """(path, text) of the notes whose marked block links to one of the targets (target): without these lines and the indented ones below them.
+
+    Lines and links are rows, so neither a long note nor a long list of targets meets in one place but the note's own text.
+    """
+    marked = notes.filter((F.instr("text", start) > 0) & (F.instr("text", end) > F.instr("text", start)))
+    cut = marked.select("path", F.substring_index("text", start, 1).alias("before"), F.regexp_extract("text", r"(?s)\Q" + start + r"\E(.*?)\Q" + end + r"\E(.*)", 1).alias("block"), F.regexp_extract("text", r"(?s)\Q" + start + r"\E(.*?)\Q" + end + r"\E(.*)", 2).alias("after"))
+    lines = cut.select("path", F.posexplode(F.split("block", "\n")).alias("i", "line"))
+    links = lines.select("path", "i", F.explode(F.regexp_extract_all("line", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("link"))
+    hit = links.withColumn("target", F.trim(F.substring_index("link", "|", 1))).join(targets.select("target").distinct(), "target", "left_semi").select("path", "i").distinct().withColumn("hit", F.lit(True))
+    own = lines.join(hit, ["path", "i"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    # An indented line goes with the nearest line above that isn't indented or that links itself.
+    lead = F.when(~F.col("line").startswith("  - ") | F.col("hit"), F.col("hit"))
+    own = own.withColumn("gone", F.coalesce(F.last(lead, ignorenulls=True).over(Window.partitionBy("path").orderBy("i")), F.lit(False)))
+    kept = own.groupBy("path").agg(F.max("gone").alias("any"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("i", "line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return kept.filter("any").join(cut, "path").select("path", F.concat("before", F.lit(start), "lines", F.lit(end), "after").alias("text"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_share, is_salient
+from .notes import BEGIN, CLOSE, daily_block, mark, todo_block
 
 # What introduces a task, what decides its priority, what tells an entity's kind.
 TRIGGERS = ("need to", "must", "should", "todo:", "action:")
@@ -62,24 +63,55 @@ def tasks(text: Column) -> Column:
     return F.slice(F.filter(found, lambda t: t.isNotNull()), 1, 7)
 
 
+def entity_array(text: Column, most: int = 7) -> Column:
+    """array of (name, kind): up to `most` capitalised words, each name once whatever its case, kind by the two words before.
+
+    Only places of words that qualify are folded over, and the fold keeps `most` of them, so nothing is shuffled or exploded.
+    """
+    def bare(word: Column) -> Column:
+        return F.btrim(word, F.lit(".,;:!?\"'()[]"))
+
+    def fits(word: Column) -> Column:
+        return (F.char_length(word) >= 3) & bare(word).rlike(r"^\p{Lu}") & ~F.lower(bare(word)).isin(*COMMON)
+
+    def of(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(fits(w), i)), lambda i: i.isNotNull())
+        zero = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("low"))
+
+        def step(kept: Column, i: Column) -> Column:
+            low = F.lower(bare(F.get(words, i)))
+            more = F.struct(F.array_append(kept["at"], i).alias("at"), F.array_append(kept["low"], low).alias("low"))
+            return F.when((F.size(kept["at"]) >= most) | F.array_contains(kept["low"], low), kept).otherwise(more)
+
+        def named(i: Column) -> Column:
+            before = F.lower(F.array_join(F.slice(words, F.greatest(F.lit(1), i - 1), F.least(i, F.lit(2))), " "))
+            kind = reduce(lambda rest, k: F.when(reduce(lambda a, b: a | b, [before.contains(w) for w in k[1]]), k[0]).otherwise(rest), reversed(KINDS), F.lit("TOPIC"))
+            return F.struct(bare(F.get(words, i)).alias("name"), kind.alias("kind"))
+
+        return F.transform(F.aggregate(places, zero, step, lambda s: s["at"]), named)
+
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.get(F.transform(F.array(words), of), 0)  # a lambda's variable is computed once
+
+
 def entities(df: DataFrame, key: str = "capture_id", text: str = "text") -> DataFrame:
-    """(key, ord, name, kind): up to seven capitalised words of each text, each name once, kind by the two words before."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    rows = df.select(key, words.alias("words")).select(key, "words", F.posexplode("words").alias("i", "word"))
-    rows = rows.withColumn("name", F.btrim("word", F.lit(".,;:!?\"'()[]"))).filter((F.char_length("word") >= 3) & F.col("name").rlike(r"^\p{Lu}") & ~F.lower("name").isin(*COMMON))
-    before = F.lower(F.array_join(F.slice("words", F.greatest(F.lit(1), F.col("i") - 1), F.least(F.col("i"), F.lit(2))), " "))
-    kind = reduce(lambda rest, k: F.when(reduce(lambda a, b: a | b, [before.contains(w) for w in k[1]]), k[0]).otherwise(rest), reversed(KINDS), F.lit("TOPIC"))
-    first = rows.select(key, "i", "name", kind.alias("kind")).withColumn("n", F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("i"))).filter("n = 1")
-    return first.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("i"))).filter("ord <= 7").select(key, "ord", "name", "kind")
+    """(key, ord, name, kind): entity_array() of each text, one row each."""
+    rows = df.select(key, F.posexplode(entity_array(F.col(text))).alias("ord", "e"))
+    return rows.select(key, (F.col("ord") + 1).alias("ord"), "e.name", "e.kind")
 
 
 def proposals(df: DataFrame, key: str = "capture_id", text: str = "text") -> DataFrame:
-    """(key, ord, artifact_type, title, confidence): one note of each text, its tasks at 0.9 of the confidence."""
+    """(key, ord, artifact_type, title, content, confidence): one note of each text, its tasks at 0.9 and its entities at 0.8 of the confidence."""
     own = confidence(F.col(text))
-    note = F.array(F.struct(F.lit("note").alias("artifact_type"), F.substring(summary(F.col(text)), 1, 80).alias("title"), F.lit(1.0).alias("share")))
-    more = F.transform(tasks(F.col(text)), lambda t: F.struct(F.lit("task").alias("artifact_type"), F.substring(t["text"], 1, 80).alias("title"), F.lit(0.9).alias("share")))
-    rows = df.select(key, own.alias("own"), F.posexplode(F.concat(note, more)).alias("ord", "p"))
-    return rows.select(key, "ord", "p.artifact_type", "p.title", F.round(F.col("own") * F.col("p.share"), 4).alias("confidence"))
+
+    def item(kind: str, title: Column, content: Column, share: float) -> Column:
+        return F.struct(F.lit(kind).alias("artifact_type"), F.substring(title, 1, 80).alias("title"), content.alias("content"), F.lit(share).alias("share"))
+
+    note = F.array(item("note", F.col("__summary"), F.col("__summary"), 1.0))
+    todo = F.transform(tasks(F.col(text)), lambda t: item("task", t["text"], t["text"], 0.9))
+    people = F.transform(entity_array(F.col(text)), lambda e: item("entity", e["name"], F.to_json(e), 0.8))
+    rows = df.withColumn("__summary", summary(F.col(text))).select(key, own.alias("own"), F.posexplode(F.concat(note, todo, people)).alias("ord", "p"))
+    return rows.select(key, "ord", "p.artifact_type", "p.title", "p.content", F.round(F.col("own") * F.col("p.share"), 4).alias("confidence"))
 
 
 def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", gram: int = 16) -> DataFrame:
@@ -120,13 +152,13 @@ def salience_input(df: DataFrame, most: int, text: str = "text") -> DataFrame:
     value, edge, gap = F.coalesce(F.col(text), F.lit("")), max(1, most // 4), 2
     size = F.char_length(value)
     parts = F.regexp_extract_all(value, F.lit(r"(?s)[^\n]*\n|[^\n]+$"), F.lit(0))
-    state = "struct<at:int,left:int,kept:array<string>>"
+    state = "struct<at:int,left:int,kept:array<string>>"  # what is kept has `most` characters at most, so the list stays short
 
     def step(s: Column, line: Column) -> Column:
         end = s["at"] + F.char_length(line)
         cost = F.char_length(line) + gap
         take = (s["at"] >= edge) & (end <= size - edge) & is_salient(F.regexp_replace(line, r"\s+$", "")) & (cost <= s["left"])
-        return F.struct(end.alias("at"), F.when(take, s["left"] - cost).otherwise(s["left"]).alias("left"), F.when(take, F.concat(s["kept"], F.array(line))).otherwise(s["kept"]).alias("kept")).cast(state)
+        return F.struct(end.alias("at"), F.when(take, s["left"] - cost).otherwise(s["left"]).alias("left"), F.when(take, F.array_append(s["kept"], line)).otherwise(s["kept"]).alias("kept")).cast(state)
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(most - 2 * edge - gap).alias("left"), F.array().cast("array<string>").alias("kept")).cast(state)
     picked = F.aggregate(parts, zero, step, lambda s: s["kept"])
@@ -134,18 +166,82 @@ def salience_input(df: DataFrame, most: int, text: str = "text") -> DataFrame:
     return df.withColumn("salience", F.when(size <= most, value).otherwise(F.substring(joined, 1, most)))
 
 
-def undo(notes: DataFrame, records: DataFrame) -> DataFrame:
-    """For each write record (write_id, path, marker, content_hash): the note without the marked block and a status.
+def undo(files: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takes back the blocks of write records (write_id, path, content_hash): (files with the texts after that, a status for each record).
 
-    notes: path, text. A block runs from its marker line to the next blank line. Status is undone if the block's SHA-256 is
-    the recorded one, else modified, or missing.
+    files: path, text. A block runs from its begin mark to its close mark and the newlines behind it; the newline before it
+    goes too. Statuses: undone; skipped (entity stores are merged, so by hand); missing_file; missing_block; modified (the
+    block's SHA-256 isn't the recorded one: it was edited and stays). Blocks of several records in a file all go.
+    """
+    joined = records.join(files, "path", "left")
+    first, last = (mark(F.col("write_id"), m) for m in (BEGIN, CLOSE))
+    start, close = F.instr("text", first), F.instr("text", last)
+    tail = F.substring(F.col("text"), close + F.char_length(last), F.char_length("text"))
+    newlines = F.char_length(tail) - F.char_length(F.ltrim(tail, F.lit("\n")))
+    # The block's own newlines, or, if another block stands behind it, one less than there are.
+    ends = [close + F.char_length(last) + n - start for n in (newlines, F.greatest(newlines - 1, F.lit(0)))]
+    whole, short = (F.substring(F.col("text"), start, n) for n in ends)
+    block = F.when(F.sha2(short, 256) == F.col("content_hash"), short).otherwise(whole)
+    joined = joined.withColumn("block", F.when((start > 0) & (close > 0), block))
+    status = F.when(F.col("text").isNull(), "missing_file").when(F.col("path").endswith("entities.json"), "skipped").when(F.col("block").isNull(), "missing_block")
+    told = joined.withColumn("status", status.when(F.col("content_hash").isNotNull() & (F.sha2("block", 256) != F.col("content_hash")), "modified").otherwise("undone"))
+    gone = told.filter("status = 'undone'").groupBy("path").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    cut = F.aggregate("blocks", F.col("text"), lambda s, b: F.replace(F.replace(s, F.concat(F.lit("\n"), b), F.lit("")), b, F.lit("")))
+    after = files.join(gone, "path", "left").withColumn("text", F.when(F.col("blocks").isNull(), F.col("text")).otherwise(cut)).drop("blocks")
+    return after, told.select("write_id", "path", "status")
+
+
+def writes(items: DataFrame, todo: DataFrame, known: DataFrame, day: str, time: str, daily_path: str, todo_path: str = "todo.md", entities_path: str = "entities.json") -> DataFrame:
+    """(write_id, capture_id, path, inserted_text, content_hash): what distilling the items appends to the daily note, the todo file and the entity store.
+
+    items: write_id, capture_id, text. todo: path, text of the files as they are; known: entities (name, kind) of the store.
+    Nothing is written, so this is the dry run too. Tasks and entities that are there already are left out, of the items
+    among themselves as well: the first by capture_id has them.
     """
-    joined = records.join(notes, "path", "left")
-    start = F.instr("text", F.col("marker"))
-    rest = F.substring(F.col("text"), start, F.char_length("text"))
-    block = F.regexp_extract(rest, r"(?s)^(.*?\n)(?:\n|$)", 1)
-    joined = joined.withColumn("block", F.when(F.col("text").isNotNull() & (start > 0), F.when(block == "", rest).otherwise(block)))
-    same = F.sha2("block", 256) == F.col("content_hash")
-    status = F.when(F.col("block").isNull(), "missing").when(same, "undone").otherwise("modified")
-    after = F.when(same, F.concat(F.substring(F.col("text"), F.lit(1), start - 1), F.substring(F.col("text"), start + F.char_length("block"), F.char_length("text")))).otherwise(F.col("text"))
-    return joined.select("write_id", "path", status.alias("status"), after.alias("text"))
+    rows = items.select("write_id", "capture_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"tasks": tasks(F.col("text")), "people": entity_array(F.col("text"))})
+    block = daily_block(F.col("write_id"), F.lit(time), F.col("capture_id"), summary(F.col("text")), key_points(F.col("text")), F.col("people"), F.col("tasks"))
+    daily = rows.select("write_id", "capture_id", F.lit(daily_path).alias("path"), block.alias("inserted_text"))
+    each = rows.select("write_id", "capture_id", F.posexplode("tasks").alias("ord", "t")).select("write_id", "capture_id", "ord", "t.text", "t.priority")
+    once = each.groupBy("text").agg(F.min_by(F.struct("write_id", "capture_id", "ord", "priority"), F.struct("capture_id", "ord")).alias("r")).select("text", "r.*")
+    fresh = new_tasks(once, todo.filter(F.col("path") == todo_path).select(F.col("text").alias("todo")))
+    listed = fresh.groupBy("write_id", "capture_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "priority"))).alias("tasks"))
+    tasked = listed.select("write_id", "capture_id", F.lit(todo_path).alias("path"), todo_block(F.col("write_id"), F.lit(day), F.col("tasks"), F.lit("")).alias("inserted_text"))
+    found = rows.select("write_id", "capture_id", F.posexplode("people").alias("ord", "e")).select("write_id", "capture_id", "ord", "e.name", "e.kind")
+    new = new_entities(found, known, ["capture_id", "ord"])
+    stamp = f"{day}T{time}:00Z"
+    entry = F.struct("name", "kind", F.lit(stamp).alias("first_seen_at"), F.lit(stamp).alias("last_seen_at"), F.array("capture_id").alias("source_capture_ids"), "write_id")
+    stored = new.groupBy("write_id", "capture_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))), lambda x: x["e"])).alias("inserted_text")).select("write_id", "capture_id", F.lit(entities_path).alias("path"), "inserted_text")
+    return daily.unionByName(tasked).unionByName(stored).withColumn("content_hash", F.sha2("inserted_text", 256))
+
+
+def applied(files: DataFrame, made: DataFrame, header: dict[str, str] | None = None, entities_path: str = "entities.json") -> DataFrame:
+    """(path, text): the files that writes() changes, with its texts behind theirs, by write_id; a new file begins with its header.
+
+    The entity store is one JSON array: what is added joins it.
+    """
+    parts = made.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("write_id", F.col("inserted_text").alias("x")))).alias("parts"))
+    rows = parts.join(files, "path", "left")
+    blocks = F.transform("parts", lambda p: p["x"])
+    head = reduce(lambda rest, h: F.when(F.col("path") == h[0], h[1]).otherwise(rest), (header or {}).items(), F.lit(""))
+    appended = F.when(F.col("text").isNull(), F.concat(head, F.array_join(blocks, "\n"))).otherwise(F.concat(F.col("text"), F.lit("\n"), F.array_join(blocks, "\n")))
+    old = F.regexp_replace(F.coalesce(F.col("text"), F.lit("[]")), r"^\s*\[|\]\s*$", "")
+    added = F.array_join(F.transform(blocks, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2)), ",")
+    store = F.concat(F.lit("["), F.concat_ws(",", F.nullif(F.trim(old), F.lit("")), F.nullif(added, F.lit(""))), F.lit("]"))
+    return rows.select("path", F.when(F.col("path") == entities_path, store).otherwise(appended).alias("text"))
+
+
+def write_records(made: DataFrame, ts: str) -> DataFrame:
+    """(write_id, value): the audit record of each write as JSON, with the files that it appended to."""
+    file = F.struct("path", "inserted_text", "content_hash", F.lit("append").alias("mode"))
+    rows = made.groupBy("write_id", "capture_id").agg(F.array_sort(F.collect_list(file)).alias("applied_files"))
+    return rows.select("write_id", F.to_json(F.struct("write_id", F.lit(ts).alias("ts"), "capture_id", "applied_files", F.lit(True).alias("can_undo"))).alias("value"))
+
+
+RECORD = "write_id string, ts string, capture_id string, applied_files array<struct<path:string,inserted_text:string,content_hash:string,mode:string>>, can_undo boolean, undone_at string"
+
+
+def find_records(records: DataFrame, write_ids: list[str]) -> DataFrame:
+    """(write_id, path, content_hash) of the named records that can be undone, one row for each file. records: what RECORD reads."""
+    rows = records.filter(F.col("write_id").isin(*write_ids) & F.col("can_undo"))
+    return rows.select("write_id", F.explode("applied_files").alias("f")).select("write_id", "f.path", "f.content_hash")

@@ -54,9 +54,21 @@ def touch(known: DataFrame, disk: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.withColumn("mtime_ns", F.coalesce("_m", "mtime_ns")).withColumn("size_bytes", F.coalesce("_s", "size_bytes")).select(*known.columns)
 
 
-def missing_embeddings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Chunks without a vector of their (chunk_hash, model, dim), by path, place."""
-    return chunks.join(stored.select("chunk_hash", "model", "dim"), ["chunk_hash", "model", "dim"], "left_anti").orderBy("rel_path", "ord", "start_byte")
+def missing_embeddings(chunks: DataFrame, stored: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks without a vector of their (chunk_hash, model, dim), by path, place; at most `limit`, none for 0 or less."""
+    rows = chunks.join(stored.select("chunk_hash", "model", "dim"), ["chunk_hash", "model", "dim"], "left_anti").orderBy("rel_path", "ord", "start_byte")
+    return rows if limit is None else rows.limit(max(0, limit))
+
+
+def plan_hash(content_hash: Column, headings: Column, settings: dict) -> Column:
+    """What a file's chunks and vectors depend on, as a hash: its content, its headings' signature, the settings of chunking and embedding."""
+    return F.sha2(F.concat_ws("|", content_hash, headings, F.lit("|".join(f"{k}={v}" for k, v in sorted(settings.items())))), 256)
+
+
+def stale_plans(planned: DataFrame, state: DataFrame) -> DataFrame:
+    """Files (rel_path, plan_hash) whose plan isn't the recorded one: only these are chunked again."""
+    old = state.select("rel_path", F.col("plan_hash").alias("__old"))
+    return planned.join(old, "rel_path", "left").filter(~F.col("plan_hash").eqNullSafe(F.col("__old"))).drop("__old")
 
 
 def dangling_embeddings(stored: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,16 +9,16 @@ BEGIN, CLOSE = "<!-- block:{} begin -->", "<!-- block:{} end -->"
 MARKS = {"high": "[HIGH]", "med": "[MED]", "low": "[LOW]"}
 
 
-def _mark(write_id: Column, template: str) -> Column:
+def mark(write_id: Column, template: str) -> Column:
     before, after = template.split("{}")
     return F.concat(F.lit(before), write_id, F.lit(after))
 
 
 def _task(t: Column) -> Column:
-    mark = F.lit("")
+    level = F.lit("")
     for k, v in MARKS.items():
-        mark = F.when(t["priority"] == k, v).otherwise(mark)
-    return F.concat(F.lit("- [ ] "), mark, F.lit(" "), t["text"])
+        level = F.when(t["priority"] == k, v).otherwise(level)
+    return F.concat(F.lit("- [ ] "), level, F.lit(" "), t["text"])
 
 
 def _section(title: str, items: Column) -> Column:
@@ -28,17 +28,17 @@ def _section(title: str, items: Column) -> Column:
 
 def daily_block(write_id: Column, time: Column, capture_id: Column, summary: Column, key_points: Column, entities: Column, tasks: Column) -> Column:
     """The marked block that a daily note gets for a distilled capture: at most 5 points, 7 entities, 7 tasks."""
-    head = F.array(_mark(write_id, BEGIN), F.concat(F.lit("### Distilled ("), time, F.lit(" UTC) — "), F.substring(capture_id, 1, 8)), F.lit(""), F.concat(F.lit("**Summary:** "), summary), F.lit(""))
+    head = F.array(mark(write_id, BEGIN), F.concat(F.lit("### Distilled ("), time, F.lit(" UTC) — "), F.substring(capture_id, 1, 8)), F.lit(""), F.concat(F.lit("**Summary:** "), summary), F.lit(""))
     points = F.transform(F.slice(key_points, 1, 5), lambda p: F.concat(F.lit("- "), p))
     people = F.transform(F.slice(entities, 1, 7), lambda e: F.concat(F.lit("- "), e["name"], F.lit(" ["), e["kind"], F.lit("]")))
     todo = F.transform(F.slice(tasks, 1, 7), _task)
-    return F.array_join(F.concat(head, _section("**Key Points:**", points), _section("**Entities:**", people), _section("**Tasks:**", todo), F.array(_mark(write_id, CLOSE), F.lit(""))), "\n")
+    return F.array_join(F.concat(head, _section("**Key Points:**", points), _section("**Entities:**", people), _section("**Tasks:**", todo), F.array(mark(write_id, CLOSE), F.lit(""))), "\n")
 
 
 def todo_block(write_id: Column, day: Column, tasks: Column, existing: Column) -> Column:
     """The block of those tasks that the todo text doesn't name yet; null if there are none."""
     fresh = F.filter(F.slice(tasks, 1, 7), lambda t: ~F.coalesce(existing, F.lit("")).contains(t["text"]))
-    lines = F.concat(F.array(_mark(write_id, BEGIN), F.concat(F.lit("## Draft tasks ("), day, F.lit(")")), F.lit("")), F.transform(fresh, _task), F.array(F.lit(""), _mark(write_id, CLOSE), F.lit("")))
+    lines = F.concat(F.array(mark(write_id, BEGIN), F.concat(F.lit("## Draft tasks ("), day, F.lit(")")), F.lit("")), F.transform(fresh, _task), F.array(F.lit(""), mark(write_id, CLOSE), F.lit("")))
     return F.when(F.size(fresh) > 0, F.array_join(lines, "\n"))
 
 
@@ -133,3 +133,23 @@ def scalar_kind(value: Column) -> Column:
     """list, int, float or string: what a plain scalar would be read as."""
     bare = F.trim(value)
     return F.when(bare.rlike(r"^\[.*\]$"), "list").when(bare.rlike(r"^\d+$"), "int").when(bare.rlike(r"^-?\d+\.\d+$"), "float").otherwise("string")
+
+
+def metadata_workflow(found: DataFrame, version: int, enabled: bool = True, provider: str | None = "stub", dry_run: bool = False) -> DataFrame:
+    """(path, status, text) for notes (path, text) with what a model answered (answer, null where it wasn't asked).
+
+    Statuses: disabled, up_to_date, dry_run, no_provider, empty_transcript: the note stays; json_parse_failed,
+    json_validation_failed: it stays too; generated: its frontmatter has signpost, summary, themes and questions anew, with the
+    hash that says what they were made of. Where there is no answer yet, waiting.
+    """
+    value = F.coalesce("text", F.lit(""))
+    rows = found.withColumns({"__fields": scalar_fields(frontmatter(value)), "__transcript": transcript_text(body(value))})
+    first = metadata_status(enabled, F.col("__fields"), version, F.col("__transcript"))
+    rows = metadata_payload(rows.withColumn("__v", tolerant_json(F.col("answer"))), "__v")
+    later = F.when(F.col("answer").isNull(), "waiting").when(F.col("__v").isNull(), "json_parse_failed").when(F.col("signpost").isNull(), "json_validation_failed").otherwise("generated")
+    asked = F.when(F.lit(dry_run), "dry_run").when(F.lit(provider is None), "no_provider").when(F.col("__transcript") == "", "empty_transcript").otherwise(later)
+    status = F.when(first.isin("disabled", "up_to_date"), first).otherwise(asked)
+    made = F.sha2(F.concat(F.coalesce(F.col("__fields")["content_hash"], F.lit("")), F.lit(f"|v{version}")), 256)
+    new = {"signpost": F.col("signpost"), "summary": F.col("summary"), "themes": F.array_join("themes", ", "), "open_questions": F.array_join("open_questions", " / "), "meta_provider": F.lit(provider or ""), "meta_version": F.lit(str(version)), "meta_hash": made}
+    text = F.when(status == "generated", update_frontmatter(F.col("text"), new)).otherwise(F.col("text"))
+    return rows.select("path", status.alias("status"), text.alias("text"))

@@ -267,7 +267,10 @@ QUERIES = {
         SELECT capture_id, (row_number() OVER (PARTITION BY capture_id ORDER BY k) - 1)::INT AS pos, line[:100] AS point FROM l WHERE length(line) > 10"""),
     "distill_tasks": (distill_tasks, f"{_NOTES}, {_TASKS} SELECT capture_id, pos, text, priority FROM t"),
     "distill_entities": (distill_entities, f"{_C}, {_ENTITIES} SELECT capture_id, ord, name, kind FROM ent"),
-    "proposal_fanout": (proposal_fanout, f"{_NOTES}, {_TASKS}, {_SUMMARY} SELECT capture_id, 0::BIGINT AS ord, 'note' AS artifact_type, summary[:80] AS title, round(confidence, 4) AS confidence FROM sm UNION ALL SELECT t.capture_id, pos + 1, 'task', t.text[:80], round(confidence * 0.9::DOUBLE, 4) FROM t JOIN sm ON sm.capture_id = t.capture_id"),
+    "proposal_fanout": (proposal_fanout, f"""{_NOTES}, {_TASKS}, {_SUMMARY}, {_ENTITIES}, nt AS (SELECT capture_id, count(*) AS n FROM t GROUP BY 1)
+        SELECT capture_id, 0::BIGINT AS ord, 'note' AS artifact_type, summary[:80] AS title, round(confidence, 4) AS confidence FROM sm
+        UNION ALL SELECT t.capture_id, pos + 1, 'task', t.text[:80], round(confidence * 0.9::DOUBLE, 4) FROM t JOIN sm ON sm.capture_id = t.capture_id
+        UNION ALL SELECT ent.capture_id, coalesce(n, 0) + ord, 'entity', name[:80], round(confidence * 0.8::DOUBLE, 4) FROM ent JOIN sm ON sm.capture_id = ent.capture_id LEFT JOIN nt ON nt.capture_id = ent.capture_id"""),
     "todo_substring_antijoin": (todo_substring_antijoin, f"{_NOTES}, {_TASKS}, todo AS MATERIALIZED (SELECT DISTINCT {_said_sql('text')} AS todo FROM benchmark WHERE text IS NOT NULL) SELECT capture_id, pos, text FROM t WHERE NOT EXISTS (SELECT 1 FROM todo WHERE contains(todo, t.text))"),
     "entity_dedupe_antijoin": (entity_dedupe_antijoin, f"{_C}, {_ENTITIES}, known AS (SELECT DISTINCT lower(name) AS low, kind FROM ent WHERE length(name) % 2 = 0) SELECT name, kind, capture_id FROM ent WHERE (lower(name), kind) NOT IN (SELECT (low, kind) FROM known) QUALIFY row_number() OVER (PARTITION BY lower(name), kind ORDER BY capture_id, ord) = 1"),
     "salience_lines": (salience_lines, f"{model.with_sql('lines')}, r AS (SELECT file_id, line, trim(regexp_replace(text, '\\b[Ww]hat of\\b|\\b[Bb]y the\\b', 'next', 'g')) AS bare FROM lines), s AS (SELECT file_id, line, bare, lower(replace(bare, '’', chr(39))) AS low FROM r) SELECT file_id, line FROM s WHERE bare != '' AND (contains(bare, '?') OR bare[1] IN ('-', '*', '•') OR contains(low, 'i realized') OR contains(low, 'the point is') OR contains(low, 'what i''m saying') OR contains(low, 'decision') OR contains(low, 'so i''m going to') OR contains(low, 'next') OR contains(low, 'action') OR contains(low, 'summary'))"),

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import capturing, indexing, logs, noting, relational, retrieval
+from . import capturing, indexing, logs, noting, relational, retrieval, reviewing
 
-QUERIES = {**retrieval.QUERIES, **capturing.QUERIES, **indexing.QUERIES, **logs.QUERIES, **noting.QUERIES, **relational.QUERIES}
+QUERIES = {**retrieval.QUERIES, **capturing.QUERIES, **indexing.QUERIES, **logs.QUERIES, **noting.QUERIES, **reviewing.QUERIES, **relational.QUERIES}

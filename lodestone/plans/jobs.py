@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt
+from ..functions.text import excerpt, safe_title
 from ..functions.vectors import hash_embed, hash_embedding
-from ..operators import ask, conversations, index, markdown, search
+from ..operators import ask, classify, conversations, index, ledger, markdown, search
+from ..operators import notes as note_texts
 from ..operators.textindex import TextIndex
 from ..sources import vault
+from ..sources.logs import MANIFEST, read_jsonl
 
 
 def with_snapshot(settings: dict, snapshot: dict | None) -> dict:
@@ -49,53 +51,192 @@ def ask_plan(*tables, mode: str = "hybrid", per_file_cap: int = 3, packed_max_ch
     return ask.pack(ask.rerank(ask.temporal(gather(*tables, **how), mode), per_file_cap), packed_max_chars)
 
 
-def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16", dim: int = 16, most: int = 4000, exclude: list[str] | None = None) -> dict[str, int]:
+TABLES = {
+    "files": "rel_path string, title string, mtime_ns long, size_bytes long, content_hash string, fm_journal_date string, plan_hash string, made int",
+    "chunks": "rel_path string, ord int, heading_path string, start_byte long, end_byte long, text string, chunk_id string, chunk_hash string, vector array<double>",
+    "outlinks": "rel_path string, ord int, target string",
+    "tags": "rel_path string, name string, source string",
+}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+
+
+def _state(spark: SparkSession, store: str) -> int:
+    """The number of the run whose tables are in force; 0 without any."""
+    pointer = f"{store}/current"
+    return int(spark.read.text(pointer).agg(F.max(F.col("value").cast("int")).alias("n")).first().n or 0) if _exists(spark, pointer) else 0
+
+
+def vault_tables(spark: SparkSession, store: str, state: int | None = None) -> dict[str, DataFrame]:
+    """The tables of index_vault(): files, and of the others the rows that the run wrote which last parsed their file."""
+    state = _state(spark, store) if state is None else state
+    if not state:
+        return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
+    files = spark.read.schema(TABLES["files"]).parquet(f"{store}/files/state={state}")
+    live = files.select("rel_path", "made")
+    rest = {t: spark.read.schema(f"{s}, made int").option("basePath", f"{store}/{t}").parquet(f"{store}/{t}").join(live, ["rel_path", "made"], "left_semi").drop("made") for t, s in TABLES.items() if t != "files"}
+    return {"files": files, **rest}
+
+
+def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16", dim: int = 16, most: int = 4000, exclude: list[str] | None = None, full: bool = False, strategy: str = "paragraph_then_window") -> dict[str, int]:
     """Brings the tables under `store` up to date with the notes under `root` and returns how many files are in each state.
 
-    Only new and changed files are parsed and embedded. The new state is written beside the old one and named last, in a
-    pointer, so a job that breaks off leaves the old state in force.
+    A file is parsed, chunked and embedded again if its content or the settings have changed (its plan's hash says so). Such
+    files alone are written, behind what is there; only the list of files is written whole, and it says which run's rows of
+    a file are in force. A pointer names the list last, so a job that breaks off leaves the old state in force, and a run
+    after it writes its own rows anew. full: everything is built again and what earlier runs wrote is deleted.
     """
-    pointer = f"{store}/current"
+    if strategy not in markdown.STRATEGIES:
+        raise ValueError(f"no strategy {strategy}; there are {', '.join(markdown.STRATEGIES)}")
+    state = _state(spark, store)
+    now, settings = state + 1, {"model": model, "dim": dim, "most": most, "strategy": strategy}
+    old = vault_tables(spark, store, 0 if full else state)["files"]
     disk = vault.read_vault(spark, root, exclude)
-    schemas = {"files": "rel_path string, title string, mtime_ns long, size_bytes long, content_hash string, fm_journal_date string", "chunks": "rel_path string, ord int, heading_path string, start_byte long, end_byte long, text string, chunk_id string, chunk_hash string, vector array<double>", "outlinks": "rel_path string, ord int, target string", "tags": "rel_path string, name string, source string"}
-    try:
-        state = int(spark.read.text(pointer).agg(F.max(F.col("value").cast("int")).alias("n")).first().n)
-        old = {t: spark.read.schema(s).parquet(f"{store}/{state}/{t}") for t, s in schemas.items()}
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        state, old = 0, {t: spark.createDataFrame([], s) for t, s in schemas.items()}
-    changes = index.classify_changes(disk, old["files"])
-    stale = changes.filter("status in ('changed', 'deleted')")
-    work = disk.join(changes.filter("status in ('new', 'changed')"), "rel_path", "left_semi").withColumn("file_id", F.lit(0).cast("long"))
+    changes = index.classify_changes(disk, old)
+    planned = disk.select("rel_path", index.plan_hash(F.col("content_hash"), F.lit(""), settings).alias("plan_hash"))
+    work = disk.join(index.stale_plans(planned, old), "rel_path").withColumn("file_id", F.lit(0).cast("long"))
     parsed = markdown.parse_files(work)
+    fresh = work.join(parsed.select("rel_path", F.col("journal_date").alias("fm_journal_date")), "rel_path").withColumn("made", F.lit(now))
     made = {
-        "files": work.join(parsed.select("rel_path", F.col("journal_date").alias("fm_journal_date")), "rel_path"),
-        "chunks": markdown.chunk_files(work, model, most).withColumn("vector", hash_embedding(F.col("text"), dim)),
+        "chunks": markdown.chunk_files(work, model, most, strategy=strategy).withColumn("vector", hash_embedding(F.col("text"), dim)),
         "outlinks": parsed.select("rel_path", F.explode("outlinks").alias("l")).select("rel_path", "l.ord", "l.target"),
         "tags": parsed.select("rel_path", F.explode("fm_tags").alias("name"), F.lit("frontmatter").alias("source")).unionByName(parsed.select("rel_path", F.explode("inline_tags").alias("name"), F.lit("inline").alias("source"))).distinct(),
     }
-    for t in schemas:
-        kept = old[t].join(stale, "rel_path", "left_anti")
-        kept = index.touch(kept, disk, changes) if t == "files" else kept
-        kept.unionByName(made[t].select(old[t].columns)).write.mode("overwrite").parquet(f"{store}/{state + 1}/{t}")
+    for t, rows in made.items():
+        columns = [c.split()[0] for c in TABLES[t].split(", ")]
+        rows.select(columns).write.mode("overwrite").parquet(f"{store}/{t}/made={now}")
+    kept = index.touch(old.join(changes.filter("status != 'deleted'"), "rel_path", "left_semi"), disk, changes)
+    listed = kept.join(fresh.select("rel_path"), "rel_path", "left_anti").unionByName(fresh.select(old.columns))
+    listed.write.mode("overwrite").parquet(f"{store}/files/state={now}")
     counts = {r.status: r.n for r in index.status_counts(changes).collect()}
-    spark.createDataFrame([(str(state + 1),)], "value string").coalesce(1).write.mode("append").text(pointer)
+    spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.mode("append").text(f"{store}/current")
+    _drop(spark, f"{store}/files/state={state - 1}")  # the list before stays for readers that have begun
+    if full:
+        for k in range(1, now):
+            for t in made:
+                _drop(spark, f"{store}/{t}/made={k}")
     return counts
 
 
 def ask_vault(spark: SparkSession, store: str, query: str, dim: int = 16, **how) -> DataFrame:
     """One row, answer, over the tables of index_vault()."""
-    state = spark.read.text(f"{store}/current").agg(F.max(F.col("value").cast("int")).alias("n")).first().n
-    files, chunks, links = (spark.read.parquet(f"{store}/{state}/{t}") for t in ("files", "chunks", "outlinks"))
+    t = vault_tables(spark, store)
+    files, chunks, links = t["files"], t["chunks"], t["outlinks"]
     rows = chunks.join(files.select("rel_path", "title", "mtime_ns", "fm_journal_date"), "rel_path").withColumn("file_id", F.col("chunk_id"))
     whole = files.withColumn("file_id", F.col("rel_path")).join(search.representative_chunk(chunks.withColumn("file_id", F.col("rel_path")).withColumn("line", F.col("ord"))).select("rel_path", "heading_path", "start_byte", "end_byte", "text"), "rel_path")
     targets = links.select(F.col("rel_path").alias("file_id"), "target")
-    vectors = rows.select("file_id", "vector")
-    packed = ask_plan(rows, whole, vectors, targets, query, hash_embed(query, dim), file_key="rel_path", **how)
+    packed = ask_plan(rows, whole, rows.select("file_id", "vector"), targets, query, hash_embed(query, dim), file_key="rel_path", **how)
     return ask.answer(packed, query)
 
 
+class InjectedCrash(RuntimeError):
+    """Raised by sync_transcripts() on request, between two days."""
+
+
+def sync_transcripts(spark: SparkSession, talks: DataFrame, root: str, manifest: str, run_id: str, ts: str, crash_after: int | None = None) -> dict[str, int]:
+    """Writes the segments of transcripts (see sources.transcripts) that the notes under root don't have yet, and one manifest line.
+
+    Returns segments written and skipped, days and conversations. What is written is told by the notes' own segment ids, so
+    a run after a crash, or a second run, writes each segment exactly once. Days are written in order, each whole; with
+    crash_after, the run breaks off once so many segments are done. The manifest's last timestamp is that of the last
+    conversation of a finished run, so resume_from() never skips what a crash left out.
+    """
+    notes = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    segments = talks.select(F.date_format("started_at", "yyyy-MM-dd").alias("day"), F.explode("segments.segment_id").alias("segment_id")).cache()
+    days = [r.day for r in segments.select("day").distinct().orderBy("day").collect()]
+    groups = [[d] for d in days] if crash_after is not None else [days] if days else []
+    total = segments.select("segment_id").distinct().count()
+    written = done = 0
+    for group in groups:
+        known = conversations.written_segments(notes)
+        new = write_days(notes, talks.filter(F.date_format("started_at", "yyyy-MM-dd").isin(group)), known).cache()
+        written += new.agg(F.coalesce(F.sum("segments"), F.lit(0)).alias("n")).first().n
+        vault.write_texts(new, root)
+        new.unpersist()
+        done += segments.filter(F.col("day").isin(group)).count()
+        if crash_after is not None and done >= crash_after:
+            raise InjectedCrash(f"after {done} segments")
+    out = {"segments_written": written, "segments_skipped": total - written, "days": len(days), "conversations": talks.count()}
+    last = talks.agg(F.date_format(F.max("finished_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last"))
+    counts = F.struct(F.lit(out["conversations"]).alias("discovered"), F.lit(written).alias("ingested"), F.lit(total - written).alias("skipped"), F.lit(0).alias("errored"))
+    record = last.select(F.lit(1).alias("schema_version"), F.lit("transcripts").alias("source"), F.lit(run_id).alias("run_id"), counts.alias("counts"), F.col("last").alias("last_successful_item_timestamp"), F.lit(ts).alias("created_at"))
+    record.coalesce(1).write.mode("append").json(manifest)
+    segments.unpersist()
+    return out
+
+
+def write_days(notes: DataFrame, talks: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, text, segments): the day notes with what they get of new segments; a new note begins with a heading."""
+    new = note_texts.transcript_notes(talks, known).select(F.concat(F.lit("transcripts/"), "day", F.lit(".md")).alias("path"), "day", F.col("text").alias("more"), "segments")
+    rows = new.join(notes, "path", "left")
+    return rows.select("path", F.concat(F.coalesce("text", F.concat(F.lit("# Transcripts "), "day", F.lit("\n"))), "more").alias("text"), "segments")
+
+
+def resume_from(spark: SparkSession, manifest: str, source: str) -> str | None:
+    """The last timestamp that the latest run of a source recorded; null without one."""
+    if not _exists(spark, manifest):
+        return None
+    rows = read_jsonl(spark, manifest, MANIFEST, ["source", "run_id", "created_at"]).filter(F.col("source") == source)
+    return rows.agg(F.max("last_successful_item_timestamp").alias("t")).first().t
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """(conversation_id, destination, note_path) of a state file, a JSON object by conversation; a file that is missing or broken has none, an entry without destination or path is left out."""
+    schema = "conversation_id string, destination string, note_path string"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    entries = "map<string,struct<destination_vault:string,output_note_relpath:string>>"
+    rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.expr(f"try_variant_get(try_parse_json(value), '$.conversations', '{entries}')")))
+    return rows.select(F.col("key").alias("conversation_id"), F.col("value.destination_vault").alias("destination"), F.col("value.output_note_relpath").alias("note_path")).filter("destination != '' and note_path != ''")
+
+
+def ingest_exports(spark: SparkSession, raw: DataFrame, root: str, state: str, reclassify: bool = False) -> dict[str, int]:
+    """Writes normalised conversations as notes under root by destination, then the state: (conversation_id, destination, note_path) as JSON lines under `state`.
+
+    A conversation keeps the destination and path that the state has for it, unless all are classified again; new ones of
+    one title in one folder get suffixes that no other has. Notes whose content hash stands in the note already are not
+    written again. Notes come first and the state is swapped in last, so a broken run is repeated without harm.
+    """
+    if not _exists(spark, state) and _exists(spark, f"{state}.new/_SUCCESS"):
+        _rename(spark, f"{state}.new", state)  # a run broke off between the two steps of the swap
+    known = spark.read.schema("conversation_id string, destination string, note_path string").json(state) if _exists(spark, state) else spark.createDataFrame([], "conversation_id string, destination string, note_path string")
+    turns = raw.select(F.col("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", "m.role", "m.content")
+    titled = conversations.conversation_rows(turns).drop("title").join(raw.select(F.col("conversation_id").alias("conv_id"), "title").dropDuplicates(["conv_id"]), "conv_id")
+    placed = classify.sticky(classify.destination(titled).select("conv_id", "destination"), known.withColumnRenamed("conversation_id", "conv_id"), reclassify).select("conv_id", "destination")
+    rows = ingest_conversations(raw.dropDuplicates(["conversation_id"]), spark.createDataFrame([], "conversation_id string, content_hash string"))
+    rows = rows.join(placed.withColumnRenamed("conv_id", "conversation_id"), "conversation_id", "left").withColumn("destination", F.coalesce("destination", F.lit("daemon")))
+    rows = rows.join(known.select("conversation_id", F.col("destination").alias("__was"), "note_path"), "conversation_id", "left")
+    folder = F.concat("destination", F.lit("/"), F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("undated")))
+    old = rows.filter("note_path is not null and __was = destination").withColumn("path", F.col("note_path"))
+    new = rows.filter("note_path is null or __was != destination").withColumns({"__base": F.concat(folder, F.lit("/"), safe_title(F.col("title"), F.lit("Untitled"))), "__ext": F.lit(".md")})
+    named = ledger.free_names(new, "__base", "__ext", known.select(F.col("note_path").alias("file_name")), ["created_at", "conversation_id"]).withColumn("path", F.col("file_name"))
+    columns = ["conversation_id", "destination", "path", "text", "content_hash"]
+    notes = old.select(columns).unionByName(named.select(columns))
+    there = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), note_texts.scalar_fields(note_texts.frontmatter(F.decode("content", "UTF-8")))["content_hash"].alias("__hash")) if _exists(spark, root) else spark.createDataFrame([], "path string, __hash string")
+    notes = notes.join(there, "path", "left").cache()
+    total, fresh = notes.count(), notes.filter(~F.col("content_hash").eqNullSafe(F.col("__hash")))
+    written = vault.write_texts(fresh, root) if total else 0
+    after = known.join(notes.select("conversation_id"), "conversation_id", "left_anti").unionByName(notes.select("conversation_id", "destination", F.col("path").alias("note_path")))
+    after.write.mode("overwrite").json(f"{state}.new")
+    _drop(spark, state)
+    _rename(spark, f"{state}.new", state)
+    notes.unpersist()
+    return {"conversations": total, "written": written, "unchanged": total - written}
+
+
 def ingest_conversations(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """Notes to write of normalised conversations: those whose content hash isn't the stored one. stored: conversation_id, content_hash."""
     body = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"], F.coalesce(m["created_at"].cast("string"), F.lit("")))), "|")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,9 @@ from ..functions.batches import by_bytes
 from ..functions.text import file_title
 
 
+MARK = ".mark-"
+
+
 def glob_regex(glob: str) -> str:
     """A shell pattern as a regular expression of the whole path; a star also stands for slashes."""
     out, i = "", 0
@@ -41,9 +46,43 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return hit
 
 
+def _odd_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of the given paths as binaryFile reads others."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            stat = os.stat(path)
+            with open(path, "rb") as file:
+                yield pa.record_batch([pa.array([f"file:{quote(path)}"]), pa.array([stat.st_mtime_ns // 1_000_000 * 1_000], pa.timestamp("us", "UTC")), pa.array([stat.st_size], pa.int64()), pa.array([file.read()], pa.binary())], names=["path", "modificationTime", "length", "content"])
+
+
+def read_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """path, modificationTime, length, content of the folder's files.
+
+    Spark's own reader passes over empty files and names that begin with a dot or underscore. In a folder on a file system that
+    the driver sees, such files are listed here (names alone) and read by tasks, so they count too; elsewhere they do not.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    local = os.path.abspath(root.removeprefix("file://").removeprefix("file:"))
+    if "://" in root.removeprefix("file://") or not os.path.isdir(local):
+        return files
+    odd = []
+    for folder, folders, names in os.walk(local):
+        if not recursive:
+            folders.clear()
+        hidden = any(part[:1] in "._" for part in os.path.relpath(folder, local).split(os.sep) if part not in (".", ""))
+        for name in names:
+            path = os.path.join(folder, name)
+            if fnmatchcase(name, pattern) and (hidden or name[:1] in "._" or not os.path.getsize(path)) and not name.startswith(MARK) and not name.endswith(".crc"):
+                odd.append((path,))
+    if not odd:
+        return files
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return files.unionByName(spark.createDataFrame(odd, "path string").repartition(max(1, len(odd) // 100)).mapInArrow(_odd_files, schema))
+
+
 def read_vault(spark: SparkSession, root: str, exclude: list[str] | None = None, pattern: str = "*.md") -> DataFrame:
-    """(rel_path, title, mtime_ns, size_bytes, content, content_hash) of the folder's files; names that begin with a dot or underscore are hidden from Spark, and so are empty files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    """(rel_path, title, mtime_ns, size_bytes, content, content_hash) of the folder's files, whole and in all folders below; see read_files()."""
+    files = read_files(spark, root, pattern)
     base = "/" + root.split("://")[-1].lstrip("/").rstrip("/")
     path = F.url_decode(F.replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), F.lit("+"), F.lit("%2B")))
     rows = files.withColumn("rel_path", F.substring(path, F.lit(len(base) + 2), F.length(path)))
@@ -58,7 +97,7 @@ def write_texts(df: DataFrame, root: str, path: str = "path", text: str = "text"
     two different texts. Rows that repeat path and text are one file; null is an empty text.
     """
     os.makedirs(root, exist_ok=True)
-    mark = os.path.join(root, f".mark-{uuid.uuid4().hex}")
+    mark = os.path.join(root, f"{MARK}{uuid.uuid4().hex}")
     with open(mark, "w", encoding="utf-8"):
         pass
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import conversations, notes
 from lodestone.plans import jobs
-from lodestone.sources import vault
+from lodestone.sources import inbox, vault
 
 
 def put(root, **files):
@@ -62,3 +65,104 @@ def test_tolerant_json(spark):
     df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, t string")
     got = [r[0] for r in df.orderBy("k").select(F.expr("1").alias("one"), notes.tolerant_json(F.col("t")).alias("v")).selectExpr("try_variant_get(v, '$.a', 'int')").collect()]
     assert got == [1, 1, 1, 1, 1, None, None, None]
+
+
+def test_full_rebuild_and_settings(spark, tmp_path):
+    root, store = str(tmp_path / "vault"), str(tmp_path / "store")
+    put(root, a="# A\nthe red fox\n", b="# B\nthe red hen\n")
+    jobs.index_vault(spark, root, store)
+    put(root, a="# A\nthe red fox again\n")
+    assert jobs.index_vault(spark, root, store) == {"changed": 1, "unchanged": 1}
+    made = {r.rel_path: r.made for r in jobs.vault_tables(spark, store)["files"].collect()}
+    assert made == {"a.md": 2, "b.md": 1} and os.listdir(f"{store}/chunks") != []
+    assert sum(r.text.count("again") for r in jobs.vault_tables(spark, store)["chunks"].collect()) == 1
+    assert jobs.vault_tables(spark, store)["chunks"].count() == 2
+    jobs.index_vault(spark, root, store, most=6)  # other settings: all files are chunked anew
+    assert {r.made for r in jobs.vault_tables(spark, store)["files"].collect()} == {3}
+    assert jobs.vault_tables(spark, store)["chunks"].count() > 2
+    assert jobs.index_vault(spark, root, store, full=True) == {"new": 2}
+    assert sorted(x for x in os.listdir(f"{store}/chunks") if not x.startswith(".")) == ["made=4"] and jobs.vault_tables(spark, store)["chunks"].count() == 2
+    with pytest.raises(ValueError, match="no strategy other"):
+        jobs.index_vault(spark, root, store, strategy="other")
+
+
+def talks(spark, *rows):
+    """rows: id, start, segment ids."""
+    made = [(i, datetime.fromisoformat(at), datetime.fromisoformat(at) + timedelta(minutes=5), [(s, "S1", f"text {s}", None) for s in segments]) for i, at, segments in rows]
+    return spark.createDataFrame(made, "id string, started_at timestamp, finished_at timestamp, segments array<struct<segment_id:string,speaker_id:string,text:string,created_at:timestamp>>")
+
+
+def test_sync_resumes_after_a_crash(spark, tmp_path):
+    root, manifest = str(tmp_path / "notes"), str(tmp_path / "manifest")
+    os.makedirs(root)
+    rows = talks(spark, ("c1", "2024-01-01T10:00:00", ["a", "b"]), ("c2", "2024-01-02T10:00:00", ["c"]), ("c3", "2024-01-02T11:00:00", ["d"]), ("c4", "2024-01-03T09:00:00", ["e"]))
+    with pytest.raises(jobs.InjectedCrash):
+        jobs.sync_transcripts(spark, rows, root, manifest, "r1", "t1", crash_after=3)
+    assert sorted(os.listdir(f"{root}/transcripts")) == ["2024-01-01.md", "2024-01-02.md"] and jobs.resume_from(spark, manifest, "transcripts") is None
+    assert jobs.sync_transcripts(spark, rows, root, manifest, "r2", "t2") == {"segments_written": 1, "segments_skipped": 4, "days": 3, "conversations": 4}
+    text = "".join((tmp_path / "notes" / "transcripts" / f"2024-01-0{k}.md").read_text() for k in (1, 2, 3))
+    assert [text.count(f"segment_id: {s} ") for s in "abcde"] == [1] * 5
+    assert jobs.resume_from(spark, manifest, "transcripts") == "2024-01-03T09:05:00Z"
+    assert jobs.sync_transcripts(spark, rows, root, manifest, "r3", "t3")["segments_written"] == 0
+    assert jobs.sync_transcripts(spark, rows.limit(0), root, manifest, "r4", "t4") == {"segments_written": 0, "segments_skipped": 0, "days": 0, "conversations": 0}
+
+
+def test_exports_keep_their_places(spark, tmp_path):
+    root, state = str(tmp_path / "notes"), str(tmp_path / "state")
+
+    def raw(*rows):
+        data = [{"id": i, "title": t, "create_time": 1700000000, "messages": [{"role": "user", "content": c}]} for i, t, c in rows]
+        return conversations.normalise(conversations.export_conversations(spark.createDataFrame([(json.dumps(data),)], "value string")))
+
+    first = raw(("1", "Day", "calm"), ("2", "Day", "Traceback (most recent call last)"), ("3", "Day", "calm too"))
+    assert jobs.ingest_exports(spark, first, root, state) == {"conversations": 3, "written": 3, "unchanged": 0}
+    paths = {r.conversation_id: r.note_path for r in spark.read.json(state).collect()}
+    assert len(set(paths.values())) == 3 and paths["1"].endswith("/Day.md") and paths["3"].endswith("/Day_1.md")
+    assert jobs.ingest_exports(spark, first, root, state) == {"conversations": 3, "written": 0, "unchanged": 3}
+    assert jobs.ingest_exports(spark, raw(("1", "Other", "calmer"), ("4", "Day", "new")), root, state) == {"conversations": 2, "written": 2, "unchanged": 0}
+    again = {r.conversation_id: r.note_path for r in spark.read.json(state).collect()}
+    assert {k: again[k] for k in "123"} == paths and again["4"].endswith("/Day_2.md")
+    os.rename(state, f"{state}.new")  # a run that broke off between the steps of the swap
+    assert jobs.ingest_exports(spark, first.limit(0), root, state)["conversations"] == 0 and spark.read.json(state).count() == 4
+
+
+def test_state_files(spark, tmp_path):
+    good = tmp_path / "good.json"
+    good.write_text(json.dumps({"conversations": {"a": {"destination_vault": "d", "output_note_relpath": "p"}, "b": {"destination_vault": "", "output_note_relpath": "p"}}}))
+    (tmp_path / "bad.json").write_text("{no")
+    assert [tuple(r) for r in jobs.load_state(spark, str(good)).collect()] == [("a", "d", "p")]
+    assert jobs.load_state(spark, str(tmp_path / "bad.json")).count() == jobs.load_state(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_metadata_workflow(spark):
+    note = "---\ncontent_hash: h\n---\n# T\n\n## Transcript\n\nhello\n"
+    answer = '{"signpost": "s", "summary": "x", "themes": ["t"], "open_questions": ["q"]}'
+    rows = spark.createDataFrame([("a", note, answer), ("b", note, "no"), ("c", note, '{"signpost": ""}'), ("d", "---\na: 1\n---\n", answer), ("e", note, None), ("f", None, answer)], "path string, text string, answer string")
+    got = {r.path: r for r in notes.metadata_workflow(rows, 2).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "generated", "b": "json_parse_failed", "c": "json_validation_failed", "d": "empty_transcript", "e": "waiting", "f": "empty_transcript"}
+    assert 'signpost: "s"' in got["a"].text and got["a"].text.endswith("hello\n") and got["b"].text == note
+    again = spark.createDataFrame([("a", got["a"].text, answer)], "path string, text string, answer string")
+    assert notes.metadata_workflow(again, 2).first().status == "up_to_date" and notes.metadata_workflow(again, 3).first().status == "generated"
+    assert {r.status for r in notes.metadata_workflow(rows, 2, enabled=False).collect()} == {"disabled"}
+    assert notes.metadata_workflow(rows.filter("path = 'a'"), 2, provider=None).first().status == "no_provider"
+
+
+def test_inbox(spark, tmp_path):
+    day = tmp_path / "00_inbox" / "2024-01-02"
+    taken = spark.createDataFrame([("capture_x.txt",), ("capture_x_2.txt",), ("n.md",)], "file_name string")
+    texts = spark.createDataFrame([("c1", "one"), ("c2", "two"), ("c3", None)], "capture_id string, text string")
+    made = inbox.ingest_texts(texts, "2024-01-02", "x", "T", taken)
+    assert {r.capture_id: r.path for r in made.collect()} == {"c1": "00_inbox/2024-01-02/capture_x_1.txt", "c2": "00_inbox/2024-01-02/capture_x_3.txt", "c3": "00_inbox/2024-01-02/capture_x_4.txt"}
+    files = inbox.ingest_files(spark.createDataFrame([("c4", "/home/n.md", "# n"), ("c5", "/home/raw", "r")], "capture_id string, original_path string, text string"), "2024-01-02", "T", taken)
+    assert {r.capture_id: r.path.rsplit("/", 1)[1] for r in files.collect()} == {"c4": "n_1.md", "c5": "raw"}
+    for df in (made, files):
+        vault.write_texts(df, str(tmp_path))
+        vault.write_texts(df.select(F.col("meta_path").alias("path"), F.col("meta").alias("text")), str(tmp_path))
+    (day / "loose.txt").write_text("no sidecar")
+    (day / "odd.txt").write_text("broken sidecar")
+    (day / "odd.txt.meta.json").write_text("{")
+    for k, name in enumerate(("capture_x_1.txt", "n_1.md", "capture_x_3.txt")):
+        os.utime(day / name, (2_000_000_000 + k, 2_000_000_000 + k))
+    rows = inbox.read_inbox(spark, str(day)).collect()
+    assert {(r.capture_id, r.type, r.text) for r in rows} == {("c1", "text", "one"), ("c2", "text", "two"), ("c3", "text", ""), ("c4", "markdown", "# n"), ("c5", "other", "r")}
+    assert {r.capture_id for r in inbox.read_inbox(spark, str(day), 2).collect()} == {"c2", "c4"}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone import model
 from lodestone.functions import text, vectors
 from lodestone.functions.ranking import row_numbers
-from lodestone.operators import ask, classify, conversations, distill, index, ledger, markdown, search
+from lodestone.operators import ask, classify, conversations, distill, index, ledger, markdown, review, search
 from lodestone.operators.textindex import TextIndex
 from lodestone.sources import chat_export, logs, transcripts, vault
 from lodestone.streaming import incremental
@@ -196,11 +196,12 @@ def test_salience(spark):
 
 
 def test_undo(spark):
-    block = "<!-- w1 -->\n- one\n"
-    notes = spark.createDataFrame([("n.md", "top\n\n" + block + "\nrest\n"), ("m.md", "top\n<!-- w2 -->\nedited\n")], "path string, text string")
-    records = spark.createDataFrame([("w1", "n.md", "<!-- w1 -->", hashlib.sha256(block.encode()).hexdigest()), ("w2", "m.md", "<!-- w2 -->", "0"), ("w3", "gone.md", "x", "0")], "write_id string, path string, marker string, content_hash string")
-    got = {r.write_id: (r.status, r.text) for r in distill.undo(notes, records).collect()}
-    assert got["w1"] == ("undone", "top\n\n\nrest\n") and got["w2"][0] == "modified" and got["w3"] == ("missing", None)
+    block = "<!-- block:w1 begin -->\n- one\n<!-- block:w1 close -->".replace("close", "end") + "\n\n"
+    notes = spark.createDataFrame([("n.md", "top\n" + block + "rest\n"), ("m.md", "<!-- block:w2 begin -->\nedited\n<!-- block:w2 end -->\n"), ("e/entities.json", "[]"), ("x.md", "none")], "path string, text string")
+    records = spark.createDataFrame([("w1", "n.md", hashlib.sha256(block.encode()).hexdigest()), ("w2", "m.md", "0"), ("w3", "gone.md", "0"), ("w4", "e/entities.json", "0"), ("w5", "x.md", None)], "write_id string, path string, content_hash string")
+    after, told = distill.undo(notes, records)
+    assert {r.write_id: r.status for r in told.collect()} == {"w1": "undone", "w2": "modified", "w3": "missing_file", "w4": "skipped", "w5": "missing_block"}
+    assert {r.path: r.text for r in after.collect()} == {"n.md": "toprest\n", "m.md": "<!-- block:w2 begin -->\nedited\n<!-- block:w2 end -->\n", "e/entities.json": "[]", "x.md": "none"}
 
 
 def test_lines(spark):
@@ -303,6 +304,11 @@ def test_vault_round_trip(spark, tmp_path):
     assert vault.write_texts(df, root) == 3
     got = {r.rel_path: (r.title, r.content.decode(), r.size_bytes) for r in vault.read_vault(spark, root, ["state/*"]).collect()}
     assert got == {"a/x y.md": ("x y", "één", 5), "b.md": ("b", "z", 1)}
+    for name in ("empty.md", "_hidden.md", ".dot/ünder +.md"):
+        (tmp_path / "v" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "v" / name).write_text("" if name == "empty.md" else "h")
+    got = {r.rel_path: (r.content.decode(), r.size_bytes) for r in vault.read_vault(spark, root, ["state/*"]).collect()}
+    assert got == {"a/x y.md": ("één", 5), "b.md": ("z", 1), "empty.md": ("", 0), "_hidden.md": ("h", 1), ".dot/ünder +.md": ("h", 1)}
     with pytest.raises(Exception, match="leaves the folder"):
         vault.write_texts(spark.createDataFrame([("../z.md", "")], "path string, text string"), root)
     with pytest.raises(Exception, match="several texts for b.md"):
@@ -344,3 +350,81 @@ def test_glob():
 
     assert re.match(vault.glob_regex("state/**"), "state/a/b.md") and not re.match(vault.glob_regex("state/*"), "x/state/a")
     assert re.match(vault.glob_regex("[!a]?.md"), "bc.md")
+
+
+def test_applied_and_undone_writes(spark):
+    items = spark.createDataFrame([("w1", "c1", "Met Ann. \nneed to pay rent\nneed to sleep"), ("w2", "c2", "need to pay rent\nMet Ann and Bo"), ("w3", "c3", None)], "write_id string, capture_id string, text string")
+    files = spark.createDataFrame([("daily.md", "# Day\n"), ("todo.md", "# Todo\n- [ ] sleep\n"), ("entities.json", '[{"name": "Zoe", "kind": "TOPIC"}]')], "path string, text string")
+    known = spark.createDataFrame([("bo", "TOPIC")], "name string, kind string")
+    made = distill.writes(items, files, known, "2024-01-02", "10:00", "daily.md").cache()
+    assert {(r.write_id, r.path) for r in made.collect()} == {("w1", "daily.md"), ("w2", "daily.md"), ("w3", "daily.md"), ("w1", "todo.md"), ("w1", "entities.json")}
+    after = distill.applied(files, made, {"daily.md": "# Day\n"}).cache()
+    texts = {r.path: r.text for r in after.collect()}
+    assert texts["todo.md"].count("pay rent") == 1 and texts["todo.md"].count("sleep") == 1 and texts["todo.md"].startswith("# Todo")
+    assert [e["name"] for e in json.loads(texts["entities.json"])] == ["Zoe", "Met", "Ann"]
+    records = spark.read.schema(distill.RECORD).json(distill.write_records(made, "T").select("value").rdd.map(lambda r: r.value))
+    named = distill.find_records(records, ["w1"])
+    back, told = distill.undo(after, named)
+    assert {r.path: r.status for r in told.collect()} == {"daily.md": "undone", "todo.md": "undone", "entities.json": "skipped"}
+    assert {r.path: r.text for r in back.collect()}["todo.md"] == "# Todo\n- [ ] sleep\n"
+    everything, _ = distill.undo(after, distill.find_records(records, ["w1", "w2", "w3"]))
+    assert {r.path: r.text for r in everything.collect()}["daily.md"] == "# Day\n"
+    assert distill.writes(items.limit(0), files, known, "d", "t", "daily.md").count() == 0
+
+
+def test_entity_array(spark):
+    value = "Met Alice, (Bob) bob the The I. A1 using Spark: build Tower. " + " ".join(f"Name{chr(97 + k)}" for k in range(9))
+    got = column(spark, [value, "", None], lambda c: F.transform(distill.entity_array(c), lambda e: F.concat_ws(":", e["name"], e["kind"])))
+    assert got == [["Met:TOPIC", "Alice:PERSON", "Bob:PERSON", "Spark:TOOL", "Tower:PROJECT", "Namea:PROJECT", "Nameb:TOPIC"], [], []]
+
+
+def test_review_files(spark):
+    schema = "proposal_id string, artifact_type string, title string, content string, destination string"
+    rows = [("p1", "task", None, "pay", "x"), ("p2", "task", "T", "sleep", "x"), ("p3", "principle", "P", "be kind", "x"), ("p4", "memory", None, "sun", "x"), ("p5", "decision", None, "go", "x"), ("p6", "entity", "Ann", "who", "x"), ("p7", "entity", "Bo", '{"name": "Bo"}', "x"), ("p8", "note", "N", "text", ""), ("p9", "other", "N", "raw", "o.txt")]
+    made = review.dispatch(spark.createDataFrame(rows, schema), "2024-01-02")
+    files = spark.createDataFrame([(review.TODO, "# Tasks\n\n- [ ] old\n"), (review.ENTITIES, "{broken")], "path string, text string")
+    got = {r.path: r.text for r in review.files_after(files, made).collect()}
+    assert got[review.TODO] == "# Tasks\n\n- [ ] old\n- [ ] pay\n- [ ] **T**: sleep\n"
+    assert got[review.PRINCIPLES] == "# Personal Principles\n\n## P\n\nbe kind\n" and got["20_memory/daily/2024-01-02.md"] == "# Daily Notes — 2024-01-02\n\nsun\n"
+    assert got["50_corrections/decisions/decision_2024-01-02_p5.md"] == "# Decision — 2024-01-02\n\ngo" and got["20_memory/daily/note_p8_2024-01-02.md"] == "# N\n\ntext" and got["o.txt"] == "raw"
+    assert [(e["name"], e["proposal_id"]) for e in json.loads(got[review.ENTITIES])] == [("Ann", "p6"), ("Bo", "p7")]
+    queue = spark.createDataFrame([("p1", "c", "task", "x", 1, "pending"), ("p2", "c", "task", "x", 2, "deferred"), ("p0", "c", "task", "x", 0, "pending")], "proposal_id string, capture_id string, artifact_type string, destination string, seq int, status string")
+    assert [r.proposal_id for r in review.pending(queue, 1).collect()] == ["p0"] and review.pending(queue, 0).count() == 2 and review.pending(queue, status="deferred").count() == 1
+    fixed = review.corrected(queue, spark.createDataFrame([("p1", 1, "memory", None, "new", None)], "proposal_id string, seq int, artifact_type string, title string, content string, destination string"))
+    record = json.loads(review.override_records(fixed, "d").first().text)
+    assert (record["original_type"], record["artifact_type"], record["corrects"], record["destination"]) == ("task", "memory", "p1", "x")
+
+
+def test_model_answers(spark):
+    good = '{"summary": "s", "key_points": ["p"], "tasks": [{"text": "t", "priority": "urgent"}, {"text": "u", "priority": "high"}], "entities": [{"name": "A", "kind": "person"}, {"name": "B", "kind": "planet"}, {"name": "C"}], "confidence": 0.4}'
+    rows = {r.k: r for r in classify.coerce_distill(spark.createDataFrame([(1, good), (2, "```\n" + good + "\n```"), (3, "x"), (4, None), (5, "{}")], "k int, answer string")).collect()}
+    assert rows[1].tasks == rows[2].tasks and [tuple(t)[:2] for t in rows[1].tasks] == [("t", "med"), ("u", "high")]
+    assert [(e.name, e.kind) for e in rows[1].entities] == [("A", "person"), ("C", "topic")] and rows[1].confidence == 0.4
+    assert {(rows[k].summary, rows[k].confidence) for k in (3, 4)} == {("Failed to parse LLM response", 0.3)} and rows[5].confidence == 0.7
+
+
+def test_trace_and_features(spark):
+    timed = ask.temporal(hits(spark, [(0.9, "a", 0, 1, "2024-01-01", 5), (0.8, "b", 0, 1, "2024-01-01", 5)]), "hybrid")
+    packed = ask.pack(timed, 0)
+    row = ask.trace(timed, packed, "q", {"top_k": 3}, "2024-01-02T03:04:05Z").first()
+    value = json.loads(row.value)
+    assert row.name.startswith("ask_20240102T030405Z_") and [c["rank"] for c in value["candidates"]] == [1, 2] and value["citations"] == ["a:0-1", "b:0-1"]
+    assert value["ask_config"] == {"top_k": "3"} and value["candidates"][0]["time_features"]["age_days"] == 0
+    again = ask.with_features(ask.rerank(timed, 1).drop("boost", "age_days", "note_type", "temporal_score"), timed)
+    assert {r.rel_path: r.boost for r in again.collect()} == {r.rel_path: r.boost for r in timed.collect()}
+
+
+def test_links_are_cleaned(spark):
+    block = "\n- [[chats/tool|Tool]]\n  - about it\n- [[chats/day]]\n  - calm\n- see [[x]] and [[chats/tool]]\n"
+    rows = [("a", f"top [[chats/tool]]\n<S>{block}<E>\nend"), ("b", "<S>\n- [[chats/day]]\n<E>"), ("c", "[[chats/tool]] no block"), ("d", None)]
+    got = conversations.without_links(spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame([("chats/tool",)], "target string"), "<S>", "<E>").collect()
+    assert [(r.path, r.text) for r in got] == [("a", "top [[chats/tool]]\n<S>\n- [[chats/day]]\n  - calm\n<E>\nend")]
+
+
+def test_embedding_work(spark):
+    chunks = spark.createDataFrame([("a", 0, 0, "h1"), ("a", 1, 5, "h2"), ("b", 0, 0, "h3")], "rel_path string, ord int, start_byte int, chunk_hash string").withColumns({"model": F.lit("m"), "dim": F.lit(4)})
+    stored = chunks.filter("chunk_hash = 'h1'")
+    ids = lambda limit: [r.chunk_hash for r in index.missing_embeddings(chunks, stored, limit).collect()]
+    assert ids(None) == ["h2", "h3"] and ids(1) == ["h2"] and ids(0) == ids(-1) == []
+    with pytest.raises(ValueError, match="no strategy window"):
+        markdown.chunk_files(chunks, "m", strategy="window")
