@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,22 +20,42 @@ from pyspark.sql import functions as F
 SLICE_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
+#: Folders of the tables of this process that are still there.
+_WRITTEN: list[str] = []
+
+
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of this process; any other has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_dir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    _WRITTEN.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def drop_written(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
+    """Deletes the tables that this process has written so far, but for those that `keep` reads; results that were not saved need theirs."""
+    kept = [f for df in keep for f in df.inputFiles()]
+    for folder in list(_WRITTEN):
+        if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in kept):
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _WRITTEN.remove(folder)
 
 
 def small_batches(spark: SparkSession) -> None:

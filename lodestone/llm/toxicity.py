@@ -1,8 +1,8 @@
 """Toxicity (operator 5): a weighted finite-state pattern grammar.
 
-Word transducers turn a clause into symbols: insult, threat, target, negation, reported speech, other. Their composition
-is a finite-state machine over the clause whose arcs multiply the weight of an insult or threat by what came before it: a
-target raises it, a negation or reported speech lowers it. A document's features are sums over matched clauses, and a
+The words' transducer turns a clause into symbols: insult, threat, target, negation, reported speech, other. Four weighted
+transducers read these: one weighs insults and threats, the others what came before them: a target raises, a negation or
+reported speech lowers. They are composed into one machine, whose weights are the products of theirs. A document's features are sums over matched clauses, and a
 logistic model of these gives its score. Insult words and stems, with weights, and the model are fitted on labelled rows.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -18,16 +19,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_pass, texts
+from .common import small_batches, text_pass, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
 
-# Closed classes of the grammar in English, German, French and Spanish.
-TARGETS = frozenset("you your yours yourself they them he him she her ihr euch dich dir vous toi tes usted ustedes".split())
-NEGATIONS = frozenset("not no never nobody nothing without isn aren don doesn nicht kein keine nie ohne pas jamais sans nunca jamás sin".split())
-REPORTS = frozenset("said says say called calls quote quoted quotes wrote writes claimed claims sagte schrieb dit disait écrit dijo escribió".split())
-THREATS = frozenset("kill hurt destroy punish burn beat shoot stab töten umbringen tuer frapper brûler matar golpear quemar".split())
+
+
+def _forms(stems: str, endings: str) -> frozenset[str]:
+    """Each stem with each ending; a dash stands for none."""
+    return frozenset(s + ("" if e == "-" else e) for s in stems.split() for e in endings.split())
+
+
+# Closed classes of the grammar in English, German, French and Spanish, verbs with their usual endings.
+TARGETS = frozenset("you your yours yourself yourselves u ur they them their he him his she her du dich dir dein deine deiner ihr euch euer eure sie ihn ihm ihnen tu toi te ton ta tes vous votre vos il elle ils elles lui eux usted ustedes tú ti tus vosotros él ella ellos ellas".split())
+NEGATIONS = frozenset("not no never nobody nothing none neither nor without isn aren wasn weren don doesn didn won cannot nicht kein keine keiner keinen nie niemals ohne weder ne pas jamais sans aucun aucune personne nunca jamás sin ningún ninguna tampoco".split())
+REPORTS = frozenset("said says say told tells called calls quote quoted quotes wrote writes claimed claims sagte sagt schrieb schreibt nannte behauptet behauptete dit disait écrit écrivait appelle appelait prétend dijo dice escribió escribe llamó llama afirma afirmó".split())
+THREATS = (
+    _forms("kill hurt punish beat shoot stab burn strangl murder destroy smash crush", "- s e es ed ing")
+    | _forms("töt verletz bestraf schlag erschieß verbrenn vernicht zerstör", "e en est et st t")
+    | _forms("tu frapp brûl bless étrangl", "e er es ez erai era erons ons ent")
+    | _forms("mat golpe quem castig destroz", "o ar aré ará aremos as a an")
+    | frozenset("umbringen umbringe détruire détruirai punir punirai destruir destruiré herir heriré".split())
+)
 
 #: Letters of the stems that may stand for all words that begin with them.
 STEMS = range(4, 8)
@@ -53,22 +67,48 @@ class Model:
         return cls(**json.loads(text))
 
 
-def _arcs() -> dict[tuple[tuple[int, bool, bool], int], tuple[tuple[int, bool, bool], float]]:
-    """The composed machine. A state: words for which a negation still reaches, was there a report, was there a target."""
-    arcs = {}
-    for left in range(REACH + 1):
-        for reported in (False, True):
-            for targeted in (False, True):
-                for symbol in range(6):
-                    after = (REACH if symbol == NEGATION else max(0, left - 1), reported or symbol == REPORT, targeted or symbol == TARGET)
-                    weight = (NEGATED if left else 1.0) * (REPORTED if reported else 1.0) * (TARGETED if targeted else 1.0) if symbol in (INSULT, THREAT) else 0.0
-                    if symbol == THREAT and not targeted:
-                        weight = 0.0  # a threat needs somebody whom it threatens
-                    arcs[(left, reported, targeted), symbol] = (after, weight)
-    return arcs
-
-
-ARCS = _arcs()
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted transducer over the symbols, which it passes on as they are: start, and by (state, symbol) the next state and a weight."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, int], tuple[Hashable, float]]
+
+    def weights(self, symbols: Iterable[int]) -> Iterator[float]:
+        state = self.start
+        for symbol in symbols:
+            state, weight = self.arcs[state, symbol]
+            yield weight
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """The machine that passes symbols through all of them: its states are tuples of theirs, as far as they can be reached, its weights products."""
+    start = tuple(m.start for m in machines)
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        for symbol in SYMBOLS:
+            steps = [m.arcs[s, symbol] for m, s in zip(machines, state, strict=True)]
+            after = tuple(s for s, _ in steps)
+            arcs[state, symbol] = after, math.prod(w for _, w in steps)
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer(start, arcs)
+
+
+SYMBOLS = range(6)
+#: Insults and threats are what is scored.
+SCORED = Transducer(0, {(0, s): (0, 1.0 if s in (INSULT, THREAT) else 0.0) for s in SYMBOLS})
+#: A target before it raises an insult; a threat without somebody whom it threatens is none.
+TARGETING = Transducer(False, {(seen, s): (seen or s == TARGET, TARGETED if seen else 0.0 if s == THREAT else 1.0) for seen in (False, True) for s in SYMBOLS})
+#: A negation lowers what stands up to REACH words behind it; the state counts the words that it still reaches.
+NEGATING = Transducer(0, {(left, s): (REACH if s == NEGATION else max(0, left - 1), NEGATED if left else 1.0) for left in range(REACH + 1) for s in SYMBOLS})
+#: What somebody is said to have said weighs less.
+REPORTING = Transducer(False, {(seen, s): (seen or s == REPORT, REPORTED if seen else 1.0) for seen in (False, True) for s in SYMBOLS})
+CLAUSES = compose(SCORED, TARGETING, NEGATING, REPORTING)
+#: The words' own transducer: the symbol of a word that is no insult.
+CLASS = {**dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(THREATS, THREAT)}
 FEATURES = ("rate", "sum", "most", "clauses", "share")
 
 
@@ -91,11 +131,11 @@ class Grammar:
         return known
 
     def clause(self, words: list[str]) -> float:
-        state, total = (0, False, False), 0.0
+        """The sum over its words of the composed machine's weights times those of the insults; a threat weighs as much as a middling one."""
+        state, arcs, total = CLAUSES.start, CLAUSES.arcs, 0.0
         for word in words:
             weight = self.insult(word)
-            symbol = INSULT if weight else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
-            state, factor = ARCS[state, symbol]
+            state, factor = arcs[state, INSULT if weight else CLASS.get(word, OTHER)]
             total += factor * (weight or 3.0)
         return total
 
@@ -103,7 +143,7 @@ class Grammar:
         """Of the clauses' scores: per 100 words, in all, the largest, matched clauses, their share; logarithms of 1 more. An empty text has zeros."""
         low = text.lower()
         distinct = set(WORD.findall(low))
-        if not any(map(self.insult, distinct)) and distinct.isdisjoint(THREATS):
+        if not any(map(self.insult, distinct)) and THREATS.isdisjoint(distinct):
             return [0.0] * len(FEATURES)
         n = clauses = 0
         scores = []
@@ -119,10 +159,14 @@ class Grammar:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, toxic of labelled rows: those of the `most` smallest hashes of doc_id, few enough to broadcast."""
+    """text, toxic of labelled ids, as a table of at most `most` rows: those of the smallest hashes of doc_id, few enough to broadcast.
+
+    An id that docs repeats counts once, with its largest text; one that labels repeats is toxic if any of them says so.
+    """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return written(own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"), "sample")
 
 
 def _occurrences(toxic_sample: DataFrame) -> DataFrame:
@@ -150,15 +194,18 @@ def _occurrences(toxic_sample: DataFrame) -> DataFrame:
     return text_pass(toxic_sample, ["text", "toxic"], make, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
-def learn_insults(sample: DataFrame, ratio: float = 8.0, least_docs: int = 5, most: int = 2_000) -> dict[str, float]:
-    """Words and stems at least `ratio` times as frequent among the words of toxic rows as of others, with the logarithm of that as their weight."""
+def learn_insults(sample: DataFrame, ratio: float = 8.0, least_docs: int = 5) -> dict[str, float]:
+    """Words and stems at least `ratio` times as frequent among the words of toxic rows as of others, with the logarithm of that as their weight.
+
+    All that stand in `least_docs` toxic rows are taken; the sample's bound is theirs too.
+    """
     terms = _occurrences(sample)
     words = {r.toxic: r.n for r in terms.filter("term not like '%*'").groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     if not words.get(1) or not words.get(0):
         return {}
     by = terms.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("docs"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     weight = F.log((F.col("bad") / float(words[1])) / ((F.col("good") + 1) / float(words[0])))
-    rows = by.filter(F.col("docs") >= least_docs).withColumn("w", weight).filter(F.col("w") >= math.log(ratio)).orderBy(F.desc("docs"), F.desc("w"), "term").limit(most).collect()
+    rows = by.filter(F.col("docs") >= least_docs).withColumn("w", weight).filter(F.col("w") >= math.log(ratio)).collect()
     found = {r.term: r.w for r in rows}
     # A longer stem, or a word, that its shorter stem covers about as well adds nothing.
     return {t: w for t, w in found.items() if not any(found.get(f"{t[:n]}*", 0.0) >= w - 1.0 for n in STEMS if n < len(t.rstrip("*")))}
@@ -179,9 +226,9 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> n
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
-    """A model of labels.toxic. At most `most` labelled rows, by hash of doc_id, are read; their features meet on the driver.
+    """A model of labels.toxic. At most `most` labelled ids, by hash of doc_id, are learnt from; their features meet on the driver.
 
-    Without rows of both labels, the model gives every text the score 0.01.
+    The sample is written once, so the corpus is read once. Repeated ids and labels: see _sample(). Without rows of both labels, the model gives every text the score 0.01.
     """
     sample = _sample(docs, labels, most)
     insults = learn_insults(sample)

@@ -283,6 +283,62 @@ def test_grammar():
     assert score("i kill time") == 0 and score("they kill") > 0 and score("scummy") > 0 and score("") == 0
 
 
+def test_composed_machine_equals_the_table_by_hand():
+    def step(left, reported, targeted, symbol):
+        after = (3 if symbol == toxicity.NEGATION else max(0, left - 1), reported or symbol == toxicity.REPORT, targeted or symbol == toxicity.TARGET)
+        weight = (0.5 if left else 1.0) * (0.6 if reported else 1.0) * (1.25 if targeted else 1.0) if symbol in (toxicity.INSULT, toxicity.THREAT) else 0.0
+        return after, 0.0 if symbol == toxicity.THREAT and not targeted else weight
+
+    rnd = random.Random(3)
+    for _ in range(3000):
+        symbols = [rnd.choice(toxicity.SYMBOLS) for _ in range(rnd.randrange(15))]
+        state, want = (0, False, False), []
+        for symbol in symbols:
+            state, weight = step(*state, symbol)
+            want.append(weight)
+        assert list(toxicity.CLAUSES.weights(symbols)) == pytest.approx(want)
+    assert len({s for s, _ in toxicity.CLAUSES.arcs}) == 16
+    one = toxicity.compose(toxicity.SCORED)
+    assert list(one.weights([toxicity.INSULT, toxicity.OTHER])) == [1.0, 0.0]
+
+
+def brute_features(text, words, stems):
+    """The five features, from the definition."""
+    scores, n, clauses = [], 0, 0
+    for part in re.split(r"[.!?;:\n|]+", text.lower()):
+        seen = re.findall(r"[^\W\d_]+", part)
+        if not seen:
+            continue
+        n, clauses, score = n + len(seen), clauses + 1, 0.0
+        for i, w in enumerate(seen):
+            own = max([words.get(w, 0.0)] + [v for k, v in stems.items() if w.startswith(k)])
+            symbols = [toxicity.INSULT if max([words.get(x, 0.0)] + [v for k, v in stems.items() if x.startswith(k)]) else toxicity.CLASS.get(x, toxicity.OTHER) for x in seen]
+            if symbols[i] in (toxicity.INSULT, toxicity.THREAT):
+                target = toxicity.TARGET in symbols[:i]
+                if symbols[i] == toxicity.THREAT and not target:
+                    continue
+                score += (own or 3.0) * (1.25 if target else 1.0) * (0.5 if toxicity.NEGATION in symbols[max(0, i - 3) : i] else 1.0) * (0.6 if toxicity.REPORT in symbols[:i] else 1.0)
+        if score:
+            scores.append(score)
+    if not scores:
+        return [0.0] * 5
+    return [np.log1p(x) for x in (100 * sum(scores) / n, sum(scores), max(scores), len(scores), 100 * len(scores) / clauses)]
+
+
+def test_features_equal_brute_force():
+    rnd, bits = random.Random(8), ["you", "idiot", "scummy", "kill", "not", "said", "the", "Er", "niemals", "töten", "ella", ".", "!", "\n", "ok;", "scum", "a1b"]
+    grammar = toxicity.Grammar({"idiot": 4.0, "scum*": 3.0, "scummy": 3.5})
+    for _ in range(800):
+        text = " ".join(rnd.choice(bits) for _ in range(rnd.randrange(25)))
+        assert grammar.features(text) == pytest.approx(brute_features(text, {"idiot": 4.0, "scummy": 3.5}, {"scum": 3.0})), text
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(k % 7, f"text {k}") for k in range(60)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)] * 3 + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert toxicity._sample(docs, labels, 2).count() == 2 and toxicity._sample(docs, labels, 50).count() == 7
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op5_toxicity(spark, folder).collect()}
