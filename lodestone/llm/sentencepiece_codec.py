@@ -1,18 +1,19 @@
-"""SentencePiece encoding and decoding (operator 3): a shared-prefix search over sorted words.
+"""SentencePiece encoding and decoding (operator 3): a shared-prefix Viterbi search over sorted words.
 
 A slice's distinct marked words (a run of the space mark, then other characters) are sorted, which lays their trie out
 depth-first; the forward table of a word is kept as far as the next word shares its prefix.
 
-The public model here is a byte-pair one. Its encoding is not the best-scoring path but the one that its merges reach, so
-the forward entry of a prefix is not a best score but the one last piece that is possible: a path is valid if and only
-if each two neighbours, merged by themselves, stay these two pieces, and every prefix has exactly one valid path. The
-search thus gives the merges' own result, and shares it across prefixes as Viterbi shares scores.
+For a unigram model the forward entry of a prefix is the score of its best path and the last piece of that. A byte-pair
+model's encoding is not the best-scoring path but the one that its merges reach, so there the entry is the one last piece
+that is possible: a path is valid if and only if each two neighbours, merged by themselves, stay these two pieces, and
+every prefix has exactly one valid path. Both tables are shared across prefixes in the same way.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: The same, for models without a piece that holds a newline: no merge reaches over one.
 _LINES = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+(?=\n|$)|\n")
-#: Words that a worker remembers the ids of.
-CACHE = 150_000
+#: Bytes of the words, and their ids, that a worker remembers.
+CACHE = 24 << 20
 #: Pairs of neighbours, and characters of a batch's texts, that it holds at once.
 PAIRS, PART_CHARS = 400_000, 2_000_000
 
@@ -36,8 +37,14 @@ class Codec:
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
         model = SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            spec = ModelProto.FromString(file.read()).trainer_spec
+        self.unigram = spec.model_type == spec.UNIGRAM
+        if not self.unigram and spec.model_type != spec.BPE:
+            raise ValueError("neither a unigram nor a byte-pair model")
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): i for i in plain}
@@ -55,6 +62,10 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # bytes of words
+        # The library adds up scores as 32-bit floats; a character that is no piece costs ten more than the worst of them.
+        self.scores = {p: np.float32(model.get_score(i)) for p, i in self.pieces.items()} if self.unigram else {}
+        self.unknown = min(self.scores.values(), default=np.float32(0)) - np.float32(10)
 
     def merged(self, text: str) -> list[str]:
         """The merges' result: of neighbours that form a piece, those of the best score merge, the leftmost first."""
@@ -88,7 +99,40 @@ class Codec:
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
+    def best_sorted(self, words: list[str]):
+        """Yields (word, the pieces of its best path) for sorted distinct words; of equal paths the one with the longest last piece counts.
+
+        The forward table (score of the best path to each place, length of its last piece) reaches over the shared prefix.
+        """
+        best, sizes, before = [np.float32(0)], [0], ""
+        tails, score, unknown = self.tails.get, self.scores.get, self.unknown
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del best[shared + 1 :], sizes[shared + 1 :]
+            for i in range(shared, len(word)):
+                own = score(word[i])
+                top, size = best[i] + (unknown if own is None else own), 1
+                for at in range(i - 1, -1, -1):
+                    rank = tails(word[at : i + 1])
+                    if rank is None:
+                        break
+                    if rank >= 0 and (found := best[at] + self.scores[word[at : i + 1]]) >= top:
+                        top, size = found, i + 1 - at
+                best.append(top)
+                sizes.append(size)
+            before, out, i = word, [], len(word)
+            while i:
+                out.append(word[i - sizes[i] : i])
+                i -= sizes[i]
+            yield word, out[::-1]
+
     def segment_sorted(self, words: list[str]):
+        """best_sorted() of a unigram model; of a byte-pair one the merges' result in the same form."""
+        return self.best_sorted(words) if self.unigram else self.merged_sorted(words)
+
+    def merged_sorted(self, words: list[str]):
         """Yields (word, its pieces) for sorted distinct words; the table reaches over the prefix shared with the word before."""
         last: list[int] = []  # last[i]: the rank of the last piece of the encoding of word[:i + 1], -1 for a character that is none
         sizes: list[int] = []  # its length
@@ -144,11 +188,16 @@ class Codec:
         unit = _LINES if self.newline else _UNIT
         cut = [unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
         known = self.words
-        if len(known) > CACHE:
-            known.clear()
         for word, parts in self.segment_sorted(sorted({w for words in cut for w in words if w not in known})):
             known[word] = self._ids(parts)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+            self.held += 4 * len(word) + len(known[word]) + 150
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in list(islice(known, len(known) // 2 + 1)) if self.held > CACHE else ():  # the older half goes
+            self.held -= 4 * len(word) + len(known.pop(word)) + 150
+        if self.held > CACHE:
+            known.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The text of ids: bytes are joined (those that aren't UTF-8 replaced), the first word's mark is dropped."""
@@ -177,7 +226,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, text: what the ids column of encode() spells; null ids spell an empty text."""
+    """doc_id, ids, text: what the ids column of encode() spells; null ids spell an empty text, repeated rows each get a row."""
 
     def make():
         own = codec(model)
