@@ -79,14 +79,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about SLICE_BYTES at most, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about `most` bytes, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         total = sum(c.nbytes for c in batch.columns)
-        step = n if total <= SLICE_BYTES else max(1, n * SLICE_BYTES // total)
+        step = n if total <= most else max(1, n * most // total)
         for at in range(0, n, step):
             yield batch.slice(at, min(step, n - at))
 
@@ -101,14 +101,14 @@ def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column.cast(pa.string()), "").to_pylist()
 
 
-def text_pass(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """One Arrow pass over the given columns. make() runs once in each task and returns what maps a slice to columns by name."""
+def text_pass(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
+    """One Arrow pass over the given columns. make() runs once in each task and returns what maps a slice, of about `most` bytes, to columns by name."""
     names = [f.split()[0] for f in schema.split(", ")]
     arrow = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in slices(batches):
+        for part in slices(batches, most):
             out = work(part)
             yield pa.record_batch([pa.array(out[n], type=arrow.field(n).type) if not isinstance(out[n], pa.Array) else out[n].cast(arrow.field(n).type) for n in names], schema=arrow)
         del work

@@ -2,7 +2,7 @@
 
 A payload is stored losslessly as the 8-bit codes of a WAV stream: mu-law or A-law samples, or IMA ADPCM blocks. Reading
 it back expands mu-law and A-law by lookup tables, decodes ADPCM blocks with numpy across all blocks of a slice, and
-resamples to linear PCM, which can be stored as a WAV column again.
+resamples to linear PCM, which is stored as a WAV column again; features are of what that column holds.
 """
 
 from __future__ import annotations
@@ -10,15 +10,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_pass, utf8
+from .common import SLICE_BYTES, text_pass, utf8
 
 RATE, BLOCK = 8_000, 64
+#: Samples of an ADPCM block; samples that a task expands at once.
+PER_BLOCK, WINDOW = 1 + 2 * (BLOCK - 4), 1 << 18
 #: WAV format tags. Fixed values of the container.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -74,63 +78,108 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation in whole numbers (rounded down), the last sample held; len * to // rate samples."""
-    if rate == to or not len(samples):
-        return samples
-    n = len(samples) * to // rate
-    wide = samples.astype(np.int32)
-    if to == 2 * rate:
-        out = np.empty(n, np.int32)
-        out[0::2] = wide
-        out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
-        out[-1] = wide[-1]
-        return out.astype(np.int16)
-    at = np.arange(n, dtype=np.int64) * rate
-    left, part = at // to, at % to
-    right = np.minimum(left + 1, len(samples) - 1)
-    return ((wide[left] * (to - part) + wide[right] * part) // to).astype(np.int16)
+def samples(codec: str, size: int) -> int:
+    """Samples of a payload of so many bytes."""
+    return size // BLOCK * PER_BLOCK if codec == "adpcm" else size // 2 if codec == "pcm" else size
 
 
-def wav(codec: str, payload: bytes, rate: int = RATE) -> bytes:
-    """A mono WAV file of the codec's units."""
+def decode(codec: str, payload: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Samples a to b of a payload (bytes as an array): only the codes or blocks that hold them are read."""
+    if codec == "pcm":
+        return payload[2 * a : 2 * b].view("<i2")
+    if codec != "adpcm":
+        return TABLES[codec][payload[a:b]]
+    first, last = a // PER_BLOCK, -(-b // PER_BLOCK)
+    return decode_adpcm(payload[first * BLOCK : last * BLOCK].reshape(-1, BLOCK)).ravel()[a - first * PER_BLOCK : b - first * PER_BLOCK]
+
+
+def resampled(read: Callable[[int, int], np.ndarray], n: int, rate: int, to: int, window: int = WINDOW) -> Iterator[np.ndarray]:
+    """Linear interpolation in whole numbers (rounded down), the last sample held: n * to // rate samples, `window` at a time.
+
+    read(a, b) gives samples a to b, so neither side is ever held whole.
+    """
+    total = n * to // rate
+    for i in range(0, total, window):
+        j = min(total, i + window)
+        low, high = i * rate // to, min(n, (j - 1) * rate // to + 2)
+        wide = read(low, high).astype(np.int64 if rate > 1 << 15 or to > 1 << 15 else np.int32)
+        at = np.arange(i, j, dtype=np.int64) * rate
+        left, part = at // to - low, (at % to).astype(wide.dtype)
+        right = np.minimum(left + 1, len(wide) - 1)
+        if to == 2 * rate:  # the usual case, without products
+            yield ((wide[left] + np.where(part > 0, wide[right], wide[left])) >> 1).astype(np.int16)
+        else:
+            yield ((wide[left].astype(np.int64) * (to - part) + wide[right].astype(np.int64) * part) // to).astype(np.int16)
+
+
+def _header(codec: str, size: int, rate: int) -> bytes:
+    """What stands before the payload in a mono WAV file; other formats than PCM say how many samples there are."""
+    n = samples(codec, size)
     if codec == "pcm":
-        form = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
+        form = struct.pack("<HHIIHH", TAGS[codec], 1, rate, 2 * rate, 2, 16)
     elif codec == "adpcm":
-        per_block = 1 + 2 * (BLOCK - 4)
-        form = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * BLOCK // per_block, BLOCK, 4, 2, per_block)
+        form = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * BLOCK // PER_BLOCK, BLOCK, 4, 2, PER_BLOCK)
     else:
         form = struct.pack("<HHIIHHH", TAGS[codec], 1, rate, rate, 1, 8, 0)
-    body = b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(payload)) + payload
-    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+    fact = b"" if codec == "pcm" else b"fact" + struct.pack("<II", 4, n)
+    body = b"fmt " + struct.pack("<I", len(form)) + form + fact + b"data" + struct.pack("<I", size)
+    return b"RIFF" + struct.pack("<I", 4 + len(body) + size) + b"WAVE" + body
 
 
-def read_wav(media: bytes) -> tuple[str, int, bytes]:
-    """(codec, rate, payload) of what wav() made."""
-    size = struct.unpack_from("<I", media, 16)[0]
-    tag, _, rate = struct.unpack_from("<HHI", media, 20)
-    at = 20 + size + 4
-    n = struct.unpack_from("<I", media, at)[0]
-    return next(k for k, v in TAGS.items() if v == tag), rate, media[at + 4 : at + 4 + n]
+def wav(codec: str, payload: bytes, rate: int = RATE) -> bytes:
+    """A mono WAV file of the codec's units."""
+    return _header(codec, len(payload), rate) + payload
+
+
+def read_wav(media: bytes | np.ndarray) -> tuple[str, int, np.ndarray]:
+    """(codec, rate, payload) of what wav() made; the payload is a view."""
+    raw = np.frombuffer(media, np.uint8) if isinstance(media, (bytes, bytearray, memoryview)) else media
+    codec, rate, at = None, 0, 12
+    while True:
+        name, size = raw[at : at + 4].tobytes(), int(raw[at + 4 : at + 8].view("<u4")[0])
+        if name == b"fmt ":
+            tag, _, rate = struct.unpack("<HHI", raw[at + 8 : at + 16].tobytes())
+            codec = next(k for k, v in TAGS.items() if v == tag)
+        if name == b"data":
+            return codec, rate, raw[at + 8 : at + 8 + size]
+        at += 8 + size
+
+
+def to_pcm(media: np.ndarray, rate: int, decoded: np.ndarray | None = None) -> bytearray:
+    """A stored WAV as a linear 16-bit WAV of another rate, written window by window. decoded: its samples, if they are known."""
+    codec, own, payload = read_wav(media)
+    n = samples(codec, len(payload))
+    total = n * rate // own
+    head = _header("pcm", 2 * total, rate)
+    out = bytearray(len(head) + 2 * total)
+    out[: len(head)] = head
+    target, at = np.frombuffer(out, np.uint8)[len(head) :].view("<i2"), 0
+    read = (lambda a, b: decoded[a:b]) if decoded is not None else (lambda a, b: decode(codec, payload, a, b))
+    for part in resampled(read, n, own, rate):
+        target[at : at + len(part)] = part
+        at += len(part)
+    return out
 
 
-def decode_all(payloads: list[tuple[str, bytes]]) -> list[np.ndarray]:
-    """Samples of each (codec, payload), ADPCM blocks of all of them decoded together."""
-    blocks = [p for c, p in payloads if c == "adpcm"]
-    joined = decode_adpcm(np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, BLOCK)) if blocks else None
+def decode_all(media: list[np.ndarray]) -> list[np.ndarray | None]:
+    """Samples of the short ADPCM files, whose blocks are decoded together; None for the others, which are read in windows."""
+    read = [read_wav(x) for x in media]
+    short = [c == "adpcm" and len(p) <= WINDOW for c, _, p in read]
+    blocks = [p for (_, _, p), s in zip(read, short, strict=True) if s]
+    joined = decode_adpcm(np.concatenate(blocks).reshape(-1, BLOCK)) if blocks else None
     out, at = [], 0
-    for codec, payload in payloads:
-        if codec == "adpcm":
-            n = len(payload) // BLOCK
-            out.append(joined[at : at + n].ravel())
-            at += n
-        elif codec == "pcm":
-            out.append(np.frombuffer(payload, "<i2"))
-        else:
-            out.append(TABLES[codec][np.frombuffer(payload, np.uint8)])
+    for (_, _, payload), own in zip(read, short, strict=True):
+        n = len(payload) // BLOCK if own else 0
+        out.append(joined[at : at + n].ravel() if own else None)
+        at += n
     return out
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The bytes of each row, without a copy."""
+    return [np.frombuffer(x.as_buffer(), np.uint8) for x in column.cast(pa.large_binary())]
+
+
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
     """doc_id, n_bytes, media for each row of df: the text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a WAV column.
 
@@ -150,42 +199,55 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec:
 
 
 def pcm(df: DataFrame, rate: int = 16_000) -> DataFrame:
-    """doc_id, pcm: the media column of store() expanded, resampled and stored as a linear 16-bit WAV column."""
+    """df (doc_id, n_bytes, media of store()) with pcm: the stored sound expanded, resampled and stored as a linear 16-bit WAV column.
+
+    A sound is expanded and resampled in windows, so besides the two stored forms a task holds some megabytes; a row's forms
+    are bounded by the two gigabytes of a column's value. Repeated rows and null ids each get a row.
+    """
 
     def make():
         def work(batch):
-            read = [read_wav(x) for x in batch.column(1).to_pylist()]
-            sound = decode_all([(c, p) for c, _, p in read])
-            return {"doc_id": batch.column(0), "pcm": [wav("pcm", resample(s, r, rate).astype("<i2").tobytes(), rate) for s, (_, r, _) in zip(sound, read, strict=True)]}
+            media = _views(batch.column(2))
+            made = [bytes(to_pcm(x, rate, known)) for x, known in zip(media, decode_all(media), strict=True)]
+            return {"doc_id": batch.column(0), "n_bytes": batch.column(1), "media": batch.column(2), "pcm": made}
 
         return work
 
-    return text_pass(df, ["doc_id", "media"], make, "doc_id long, pcm binary")
+    return text_pass(df, ["doc_id", "n_bytes", "media"], make, "doc_id long, n_bytes long, media binary, pcm binary", SLICE_BYTES // 8)
+
+
+def _heard(sound: np.ndarray) -> tuple[int, int, int, int]:
+    """Peak, root mean square (rounded down), sign changes and CRC-32 of 16-bit samples, window by window."""
+    peak = squares = turns = crc = 0
+    last = None
+    for at in range(0, len(sound), WINDOW):
+        y = sound[at : at + WINDOW]
+        wide = y.astype(np.int64)
+        peak, squares = max(peak, int(np.abs(wide).max(initial=0))), squares + int(np.dot(wide, wide))
+        turns += int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0))) + (last is not None and bool(last) != bool(y[0] < 0))
+        last, crc = y[-1] < 0, zlib.crc32(y.tobytes(), crc)
+    return peak, isqrt(squares // max(1, len(sound))), turns, crc
 
 
-def features(df: DataFrame, rate: int = 16_000) -> DataFrame:
-    """What the stored bytes of store() hold and sound like: one row for each of its rows.
+def features(df: DataFrame) -> DataFrame:
+    """What the bytes that pcm() has stored hold and sound like: one row for each of its rows.
 
-    feature: codec, samples and then, of the PCM resampled to `rate`: samples, peak, root mean square (rounded down),
-    sign changes and CRC-32.
+    payload and media columns are read back from media; feature, from pcm: codec and samples of media, then samples of the
+    resampled sound, its peak, root mean square (rounded down), sign changes and CRC-32. Repeated rows each get a row.
     """
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
     def make():
         def work(batch):
-            media = batch.column(2).to_pylist()
-            read = [read_wav(x) for x in media]
             out = {n: [] for n in names}
-            for stored, (codec, own, payload), sound in zip(media, read, decode_all([(c, p) for c, _, p in read]), strict=True):
-                y = resample(sound, own, rate)
-                wide = y.astype(np.int32)
-                rms = isqrt(int(np.dot(wide.astype(np.float64), wide)) // max(1, len(y)))
-                turns = int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0)))
-                told = f"{codec};{len(sound)};{len(y)};{int(np.abs(wide).max(initial=0))};{rms};{turns};{zlib.crc32(y.astype('<i2').tobytes())}"
+            for stored, linear in zip(_views(batch.column(2)), _views(batch.column(3)), strict=True):
+                codec, _, payload = read_wav(stored)
+                sound = read_wav(linear)[2].view("<i2")
+                told = ";".join(map(str, (codec, samples(codec, len(payload)), len(sound), *_heard(sound))))
                 for name, value in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), told), strict=True):
                     out[name].append(value)
             return out | {"doc_id": batch.column(0), "n_bytes": batch.column(1)}
 
         return work
 
-    return text_pass(df, ["doc_id", "n_bytes", "media"], make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return text_pass(df, ["doc_id", "n_bytes", "media", "pcm"], make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -56,7 +56,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(documents(spark, sf_dir)))
+    return media.features(media.pcm(media.store(documents(spark, sf_dir))))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
