@@ -38,6 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+#: What a text needs for any of the patterns to match it, as the JVM's regular expression; it may hold where none does.
+MAY_MATCH = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){11}|\+[0-9]"
 #: Terms: words of letters, lower-cased, of four letters at least.
 TERM = re.compile(r"[^\W\d_]{4,}")
 #: Distinct terms a worker counts before it hands them on.
@@ -278,6 +280,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     """df with personal data masked and disclosing terms generalised (or removed): same rows, same columns; a null text stays null.
 
     Spans meet their rows by id and text digest; rows that repeat both have the same patterns' spans and share all terms.
+    Texts that none of the patterns can match pass by: only the others are shuffled to their spans.
     """
 
     @F.pandas_udf("string")
@@ -287,8 +290,10 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     edits = find_pii(df, id_col, text_col, **how).filter("digest is not null")
     edits = edits.groupBy(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_digest")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat("base", "extra")))).alias("__lodestone_spans"))
     edits = written(edits, "edits")
-    keyed = df.withColumn("__lodestone_text", F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
+    may = F.coalesce(F.col(text_col).cast("string").rlike(MAY_MATCH), F.lit(False))
+    keyed = df.filter(may).withColumn("__lodestone_text", F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
     joined = keyed.join(edits, keyed[id_col].cast("long").eqNullSafe(F.col("__lodestone_id")) & (F.col("__lodestone_text") == F.col("__lodestone_digest")), "left")
     spans = F.col("__lodestone_spans")
     parts = [F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.transform(spans, lambda s: (F.array_position(F.array(*map(F.lit, (*KINDS, "term"))), s["kind"]) - 1).cast("int"))]
-    return joined.select(*[masked(F.col(c).cast("string"), *parts).alias(c) if c == text_col else df[c] for c in df.columns])
+    done = joined.select(*[masked(F.col(c).cast("string"), *parts).alias(c) if c == text_col else keyed[c] for c in df.columns])
+    return df.filter(~may).withColumn(text_col, F.col(text_col).cast("string")).select(*df.columns).unionByName(done)
