@@ -116,9 +116,11 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: i
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """The most bins that dual feasible functions prove necessary for the sizes (each from 1 to capacity)."""
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity) if len(sizes) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same, for count[x] pieces of each size x up to the capacity."""
     x = np.arange(capacity + 1)
     best = -(-int((count * x).sum()) // capacity)
     number, weight = np.cumsum(count), np.cumsum(count * x)
@@ -178,28 +180,37 @@ def _pack_bucket(capacity: int, final: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000, rounds: int = 4) -> DataFrame:
+def certificate(placed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """(sequences, the number that dual feasible functions prove necessary for all pieces together): how far a packing can be from the best."""
+    lengths = placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
+    count = np.zeros(capacity + 1, np.int64)
+    for r in lengths:
+        count[r.length] = r.n
+    return placed.select("sequence_id").distinct().count(), bound_of_counts(count, capacity) if lengths else 0
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
     """row, piece, length, sequence_id, offset for each of the pieces (row, piece, length).
 
-    bucket_rows bounds what one task packs; rounds bounds how often leftovers meet again. In the last round, or once
-    all leftovers fit one bucket, nothing is given up. Full pieces are sequences of their own.
+    bucket_rows bounds what one task packs. What is given up meets again in ever fewer buckets, until it fits one bucket or
+    a round has given up more than half of what it got, so that a further one would gain little; in that last round nothing
+    is given up. Full pieces are sequences of their own.
     """
     spread = F.xxhash64("row", "piece")
     full = pieces.filter(F.col("length") >= capacity).select("row", "piece", "length", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.filter(F.col("length") < capacity).select("row", "piece", "length")
     done = [full]
-    for k in range(rounds):
-        n = left.count()
-        if not n:
-            break
+    k, before = 0, None
+    while n := left.count():
         buckets = -(-n // bucket_rows)
-        final = buckets == 1 or k == rounds - 1
+        final = buckets == 1 or before is not None and 2 * n > before
         dealt = left.withColumn("bucket", F.pmod(spread, F.lit(buckets)))
         packed = written(dealt.groupBy("bucket").applyInPandas(_pack_bucket(capacity, final), _PACKED), f"packed{k}")
         # Sequence ids: the round in the top bits, then the bucket, then the bin (less than bucket_rows by far).
         ids = F.lit(k << 58) + F.shiftleft("bucket", 30) + F.col("bin")
         done.append(packed.filter("not given_up").select("row", "piece", "length", ids.alias("sequence_id"), "offset"))
         left = packed.filter("given_up").select("row", "piece", "length")
+        k, before = k + 1, n
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
