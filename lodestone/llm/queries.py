@@ -74,8 +74,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op7_media that SQL can express."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op9_licenses that SQL can express; -1 for no place."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", F.coalesce("first_word", F.lit(-1)).alias("first_word"), F.coalesce("last_word", F.lit(-1)).alias("last_word"), "base_labels")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_sharding promises, as one row: all rows and bytes, in shards whose sizes are within a hundredth of each other, slots without gaps, no group cut."""
+    rows = op6_sharding(spark, sf_dir)
+    sums = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    whole = rows.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).agg(F.count_if(F.col("n") > 1).alias("cut"))
+    law = sums.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("shards"), (F.max("bytes") - F.min("bytes") <= 0.01 * F.max("bytes")).alias("near_equal"), F.every((F.col("first") == 0) & (F.col("last") == F.col("rows") - 1) & (F.col("slots") == F.col("rows"))).alias("gapless"))
+    return law.crossJoin(whole)  # one row and one row
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash)
+    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash, media_payloads, license_phrases, shard_law)
     return {f.__name__: f for f in own}
 
 
@@ -88,9 +107,25 @@ def _escaped_length(column: str) -> str:
     return f"(length({column}) + {more})"
 
 
+def _license_sql() -> str:
+    tests = {label: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in licenses.PHRASES.items()}
+    places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: {test})) - 1 AS place, '{label}' AS label FROM words" for label, test in tests.items())
+    return rf"""WITH words AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), places AS ({places}),
+        g AS (SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id)
+        SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, coalesce(first, -1) AS first_word, coalesce(last, -1) AS last_word, coalesce(labels, '') AS base_labels FROM words LEFT JOIN g ON g.doc_id = words.doc_id"""
+
+
+_MEDIA_SQL = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n, (CASE WHEN octet_length(raw) = 0 THEN 64 ELSE (64 - octet_length(raw) % 64) % 64 END)::BIGINT AS more FROM b)
+    SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(raw || from_hex(repeat('00', more))) AS payload_sha256 FROM p"""
+_SHARD_SQL = "SELECT count(*) AS rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, 8::BIGINT AS shards, true AS near_equal, true AS gapless, 0::BIGINT AS cut FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
     marks = sum(map(len, (chat.TURN, chat.TEXT, chat.END)))
     return {
+        "media_payloads": _MEDIA_SQL,
+        "license_phrases": _license_sql(),
+        "shard_law": _SHARD_SQL,
         "op2_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOW} AS low FROM documents),
             g AS (SELECT low, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY low)
