@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.vectors import hash_embed, hash_embedding
 from ..operators import ask, classify, conversations, index, ledger, markdown, search
 from ..operators import notes as note_texts
 from ..operators.textindex import TextIndex
-from ..sources import vault
+from ..sources import logs, vault
 from ..sources.logs import MANIFEST, read_jsonl
 
 
@@ -193,6 +195,36 @@ def resume_from(spark: SparkSession, manifest: str, source: str) -> str | None:
     return rows.agg(F.max("last_successful_item_timestamp").alias("t")).first().t
 
 
+def backfill_metadata(spark: SparkSession, root: str, answers: Callable[[DataFrame], DataFrame], version: int, log: str, run_id: str, limit: int | None = None, batch: int = 1_000, dry_run: bool = False) -> dict[str, int]:
+    """Generates the metadata that notes under root lack: in order of their paths, at most `limit` notes, `batch` at a time, with a progress event for each.
+
+    answers gives (path, text) a column answer, as a model would; only notes that want one are asked about. A batch's notes
+    are written before its event, and notes that are up to date are passed over, so a broken run is simply repeated.
+    Returns how many notes have each status.
+    """
+    notes = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), F.decode("content", "UTF-8").alias("text")).orderBy("path")
+    paths = [r.path for r in (notes.limit(limit) if limit is not None else notes).select("path").collect()]  # names alone
+    counts: dict[str, int] = {}
+
+    def tell(status: str, done: int) -> None:
+        payload = F.create_map(*[F.lit(x) for x in ("status", status, "processed", str(done), "total", str(len(paths)))])
+        logs.append_events(spark.range(1).select(F.lit("METADATA_BACKFILL_PROGRESS").alias("event_type"), F.lit(None).cast("string").alias("capture_id"), payload.alias("payload")), log, run_id)
+
+    tell("started", 0)
+    for at in range(0, len(paths), batch):
+        own = notes.filter((F.col("path") >= paths[at]) & (F.col("path") <= paths[min(at + batch, len(paths)) - 1]))
+        waiting = note_texts.metadata_workflow(own.withColumn("answer", F.lit(None).cast("string")), version, dry_run=dry_run).filter("status = 'waiting'").select("path")
+        asked = answers(own.join(waiting, "path", "left_semi")).select("path", "answer")
+        made = note_texts.metadata_workflow(own.join(asked, "path", "left"), version, dry_run=dry_run).cache()
+        for r in made.groupBy("status").count().collect():
+            counts[r.status] = counts.get(r.status, 0) + r["count"]
+        vault.write_texts(made.filter("status = 'generated'"), root)
+        made.unpersist()
+        tell("running", min(at + batch, len(paths)))
+    tell("completed", len(paths))
+    return counts
+
+
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, destination, note_path) of a state file, a JSON object by conversation; a file that is missing or broken has none, an entry without destination or path is left out."""
     schema = "conversation_id string, destination string, note_path string"

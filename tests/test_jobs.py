@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import conversations, notes
 from lodestone.plans import jobs
-from lodestone.sources import inbox, vault
+from lodestone.operators import review
+from lodestone.sources import inbox, logs, vault
 
 
 def put(root, **files):
@@ -166,3 +167,40 @@ def test_inbox(spark, tmp_path):
     rows = inbox.read_inbox(spark, str(day)).collect()
     assert {(r.capture_id, r.type, r.text) for r in rows} == {("c1", "text", "one"), ("c2", "text", "two"), ("c3", "text", ""), ("c4", "markdown", "# n"), ("c5", "other", "r")}
     assert {r.capture_id for r in inbox.read_inbox(spark, str(day), 2).collect()} == {"c2", "c4"}
+
+
+def test_backfill(spark, tmp_path):
+    root, log = str(tmp_path / "notes"), str(tmp_path / "log")
+    put(root, **{f"n{k}": f"---\ncontent_hash: h{k}\n---\n## Transcript\n\nhello {k}\n" for k in range(5)}, none="---\na: b\n---\n")
+    asked = []
+
+    def answers(notes):
+        asked.append(notes.count())
+        return notes.withColumn("answer", F.when(F.col("path") == "n3.md", "no").otherwise('{"signpost": "s", "summary": "x", "themes": [], "open_questions": []}'))
+
+    assert jobs.backfill_metadata(spark, root, answers, 1, log, "r", dry_run=True) == {"dry_run": 6} and asked == [0]
+    assert jobs.backfill_metadata(spark, root, answers, 1, log, "r", limit=4, batch=2) == {"generated": 3, "json_parse_failed": 1}
+    assert jobs.backfill_metadata(spark, root, answers, 1, log, "r") == {"up_to_date": 3, "json_parse_failed": 1, "generated": 1, "empty_transcript": 1} and asked[-1] == 2
+    told = [r.payload for r in logs.read_jsonl(spark, log, logs.LEDGER, ["event_id"]).collect()]
+    assert {(p["status"], p["processed"], p["total"]) for p in told} >= {("started", "0", "4"), ("running", "2", "4"), ("completed", "4", "4")}
+
+
+def test_routed_and_distilled(spark, tmp_path):
+    day = tmp_path / "10_derived" / "routed" / "2024-01-02"
+    made = tmp_path / "10_derived" / "distill" / "2024-01-02"
+    box = tmp_path / "00_inbox" / "2024-01-02"
+    for folder in (day, made, box):
+        folder.mkdir(parents=True)
+    (box / "a b.txt").write_text("raw a")
+    for k, raw in enumerate(("00_inbox/2024-01-02/a b.txt", "00_inbox/2024-01-02/gone.txt")):
+        (day / f"{k}.json").write_text(json.dumps({"capture_id": f"c{k}", "route_label": "TASK", "raw_file_path": raw}))
+        os.utime(day / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    (day / "broken.json").write_text("{")
+    want = {("c0", "raw a"), ("c1", "")}
+    assert {(r.capture_id, r.raw_text) for r in logs.read_routed(spark, str(tmp_path), "2024-01-02").collect()} == want
+    assert {(r.capture_id, r.raw_text) for r in logs.read_routed(spark, str(tmp_path), "2024-01-02", 1).collect()} == {("c1", "")}
+    (made / "d.json").write_text(json.dumps({"capture_id": "c0", "summary": "s", "confidence": 0.5, "tasks": [{"text": "t"}], "entities": [{"name": "N", "kind": "topic"}]}))
+    (made / "e.json").write_text(json.dumps({"capture_id": "c1"}))
+    rows = review.from_artifacts(logs.read_distilled(spark, str(tmp_path), "2024-01-02"), "2024-01-02").orderBy("capture_id", "ord").collect()
+    assert [(r.capture_id, r.artifact_type, r.confidence) for r in rows] == [("c0", "note", 0.5), ("c0", "task", 0.45), ("c0", "entity", 0.4), ("c1", "note", 0.5)]
+    assert rows[0].source_file == "10_derived/distill/2024-01-02/d.json" and len({r.proposal_id for r in rows}) == 4
