@@ -11,13 +11,14 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python worker holds as Python objects at once; rows of an Arrow batch, unless the session says otherwise.
-SLICE_BYTES, BATCH_ROWS = 4 << 20, 2_000
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 1_000
 
 
 #: Folders of the tables of this process that are still there.
@@ -48,11 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def drop_written(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
-    """Deletes the tables that this process has written so far, but for those that `keep` reads; results that were not saved need theirs."""
+def written_so_far() -> list[str]:
+    """Folders of the tables of this process that are still there."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, folders: Iterable[str] | None = None, keep: Iterable[DataFrame] = ()) -> None:
+    """Deletes tables that this process has written, all or those of the folders, but for those that `keep` reads. Results that were not saved yet need theirs."""
     kept = [f for df in keep for f in df.inputFiles()]
-    for folder in list(_WRITTEN):
-        if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in kept):
+    for folder in list(_WRITTEN if folders is None else folders):
+        if folder in _WRITTEN and not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in kept):
             where = spark._jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
             _WRITTEN.remove(folder)
@@ -132,6 +138,21 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", total: in
     return often.unionByName(rest)
 
 
+def text_udf(kind: str, make: Callable[[], Callable[..., list]]):
+    """A pandas UDF of one value for each row: make() runs once in each task and returns what maps whole columns to a list of values."""
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        work = make()
+        for part in parts:
+            values = work(*part) if isinstance(part, tuple) else work(part)
+            yield pd.Series(values, dtype=None if kind == "double" else object)
+        del work
+        give_back()
+
+    return run
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, small_batches, text_pass, utf8, written
+from .common import look_up, small_batches, text_pass, text_udf, utf8, written
 
 
 def _normalised(df: DataFrame, id_col: str, text_col: str, digest_bytes: int, with_text: bool) -> DataFrame:
@@ -63,11 +62,7 @@ def keep_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null ids and texts are as in exact_dedup(). Only ids and digests are sorted out; the rows themselves are filtered by the
     list of those that go, which the planner broadcasts as long as that list is short.
     """
-
-    @F.pandas_udf("binary")
-    def digest(text: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256((t or "").encode().lower()).digest() for t in text], dtype=object)
-
+    digest = text_udf("binary", lambda: lambda text: [hashlib.sha256((t or "").encode().lower()).digest() for t in text])
     small_batches(df.sparkSession)
     found = written(exact_dedup(df, id_col, text_col).select("doc_id", "digest", "kept"), "found")
     own_id, own_digest = F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_gone")

@@ -18,14 +18,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, small_batches, texts, written
+from .common import give_back, slices, small_batches, text_udf, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: What sanitised texts have in place of personal data and of disclosing terms.
@@ -279,16 +278,15 @@ def mask(text: str, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, gen
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: bool = True, **how) -> DataFrame:
     """df with personal data masked and disclosing terms generalised (or removed): same rows, same columns; a null text stays null.
 
-    Spans meet their rows by id and text digest; rows that repeat both have the same patterns' spans and share all terms.
+    Spans meet their rows by id and text digest; rows that repeat both have the same spans.
     Texts that none of the patterns can match pass by: only the others are shuffled to their spans.
     """
+    def make():
+        return lambda text, starts, ends, kinds: [t if a is None else mask(t, np.asarray(a), np.asarray(b), np.asarray(k), generalise) for t, a, b, k in zip(text, starts, ends, kinds, strict=True)]
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([t if a is None else mask(t, np.asarray(a), np.asarray(b), np.asarray(k), generalise) for t, a, b, k in zip(text, starts, ends, kinds, strict=True)], dtype=object)
-
+    masked = text_udf("string", make)
     edits = find_pii(df, id_col, text_col, **how).filter("digest is not null")
-    edits = edits.groupBy(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_digest")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat("base", "extra")))).alias("__lodestone_spans"))
+    edits = edits.groupBy(F.col("doc_id").alias("__lodestone_id"), F.col("digest").alias("__lodestone_digest")).agg(F.any_value(F.concat("base", "extra")).alias("__lodestone_spans"))
     edits = written(edits, "edits")
     may = F.coalesce(F.col(text_col).cast("string").rlike(MAY_MATCH), F.lit(False))
     keyed = df.filter(may).withColumn("__lodestone_text", F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
