@@ -15,11 +15,10 @@ from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_pass, texts, written
+from .common import small_batches, text_pass, text_udf, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -107,6 +106,16 @@ NEGATING = Transducer(0, {(left, s): (REACH if s == NEGATION else max(0, left -
 #: What somebody is said to have said weighs less.
 REPORTING = Transducer(False, {(seen, s): (seen or s == REPORT, REPORTED if seen else 1.0) for seen in (False, True) for s in SYMBOLS})
 CLAUSES = compose(SCORED, TARGETING, NEGATING, REPORTING)
+
+
+def numbered(machine: Transducer) -> list[list[tuple[int, float]]]:
+    """The machine as a table: by number of the state, the start's first, and symbol, the next state's number and the weight."""
+    states = sorted({s for s, _ in machine.arcs}, key=lambda s: (s != machine.start, repr(s)))
+    number = {s: k for k, s in enumerate(states)}
+    return [[(number[machine.arcs[s, symbol][0]], machine.arcs[s, symbol][1]) for symbol in SYMBOLS] for s in states]
+
+
+TABLE = numbered(CLAUSES)
 #: The words' own transducer: the symbol of a word that is no insult.
 CLASS = {**dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(THREATS, THREAT)}
 FEATURES = ("rate", "sum", "most", "clauses", "share")
@@ -132,11 +141,13 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         """The sum over its words of the composed machine's weights times those of the insults; a threat weighs as much as a middling one."""
-        state, arcs, total = CLAUSES.start, CLAUSES.arcs, 0.0
+        row, total, insult, symbol = TABLE[0], 0.0, self.insult, CLASS.get
         for word in words:
-            weight = self.insult(word)
-            state, factor = arcs[state, INSULT if weight else CLASS.get(word, OTHER)]
-            total += factor * (weight or 3.0)
+            weight = insult(word)
+            after, factor = row[INSULT if weight else symbol(word, OTHER)]
+            if factor:
+                total += factor * (weight or 3.0)
+            row = TABLE[after]
         return total
 
     def features(self, text: str) -> list[float]:
@@ -279,10 +290,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of df whose text scores below the limit; no row moves."""
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(_scores(Grammar(model.insults), model, [t or "" for t in text]))
+    def make():
+        grammar = Grammar(model.insults)
+        return lambda text: _scores(grammar, model, [t or "" for t in text])
 
+    scored = text_udf("double", make)
     small_batches(df.sparkSession)
     return df.filter(scored(F.col(text_col).cast("string")) < limit)
 

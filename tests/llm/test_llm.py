@@ -309,6 +309,8 @@ def test_packing(spark, docs, odd):
     assert check_packing(rows, texts) <= 1.02 * least + 1
     assert check_packing(packing.pack_documents(docs, VOCABULARY, bucket_rows=20).collect(), texts) <= 1.05 * least + 4
     assert {r.doc_id for r in packing.pack_documents(odd, VOCABULARY).collect()} == {*range(len(ODD)), None}
+    sequences, bound = packing.certificate(packing.pack_documents(docs, VOCABULARY))
+    assert least <= bound <= sequences <= 1.02 * bound + 1
     assert packing.pack_documents(odd.limit(0), VOCABULARY).count() == 0
 
 
@@ -575,7 +577,32 @@ def test_masks_hold_assistant_texts():
         assert chat.unescape(own) == "".join(t for r, t in turns if r == "assistant")
 
 
-def test_chat_rows(spark, monkeypatch):
+def test_long_conversations_are_cut_between_turns(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(10)
+    rows = [(c, rnd.choice(["user", "assistant"]), "".join(rnd.choice([" ok", "é", "</s>", "\\"]) for _ in range(rnd.randrange(40)))) for c in (1, 2, 2, 2, 2, 2, 2, 3, None, None)]
+    batches = [pa.record_batch([pa.array([r[k] for r in rows[i : i + 4]], pa.int64() if not k else pa.string()) for k in range(3)], names=["c", "r", "t"]) for i in range(0, len(rows), 4)]
+    form, seen = chat.Formatter(VOCABULARY), {}
+    for most in (1 << 20, 60, 0):
+        monkeypatch.setattr(chat, "PART_CHARS", most)
+        runs = list(chat._runs(iter(batches)))
+        assert [c for c, last, _ in runs if last] == [1, 2, 3, None]
+        parts = defaultdict(list)
+        for conv, _, turns in runs:
+            parts[conv].append(form.part(turns))
+        whole = {c: ("".join(p["text"] for p in own), [i for p in own for i in p["ids"]], b"".join(p["mask"] for p in own), "".join(t for p in own for t in p["loss"])) for c, own in parts.items()}
+        seen.setdefault("whole", whole)
+        assert whole == seen["whole"] and (most > 100 or len(runs) > 4)
+
+
+def test_chat_columns_that_clash(spark):
+    rows = [(1, 0, "user", "a", 7, "x"), (1, 1, "assistant", "b", 8, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, ids string")
+    assert chat.format_chats(df, VOCABULARY).count() == 1 and chat.chat_digests(df, VOCABULARY).first().n_turns == 2
+
+
+def test_chat_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", " hi "), (2, None, None, "x"), (None, 0, "assistant", "n"), (1, 1, "assistant", " hi ")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.chat_digests(df, VOCABULARY).collect()}
@@ -728,6 +755,48 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# all of them on hot and very long texts
+
+
+def test_one_text_in_most_rows(spark, docs):
+    """A text that nine rows of ten share, and one in five of them without text."""
+    text = F.when(F.col("doc_id") % 10 > 1, F.lit("one text that is everywhere, mail bob@corp.example")).when(F.col("doc_id") % 10 == 1, F.lit(None)).otherwise(F.col("text"))
+    hot = docs.withColumn("text", text)
+    n = hot.count()
+    rows = exact_dedup.exact_dedup(hot).collect()
+    assert len(rows) == n and max(r.group_size for r in rows) == hot.filter("text like 'one text%'").count()
+    groups = simhash.near_groups(hot).collect()
+    assert len(groups) == n and Counter(r.component_id for r in groups).most_common(1)[0][1] >= 0.8 * n
+    placed = sharding.shard(hot).collect()
+    assert len(placed) == n and len({r.shard for r in placed if r.size == 51}) == 1
+    assert pii.pii_digests(hot).filter("n_email = 1").count() >= 0.8 * n
+    assert {r.doc_id for r in packing.pack_documents(hot, VOCABULARY).collect()} == {r.doc_id for r in rows}
+    assert exact_dedup.keep_rows(hot).count() == len({r.text or "" for r in hot.collect()})
+
+
+def test_very_long_texts(spark):
+    """Some megabytes in a row: dense personal data, one long word, ordinary lines, licence words."""
+    dense, word, lines = "1.1.1.1 +1 017 555 7713 a@b.cd " * 60_000, "a" * 3_000_000, "some words of a line, and more of them\n" * 80_000
+    licence = "gnu general public license of the software " * 50_000
+    texts = dict(enumerate([dense, word, lines, licence, "short"]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.pii_digests(df).collect()}
+    assert (found[0].n_email, found[0].n_ip, found[0].n_phone) == (60_000, 60_000, 60_000) and found[2].n_email == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "@" not in clean[0] and clean[2] == lines
+    assert {r.doc_id: r.n_base for r in licenses.scan_licenses(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 50_000, 4: 0}
+    decoded = {r.doc_id: r.text for r in sentencepiece_codec.decode(sentencepiece_codec.encode(df.filter("doc_id != 1"), PIECES), PIECES).collect()}
+    assert decoded == {k: t for k, t in texts.items() if k != 1}
+    rows = packing.pack_documents(df, VOCABULARY).collect()
+    assert {r.doc_id for r in rows} == set(texts) and max(r.length for r in rows) <= 1024
+    model = toxicity.Model({"idiot": 3.0}, [-2.0, 1.0, 1.0, 1.0, 1.0, 1.0], [0.0] * 5, [1.0] * 5)
+    assert toxicity.score(df, model).count() == 5
+    assert {r.doc_id: r.n_bytes for r in media.features(media.pcm(media.store(df))).collect()} == {k: len(t.encode()) for k, t in texts.items()}
+    assert len(simhash.near_groups(df).collect()) == len(exact_dedup.exact_dedup(df).collect()) == len(sharding.shard(df).collect()) == 5
+    talk = spark.createDataFrame([(1, 0, "user", lines), (1, 1, "assistant", lines)], "conv_id long, turn long, role string, text string")
+    assert chat.chat_digests(talk, VOCABULARY).first().loss_sha256 == hashlib.sha256(lines.encode()).hexdigest()
+
+
 # the pipeline
 
 
