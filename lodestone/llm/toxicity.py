@@ -129,6 +129,7 @@ class Grammar:
         self.stems = {w[:-1]: v for w, v in insults.items() if w[-1] == "*"}
         self.lengths = sorted({len(w) for w in self.stems})
         self.memory: dict[str, float] = {}
+        self.clean: set[str] = set()  # words that are known to be no insults
 
     def insult(self, word: str) -> float:
         """The word's weight as an insult: its own, or the largest of its stems."""
@@ -154,7 +155,11 @@ class Grammar:
         """Of the clauses' scores: per 100 words, in all, the largest, matched clauses, their share; logarithms of 1 more. An empty text has zeros."""
         low = text.lower()
         distinct = set(WORD.findall(low))
-        if not any(map(self.insult, distinct)) and THREATS.isdisjoint(distinct):
+        new = distinct - self.clean
+        bad = {w for w in new if self.insult(w)}
+        if len(self.clean) < 200_000:
+            self.clean |= new - bad
+        if not bad and (THREATS.isdisjoint(distinct) or TARGETS.isdisjoint(distinct)):
             return [0.0] * len(FEATURES)
         n = clauses = 0
         scores = []
