@@ -12,6 +12,7 @@ every prefix has exactly one valid path. Both tables are shared across prefixes
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -27,7 +28,7 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: The same, for models without a piece that holds a newline: no merge reaches over one.
 _LINES = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+(?=\n|$)|\n")
 #: Bytes of the words, and their ids, that a worker remembers.
-CACHE = 24 << 20
+CACHE = 40 << 20
 #: Pairs of neighbours, and characters of a batch's texts, that it holds at once.
 PAIRS, PART_CHARS = 400_000, 2_000_000
 
@@ -56,6 +57,7 @@ class Codec:
         for b, i in enumerate(self.bytes):
             self.spell[i] = bytes([b])
         self.names = list(self.rank)  # by rank
+        self.numbers = [self.pieces[p] for p in self.names]
         # Ends of pieces of two characters or more: the rank of the piece that it is, or -1.
         self.tails = {p[k:]: -1 for p in self.pieces for k in range(len(p) - 1)} | {p: r for p, r in self.rank.items() if len(p) > 1}
         self.newline = not any("\n" in p for p in self.pieces)
@@ -100,7 +102,7 @@ class Codec:
         return known
 
     def best_sorted(self, words: list[str]):
-        """Yields (word, the pieces of its best path) for sorted distinct words; of equal paths the one with the longest last piece counts.
+        """Yields (word, the ids of its best path) for sorted distinct words; of equal paths the one with the longest last piece counts.
 
         The forward table (score of the best path to each place, length of its last piece) reaches over the shared prefix.
         """
@@ -126,17 +128,17 @@ class Codec:
             while i:
                 out.append(word[i - sizes[i] : i])
                 i -= sizes[i]
-            yield word, out[::-1]
+            yield word, self._ids(out[::-1])
 
     def segment_sorted(self, words: list[str]):
         """best_sorted() of a unigram model; of a byte-pair one the merges' result in the same form."""
         return self.best_sorted(words) if self.unigram else self.merged_sorted(words)
 
     def merged_sorted(self, words: list[str]):
-        """Yields (word, its pieces) for sorted distinct words; the table reaches over the prefix shared with the word before."""
+        """Yields (word, its ids) for sorted distinct words; the table reaches over the prefix shared with the word before."""
         last: list[int] = []  # last[i]: the rank of the last piece of the encoding of word[:i + 1], -1 for a character that is none
         sizes: list[int] = []  # its length
-        before, tails, one, pairs = "", self.tails.get, self.rank.get, self.pairs
+        before, tails, one, pairs, number = "", self.tails.get, self.rank.get, self.pairs, self.numbers
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -157,12 +159,16 @@ class Codec:
                 last.append(found)
                 sizes.append(size)
             before = word
-            out, i = [], len(word)
+            out, i = array("i"), len(word)
             while i:
-                size = sizes[i - 1]
-                out.append(word[i - size : i])
-                i -= size
-            yield word, out[::-1]
+                rank = last[i - 1]
+                if rank >= 0:
+                    out.append(number[rank])
+                else:
+                    out.extend([self.bytes[b] for b in reversed(word[i - 1].encode())])
+                i -= sizes[i - 1]
+            out.reverse()
+            yield word, out.tobytes()
 
     def _ids(self, parts: list[str]) -> bytes:
         out = []
@@ -171,7 +177,7 @@ class Codec:
                 out.append(self.pieces[p])
             else:
                 out += [self.bytes[b] for b in p.encode()]
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
@@ -188,9 +194,10 @@ class Codec:
         unit = _LINES if self.newline else _UNIT
         cut = [unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
         known = self.words
-        for word, parts in self.segment_sorted(sorted({w for words in cut for w in words if w not in known})):
-            known[word] = self._ids(parts)
-            self.held += 4 * len(word) + len(known[word]) + 150
+        new = set().union(*cut).difference(known)
+        for word, ids in self.segment_sorted(sorted(new)):
+            known[word] = ids
+            self.held += 4 * len(word) + len(ids) + 150
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for word in list(islice(known, len(known) // 2 + 1)) if self.held > CACHE else ():  # the older half goes
             self.held -= 4 * len(word) + len(known.pop(word)) + 150
