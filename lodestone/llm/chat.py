@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 @lru_cache(maxsize=2)
@@ -57,10 +58,19 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), spans
 
 
+_END = itemgetter(1)
+
+
+def parsed(text: str) -> Iterator[tuple[str, str]]:
+    """The turns (role, text) of a rendered conversation; no text holds a mark, so they part it."""
+    for turn in text.split(END)[:-1]:
+        role, _, body = turn.partition(TEXT)
+        yield unescape(role.removeprefix(TURN)), unescape(body)
+
+
 def masked_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """For each span, the range of tokens that lie in it: both lists are sorted, so two binary searches find it."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    return [(bisect_left(starts, a), bisect_right(ends, b)) if a < b else (0, 0) for a, b in spans]
+    return [(bisect_left(offsets, (a,)), bisect_right(offsets, b, key=_END)) if a < b else (0, 0) for a, b in spans]
 
 
 class Formatter:
@@ -131,7 +141,6 @@ def chat_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     turns_sha256 is over role, newline, unescaped text, newline of each turn as parsed from the output; loss_sha256 is
     over the unescaped text of all masked tokens. A conversation streams through its task part by part.
     """
-    cut = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}", re.S)
     names = [f.split()[0] for f in _DIGESTS.split(", ")]
 
     def run(batches):
@@ -141,9 +150,9 @@ def chat_digests(df: DataFrame, vocabulary: str) -> DataFrame:
         rows = []
         for conv, last, turns in _runs(batches):
             x = chat.part(turns)
-            for role, text in cut.findall(x["text"]):
+            for role, text in parsed(x["text"]):
                 n += 1
-                turns_sha.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                turns_sha.update(f"{role}\n{text}\n".encode())
             for text in x["loss"]:
                 chars += len(text)
                 loss_sha.update(text.encode())
