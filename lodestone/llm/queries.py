@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media, pii, sentencepiece_codec, toxicity
+from . import chat, licenses, media, periodic_runs, pii, sentencepiece_codec, toxicity
 from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .sharding import shard
 from .simhash import near_groups
+from .token_counts import token_counts
+from .whitening import whiten
 
 VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -74,6 +77,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of some documents (as their ids say) those from a place on repeated with a period; a null id leaves them."""
+    h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the number of runs, the longest one, digests of all runs and of the text without repeats."""
+    found = periodic_runs.find_runs(documents(spark, sf_dir), prepare=made_periodic)
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    rows = found.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))
+    milli = F.expr("1000 * length div best.period").alias("exponent_milli")
+    listed = F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "length", "best.period", milli, listed, F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its UTF-8 bytes, its tokens, and whether these are more than 512."""
+    return token_counts(documents(spark, sf_dir), vocabulary(VOCABULARY)).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's whitened components, up to 16."""
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those columns of op7_media that SQL can express."""
     return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -94,7 +129,7 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash, media_payloads, license_phrases, shard_law)
+    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash, op11_periodic_runs, op12_token_counts, op13_whitening, media_payloads, license_phrases, shard_law)
     return {f.__name__: f for f in own}
 
 
