@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import row_numbers
+from .naming import deal_names
 
 LISTS = ("conversations", "data", "chats", "messages", "conversations_list", "chat_list")
 
@@ -85,9 +85,10 @@ def changed_notes(hashes: DataFrame, stored: DataFrame) -> DataFrame:
     return hashes.join(s, "conv_id", "left").filter(~F.col("content_hash").eqNullSafe(F.col("old"))).drop("old")
 
 
-def note_paths(notes: DataFrame, folder: str, title: str, order: list[str], bucket: Column | None = None) -> DataFrame:
-    """notes with path: folder/title.md, then title-2.md, title-3.md for further notes of the same title. bucket: see row_numbers()."""
-    return row_numbers(notes, [folder, title], order, "n", bucket).withColumn("path", F.concat(folder, F.lit("/"), title, F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit(".md"))).drop("n")
+def note_paths(notes: DataFrame, folder: str, title: str, order: list[str], bucket: Column | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """notes with path: folder/title.md, then title-2.md, title-3.md, the first that neither an earlier note nor a taken file (file_name: its path) has; see deal_names()."""
+    rows = notes.withColumn("__title", F.concat(folder, F.lit("/"), title))
+    return deal_names(rows, "__title", F.lit(".md"), order, taken, "-", 2, "path", bucket).drop("__title")
 
 
 def new_segments(segments: DataFrame, written: DataFrame) -> DataFrame:

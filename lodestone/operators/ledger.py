@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import row_numbers
+from .naming import deal_names
 
 
 def tail(lines: DataFrame, n: int = 20, order: str = "line_no", json: str = "value", schema: str = "event_id string, run_id string, ts string, event_type string, capture_id string, payload map<string,string>") -> DataFrame:
@@ -53,22 +53,10 @@ def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFr
 
 
 def free_names(items: DataFrame, name: str, extension: str, taken: DataFrame, order: list[str]) -> DataFrame:
-    """items with file_name: the first of name.ext, name_1.ext, name_2.ext that neither taken (file_name) nor an earlier item has."""
-    used = taken.select(F.regexp_extract("file_name", r"^(.*?)(?:_(\d+))?(\.[^.]*)?$", 1).alias("__n"), F.coalesce(F.regexp_extract("file_name", r"(\.[^.]*)?$", 1), F.lit("")).alias("__e"), "file_name")
-    by = used.groupBy("__n", "__e").agg(F.collect_set("file_name").alias("__used"))
-    rows = row_numbers(items, [name, extension], order, "__k").join(by, (F.col(name) == F.col("__n")) & (F.col(extension) == F.col("__e")), "left")
-    none = F.array().cast("array<string>")
+    """items with file_name: the first of name.ext, name_1.ext, name_2.ext that neither taken (file_name) nor an earlier item has; see deal_names()."""
+    return deal_names(items, name, extension, order, taken)
 
-    def named(k: Column) -> Column:
-        return F.concat(name, F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise(""), extension)
 
-    free = F.array_except(F.transform(F.sequence(F.lit(0), F.col("__k") - 1 + F.size(F.coalesce("__used", none))), named), F.coalesce("__used", none))
-    picked = F.when(F.col("__used").isNull(), named(F.col("__k") - 1)).otherwise(F.get(free, F.col("__k") - 1))
-    return rows.withColumn("file_name", picked).select(*items.columns, "file_name")
-
-
-def collision_names(items: DataFrame, name: str, order: list[Column], bucket: Column | None = None) -> DataFrame:
-    """items with file_name: name.json, then name_1.json, name_2.json. bucket: see row_numbers()."""
-    n = F.col("__k") - 1
-    rows = row_numbers(items, [name], order, "__k", bucket)
-    return rows.withColumn("file_name", F.concat(name, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".json"))).drop("__k")
+def collision_names(items: DataFrame, name: str, order: list[str], bucket: Column | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """items with file_name: name.json, then name_1.json, name_2.json, each once; see deal_names()."""
+    return deal_names(items, name, F.lit(".json"), order, taken, bucket=bucket)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.text import actions, content_type, safe_title
-from ..operators import classify, conversations, distill
+from ..operators import classify, conversations, distill, ledger
 
 _C = model.with_sql("captures")
 
@@ -221,6 +222,38 @@ def path_dedupe_suffix(spark, d):
     return conversations.note_paths(notes, "folder", "title", ["conv_id", "turn"], bucket=F.expr("conv_id div 1000")).select("conv_id", "turn", "path")
 
 
+def _nested_names(spark, d, separator: str, number: int) -> tuple[DataFrame, DataFrame]:
+    """Items of three names for each source, of which the second is the first with a number and the third the second, and names that stand already."""
+    more = f"{separator}{number}"
+    docs = model.table(spark, d, "documents").select("doc_id", "source")
+    suffix = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, more).otherwise(more + more)
+    taken = docs.filter(F.col("doc_id") % 7 == 0).select(F.concat("source", F.lit(f"/note{separator}"), (F.col("doc_id") % 5 + 3).cast("string")).alias("name")).distinct()
+    return docs.select("doc_id", "source", F.concat(F.lit("note"), suffix).alias("title")), taken
+
+
+def capture_names(spark, d):
+    """Names of captures some of which look like others with a number, in a folder that holds some."""
+    items, taken = _nested_names(spark, d, "_", 1)
+    rows = items.select("doc_id", F.concat("source", F.lit("/"), "title").alias("name"), F.lit(".txt").alias("ext"))
+    return ledger.free_names(rows, "name", "ext", taken.select(F.concat("name", F.lit(".txt")).alias("file_name")), ["doc_id"]).select("doc_id", "file_name")
+
+
+def note_names(spark, d):
+    """The same of notes, numbered from 2."""
+    items, taken = _nested_names(spark, d, "-", 2)
+    return conversations.note_paths(items, "source", "title", ["doc_id"], F.expr("doc_id div 1000"), taken.select(F.concat("name", F.lit(".md")).alias("file_name"))).select("doc_id", "path")
+
+
+def _names_sql(separator: str, number: int, extension: str, name: str) -> str:
+    """Item by item: each takes the first name that no taken one and no earlier item has."""
+    more = f"{separator}{number}"
+    return f"""WITH RECURSIVE items AS (SELECT doc_id, source, source || '/note' || (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{more}' ELSE '{more}{more}' END) AS base, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+        deal AS (SELECT source, 0::BIGINT AS r, NULL::BIGINT AS doc_id, NULL::VARCHAR AS {name}, coalesce(list(DISTINCT source || '/note{separator}' || (doc_id % 5 + 3) || '{extension}') FILTER (doc_id % 7 = 0), []::VARCHAR[]) AS used FROM documents GROUP BY source
+            UNION ALL SELECT source, r, doc_id, x, list_append(used, x) FROM (SELECT i.source, i.r, i.doc_id, d.used,
+                list_filter(list_transform(range(0, d.r + 8), lambda k: i.base || (CASE WHEN k > 0 THEN '{separator}' || (k + {number - 1}) ELSE '' END) || '{extension}'), lambda c: NOT list_contains(d.used, c))[1] AS x FROM deal d JOIN items i ON i.source = d.source AND i.r = d.r + 1))
+        SELECT doc_id, {name} FROM deal WHERE doc_id IS NOT NULL"""
+
+
 def capture_types(spark, d):
     kinds = F.array(*map(F.lit, ("md", "TXT", "mp3", "png", "pdf", "json", "bin")))
     rows = model.files(spark, d).select("file_id", F.concat("title", F.lit("."), F.element_at(kinds, (F.col("file_id") % 7 + 1).cast("int"))).alias("name"))
@@ -275,6 +308,8 @@ QUERIES = {
     "entity_dedupe_antijoin": (entity_dedupe_antijoin, f"{_C}, {_ENTITIES}, known AS (SELECT DISTINCT lower(name) AS low, kind FROM ent WHERE length(name) % 2 = 0) SELECT name, kind, capture_id FROM ent WHERE (lower(name), kind) NOT IN (SELECT (low, kind) FROM known) QUALIFY row_number() OVER (PARTITION BY lower(name), kind ORDER BY capture_id, ord) = 1"),
     "salience_lines": (salience_lines, f"{model.with_sql('lines')}, r AS (SELECT file_id, line, trim(regexp_replace(text, '\\b[Ww]hat of\\b|\\b[Bb]y the\\b', 'next', 'g')) AS bare FROM lines), s AS (SELECT file_id, line, bare, lower(replace(bare, '’', chr(39))) AS low FROM r) SELECT file_id, line FROM s WHERE bare != '' AND (contains(bare, '?') OR bare[1] IN ('-', '*', '•') OR contains(low, 'i realized') OR contains(low, 'the point is') OR contains(low, 'what i''m saying') OR contains(low, 'decision') OR contains(low, 'so i''m going to') OR contains(low, 'next') OR contains(low, 'action') OR contains(low, 'summary'))"),
     "safe_titles": (safe_titles, f"{_M}, {_TITLES} SELECT conv_id, turn, title FROM titles"),
+    "capture_names": (capture_names, _names_sql("_", 1, ".txt", "file_name")),
+    "note_names": (note_names, _names_sql("-", 2, ".md", "path")),
     "path_dedupe_suffix": (path_dedupe_suffix, f"{_M}, {_TITLES}, n AS (SELECT conv_id, turn, 'chats/' || role AS folder, title, row_number() OVER (PARTITION BY role, title ORDER BY conv_id, turn) AS n FROM titles) SELECT conv_id, turn, folder || '/' || title || (CASE WHEN n > 1 THEN '-' || n ELSE '' END) || '.md' AS path FROM n"),
     "capture_types": (capture_types, "SELECT ['markdown', 'text', 'audio', 'image', 'pdf', 'json', 'other'][doc_id % 7 + 1] AS content_type, count(*) AS n FROM documents GROUP BY 1"),
     "marker_block_status": (marker_block_status, f"WITH {_MARKERS} SELECT file_id, status, md5(text) AS md5 FROM t"),

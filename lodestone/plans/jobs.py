@@ -254,10 +254,11 @@ def ingest_exports(spark: SparkSession, raw: DataFrame, root: str, state: str, r
     folder = F.concat("destination", F.lit("/"), F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("undated")))
     old = rows.filter("note_path is not null and __was = destination").withColumn("path", F.col("note_path"))
     new = rows.filter("note_path is null or __was != destination").withColumns({"__base": F.concat(folder, F.lit("/"), safe_title(F.col("title"), F.lit("Untitled"))), "__ext": F.lit(".md")})
-    named = ledger.free_names(new, "__base", "__ext", known.select(F.col("note_path").alias("file_name")), ["created_at", "conversation_id"]).withColumn("path", F.col("file_name"))
+    there = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), note_texts.scalar_fields(note_texts.frontmatter(F.decode("content", "UTF-8")))["content_hash"].alias("__hash")) if _exists(spark, root) else spark.createDataFrame([], "path string, __hash string")
+    taken = known.select(F.col("note_path").alias("file_name")).union(there.select("path"))
+    named = ledger.free_names(new, "__base", "__ext", taken, ["created_at", "conversation_id"]).withColumn("path", F.col("file_name"))
     columns = ["conversation_id", "destination", "path", "text", "content_hash"]
     notes = old.select(columns).unionByName(named.select(columns))
-    there = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), note_texts.scalar_fields(note_texts.frontmatter(F.decode("content", "UTF-8")))["content_hash"].alias("__hash")) if _exists(spark, root) else spark.createDataFrame([], "path string, __hash string")
     notes = notes.join(there, "path", "left").cache()
     total, fresh = notes.count(), notes.filter(~F.col("content_hash").eqNullSafe(F.col("__hash")))
     written = vault.write_texts(fresh, root) if total else 0

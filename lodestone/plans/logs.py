@@ -64,7 +64,7 @@ def daily_overview_rollup(spark, d):
 
 def artifact_collisions(spark, d):
     items = model.ledger(spark, d).select("event_id", F.concat(F.col("event_type"), F.lit("-"), (F.col("run_id") % 10).cast("string")).alias("name"))
-    return ledger.collision_names(items, "name", [F.asc("event_id")], bucket=F.expr("event_id div 100000")).select("event_id", "file_name")
+    return ledger.collision_names(items, "name", ["event_id"], bucket=F.expr("event_id div 100000")).select("event_id", "file_name")
 
 
 def ledger_windows(spark, d):
