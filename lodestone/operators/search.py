@@ -117,7 +117,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
 
     chunks: file_id, rel_path, title, heading_path, text, mtime_ns, fm_journal_date, start_byte, end_byte. With as_of, a
     decaying boost is added for recent files. Only the two legs read the corpus; what follows has 10 k rows at most. With a
-    text index, its postings stand in for the texts.
+    text index, its postings stand in for the texts, and chunks need no text; without it there is no excerpt.
     """
     best = index.topk(query, 5 * k) if index else bm25_topk(chunks, query, 5 * k)
     lex = best.select("file_id", (-F.col("bm25")).alias("lex"))
@@ -130,7 +130,8 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
         age = F.greatest(F.datediff(F.lit(as_of).cast("date"), F.col("effective_date").cast("date")), F.lit(0))
         score = score + recency * F.exp(-F.log(F.lit(2.0)) * age / half_life)
     top = found.withColumn("score", score).orderBy(*order_of_hits()).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order_of_hits()))).withColumn("excerpt", excerpt(F.col("text"), query))
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order_of_hits())))
+    return ranked.withColumn("excerpt", excerpt(F.col("text"), query)) if "text" in chunks.columns else ranked
 
 
 def neighbours(primary: DataFrame, files: DataFrame, outlinks: DataFrame) -> DataFrame:

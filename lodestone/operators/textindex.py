@@ -23,6 +23,14 @@ class TextIndex:
 
     lengths: DataFrame
     postings: DataFrame
+    #: Chunks and tokens in all, where they are known; with segments (see SegmentedIndex) both tables have seg, and postings may have rows that no longer count.
+    totals: tuple[int, int] | None = None
+
+    def plain(self) -> TextIndex:
+        """The index without segments: rows that count."""
+        if "seg" not in self.lengths.columns:
+            return self
+        return TextIndex(self.lengths.drop("seg"), self.postings.join(self.lengths.select("seg", "file_id"), ["seg", "file_id"], "left_semi").drop("seg"), self.totals)
 
     @classmethod
     def build(cls, chunks: DataFrame, columns: tuple[str, ...] = ("heading_path", "text")) -> TextIndex:
@@ -36,27 +44,36 @@ class TextIndex:
 
     def updated(self, chunks: DataFrame, columns: tuple[str, ...] = ("heading_path", "text")) -> TextIndex:
         """The index of these chunks: rows of unchanged ones stay, those of gone or changed ones go, only new and changed chunks are tokenised."""
-        changes = text_index_changes(chunks.select(F.col("file_id").alias("chunk_id"), "chunk_hash"), self.lengths.select(F.col("file_id").alias("chunk_id"), "chunk_hash")).withColumnRenamed("chunk_id", "file_id")
+        old = self.plain()
+        changes = text_index_changes(chunks.select(F.col("file_id").alias("chunk_id"), "chunk_hash"), old.lengths.select(F.col("file_id").alias("chunk_id"), "chunk_hash")).withColumnRenamed("chunk_id", "file_id")
         same, work = changes.filter("action = 'skip'").select("file_id"), changes.filter("action in ('insert', 'update')").select("file_id")
         more = TextIndex.build(chunks.join(work, "file_id", "left_semi"), columns)
         touched = chunks.select("file_id", "mtime_ns").withColumnRenamed("mtime_ns", "__now")
-        lengths = self.lengths.join(same, "file_id", "left_semi").join(touched, "file_id").withColumn("mtime_ns", F.col("__now")).select(self.lengths.columns)
-        return TextIndex(lengths.unionByName(more.lengths), self.postings.join(same, "file_id", "left_semi").unionByName(more.postings))
+        lengths = old.lengths.join(same, "file_id", "left_semi").join(touched, "file_id").withColumn("mtime_ns", F.col("__now")).select(old.lengths.columns)
+        return TextIndex(lengths.unionByName(more.lengths), old.postings.join(same, "file_id", "left_semi").unionByName(more.postings))
 
     def write(self, path: str) -> None:
-        """Both tables as Parquet; postings are sorted by token, so that a search reads few row groups."""
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.postings.repartitionByRange("token", "file_id").sortWithinPartitions("token", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """The whole index as the next generation of a folder (see SegmentedIndex); what this index itself may read from there stays."""
+        from .segments import Generation, SegmentedIndex
+
+        store = SegmentedIndex(self.lengths.sparkSession, path)
+        number, own = store.generation().number + 1, self.plain()
+        rows = store._write_segment(own, number)
+        key = own.lengths.schema["file_id"].dataType.simpleString().replace("bigint", "long")
+        store._finish(Generation(number, {str(number): rows} if rows else {}, [], key=key))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/postings"))
+        from .segments import SegmentedIndex
+
+        return SegmentedIndex(spark, path).index()
 
     def matches(self, query: str) -> DataFrame:
-        """(file_id, hits): chunks that hold the query as one phrase in a field, and how often; a query without tokens matches nothing."""
+        """(file_id, hits, and seg if there are segments): chunks that hold the query as one phrase in a field, and how often; a query without tokens matches nothing."""
+        key = [c for c in ("seg", "file_id") if c in self.postings.columns]
         phrase = query_tokens(query)
         rows = self.postings.filter(F.col("token").isin(sorted(set(phrase)) or [""]))
-        by = rows.groupBy("file_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
+        by = rows.groupBy(*key, "field").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
         # Where the phrase begins if its k-th token stands at p: p - k. Beginnings that all tokens agree on are its places.
 
         def begins_at(k: int, token: str) -> Column:
@@ -64,18 +81,22 @@ class TextIndex:
 
         begins = [begins_at(k, t) for k, t in enumerate(phrase)]
         places = reduce(F.array_intersect, begins) if begins else F.array().cast("array<int>")
-        return by.select("file_id", F.size(places).cast("long").alias("n")).groupBy("file_id").agg(F.sum("n").alias("hits")).filter("hits > 0")
+        return by.select(*key, F.size(places).cast("long").alias("n")).groupBy(*key).agg(F.sum("n").alias("hits")).filter("hits > 0")
 
     def topk(self, query: str, k: int) -> DataFrame:
         """What bm25_topk() finds by reading all texts."""
         found = self.matches(query)
-        stats = self.lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("stats"))
+        found = self.lengths.join(found, [c for c in ("seg", "file_id") if c in found.columns])  # which leaves out rows that no longer count
+        if self.totals:
+            stats = F.struct(F.lit(self.totals[0]).alias("n"), F.lit(self.totals[1] / max(1, self.totals[0])).alias("mean"))
+        else:
+            stats = self.lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("stats")).scalar()
         df = found.agg(F.count(F.lit(1)).alias("df"))
-        rows = self.lengths.join(found, "file_id").withColumns({"stats": stats.scalar(), "df": df.scalar()})
+        rows = found.withColumns({"stats": stats, "df": df.scalar()})
         scored = rows.withColumn("bm25", bm25_score(F.col("stats.n"), F.col("stats.mean"), F.col("df"), F.col("hits"), F.col("length")))
         best = scored.orderBy(F.round("bm25", 9), F.desc("mtime_ns"), "rel_path", "start_byte").limit(k)
         return best.select("file_id", "mtime_ns", "rel_path", "start_byte", "hits", "bm25")
 
     def token_counts(self) -> DataFrame:
         """(token, df, tf): chunks that have it, places where it stands."""
-        return self.postings.groupBy("token").agg(F.countDistinct("file_id").alias("df"), F.sum(F.size("positions")).alias("tf"))
+        return self.plain().postings.groupBy("token").agg(F.countDistinct("file_id").alias("df"), F.sum(F.size("positions")).alias("tf"))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions.text import excerpt, safe_title
 from ..functions.vectors import hash_embed, hash_embedding
 from ..operators import ask, classify, conversations, index, ledger, markdown, search
 from ..operators import notes as note_texts
+from ..operators.segments import SegmentedIndex
 from ..operators.textindex import TextIndex
 from ..sources import logs, vault
 from ..sources.logs import MANIFEST, read_jsonl
@@ -61,30 +63,23 @@ TABLES = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
-    source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+def _state(spark: SparkSession, store: str) -> tuple[int, int]:
+    """The number of the run whose tables are in force and the generation of the text index that goes with it; zeros without any."""
+    pointer = f"{store}/current"
+    if not storage.exists(spark, pointer):
+        return 0, 0
+    parts = F.split("value", ":")
+    last = spark.read.text(pointer).select(parts[0].cast("int").alias("run"), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)).alias("text")).agg(F.max(F.struct("run", "text")).alias("m")).first().m
+    return (last.run, last.text) if last else (0, 0)
 
 
-def _state(spark: SparkSession, store: str) -> int:
-    """The number of the run whose tables are in force; 0 without any."""
-    pointer = f"{store}/current"
-    return int(spark.read.text(pointer).agg(F.max(F.col("value").cast("int")).alias("n")).first().n or 0) if _exists(spark, pointer) else 0
+def _put_in_force(spark: SparkSession, store: str, run: int, text: int) -> None:
+    spark.createDataFrame([(f"{run}:{text}",)], "value string").coalesce(1).write.mode("append").text(f"{store}/current")
 
 
 def vault_tables(spark: SparkSession, store: str, state: int | None = None) -> dict[str, DataFrame]:
     """The tables of index_vault(): files, and of the others the rows that the run wrote which last parsed their file."""
-    state = _state(spark, store) if state is None else state
+    state = _state(spark, store)[0] if state is None else state
     if not state:
         return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
     files = spark.read.schema(TABLES["files"]).parquet(f"{store}/files/state={state}")
@@ -93,27 +88,34 @@ def vault_tables(spark: SparkSession, store: str, state: int | None = None) -> d
     return {"files": files, **rest}
 
 
-def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16", dim: int = 16, most: int = 4000, exclude: list[str] | None = None, full: bool = False, strategy: str = "paragraph_then_window") -> dict[str, int]:
-    """Brings the tables under `store` up to date with the notes under `root` and returns how many files are in each state.
+def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16", dim: int = 16, most: int = 4000, exclude: list[str] | None = None, full: bool = False, strategy: str = "paragraph_then_window", segments: int = 8) -> dict[str, int]:
+    """Brings the tables and the text index under `store` up to date with the notes under `root` and returns how many files are in each state.
 
-    A file is parsed, chunked and embedded again if its content or the settings have changed (its plan's hash says so). Such
-    files alone are written, behind what is there; only the list of files is written whole, and it says which run's rows of
-    a file are in force. A pointer names the list last, so a job that breaks off leaves the old state in force, and a run
-    after it writes its own rows anew. full: everything is built again and what earlier runs wrote is deleted.
+    Files are read once, into a table of the run that holds the content of those to be parsed: a file is parsed, chunked and
+    embedded again if its content or the settings have changed (its plan's hash says so). Such files alone are written,
+    behind what is there, as one more segment of the text index too (see SegmentedIndex; of more than `segments`, small ones
+    are merged); only the list of files is written whole, and it says which run's rows of a file are in force. A pointer
+    names list and index last, so a job that breaks off leaves the old state in force, and a run after it writes its own
+    rows anew. full: everything is built again and what earlier runs wrote is deleted.
     """
     if strategy not in markdown.STRATEGIES:
         raise ValueError(f"no strategy {strategy}; there are {', '.join(markdown.STRATEGIES)}")
-    state = _state(spark, store)
+    state, text = _state(spark, store)
     now, settings = state + 1, {"model": model, "dim": dim, "most": most, "strategy": strategy}
+    full = full or not text  # a store without a text index gets one
     old = vault_tables(spark, store, 0 if full else state)["files"]
-    disk = vault.read_vault(spark, root, exclude)
+    plan = index.plan_hash(F.col("content_hash"), F.lit(""), settings)
+    planned = vault.read_vault(spark, root, exclude).withColumn("plan_hash", plan).join(old.select("rel_path", F.col("plan_hash").alias("__old")), "rel_path", "left")
+    stale = ~F.col("plan_hash").eqNullSafe(F.col("__old"))
+    planned.withColumns({"stale": stale, "content": F.when(stale, F.col("content"))}).drop("__old").write.mode("overwrite").parquet(f"{store}/work/disk")
+    disk = spark.read.parquet(f"{store}/work/disk")
     changes = index.classify_changes(disk, old)
-    planned = disk.select("rel_path", index.plan_hash(F.col("content_hash"), F.lit(""), settings).alias("plan_hash"))
-    work = disk.join(index.stale_plans(planned, old), "rel_path").withColumn("file_id", F.lit(0).cast("long"))
-    parsed = markdown.parse_files(work)
+    work = disk.filter("stale").withColumn("file_id", F.lit(0).cast("long"))
+    markdown.parse_files(work).write.mode("overwrite").parquet(f"{store}/work/parsed")
+    parsed = spark.read.parquet(f"{store}/work/parsed")
     fresh = work.join(parsed.select("rel_path", F.col("journal_date").alias("fm_journal_date")), "rel_path").withColumn("made", F.lit(now))
     made = {
-        "chunks": markdown.chunk_files(work, model, most, strategy=strategy).withColumn("vector", hash_embedding(F.col("text"), dim)),
+        "chunks": markdown.chunk_files(work, model, most, strategy=strategy).withColumn("vector", hash_embedding(F.col("text"), dim)).sortWithinPartitions("rel_path", "ord"),
         "outlinks": parsed.select("rel_path", F.explode("outlinks").alias("l")).select("rel_path", "l.ord", "l.target"),
         "tags": parsed.select("rel_path", F.explode("fm_tags").alias("name"), F.lit("frontmatter").alias("source")).unionByName(parsed.select("rel_path", F.explode("inline_tags").alias("name"), F.lit("inline").alias("source"))).distinct(),
     }
@@ -124,24 +126,47 @@ def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16
     listed = kept.join(fresh.select("rel_path"), "rel_path", "left_anti").unionByName(fresh.select(old.columns))
     listed.write.mode("overwrite").parquet(f"{store}/files/state={now}")
     counts = {r.status: r.n for r in index.status_counts(changes).collect()}
-    spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.mode("append").text(f"{store}/current")
-    _drop(spark, f"{store}/files/state={state - 1}")  # the list before stays for readers that have begun
+    chunks = spark.read.schema(TABLES["chunks"]).parquet(f"{store}/chunks/made={now}").join(fresh.select("rel_path", "mtime_ns"), "rel_path")
+    emptied = changes.filter("status = 'deleted'").select("rel_path").unionByName(fresh.select("rel_path"))
+    touched = disk.join(changes.filter("status = 'touched'"), "rel_path", "left_semi").select("rel_path", "mtime_ns")
+    words = SegmentedIndex(spark, f"{store}/text", segments)
+    words.add(chunks.withColumn("file_id", F.col("chunk_id")), emptied, touched, after=0 if full else text)
+    text = words.merge().number
+    _put_in_force(spark, store, now, text)
+    storage.drop(spark, f"{store}/files/state={state - 1}")  # the list before stays for readers that have begun
+    storage.drop(spark, f"{store}/work")
     if full:
         for k in range(1, now):
             for t in made:
-                _drop(spark, f"{store}/{t}/made={k}")
+                storage.drop(spark, f"{store}/{t}/made={k}")
     return counts
 
 
-def ask_vault(spark: SparkSession, store: str, query: str, dim: int = 16, **how) -> DataFrame:
-    """One row, answer, over the tables of index_vault()."""
-    t = vault_tables(spark, store)
-    files, chunks, links = t["files"], t["chunks"], t["outlinks"]
-    rows = chunks.join(files.select("rel_path", "title", "mtime_ns", "fm_journal_date"), "rel_path").withColumn("file_id", F.col("chunk_id"))
-    whole = files.withColumn("file_id", F.col("rel_path")).join(search.representative_chunk(chunks.withColumn("file_id", F.col("rel_path")).withColumn("line", F.col("ord"))).select("rel_path", "heading_path", "start_byte", "end_byte", "text"), "rel_path")
-    targets = links.select(F.col("rel_path").alias("file_id"), "target")
-    packed = ask_plan(rows, whole, rows.select("file_id", "vector"), targets, query, hash_embed(query, dim), file_key="rel_path", **how)
-    return ask.answer(packed, query)
+def vault_hits(spark: SparkSession, store: str, query: str, dim: int = 16, top_k: int = 10, expand: int = 10) -> DataFrame:
+    """The hits of a question, top_k + expand rows at most, found without reading a text: by the text index, the vectors and the links."""
+    run, text = _state(spark, store)
+    t = vault_tables(spark, store, run)
+    files = t["files"]
+    chunks = t["chunks"].drop("text").join(files.select("rel_path", "title", "mtime_ns", "fm_journal_date"), "rel_path").withColumn("file_id", F.col("chunk_id"))
+    words = SegmentedIndex(spark, f"{store}/text").index(text) if text else None
+    primary = search.hybrid(chunks, chunks.select("file_id", "vector"), query, hash_embed(query, dim), top_k, index=words)
+    seeds = primary.select(F.col("rel_path").alias("file_id"), "title").distinct()
+    near = search.expand_links(seeds, files.withColumn("file_id", F.col("rel_path")), t["outlinks"].select(F.col("rel_path").alias("file_id"), "target"), expand)
+    place = F.min_by(F.struct("heading_path", "start_byte", "end_byte"), F.struct("ord", "start_byte")).alias("p")
+    first = t["chunks"].join(F.broadcast(near.select("rel_path")), "rel_path", "left_semi").groupBy("rel_path").agg(place).select("rel_path", "p.*")  # `expand` rows
+    columns = [c for c in HIT if c != "excerpt"]
+    hits = primary.withColumns({"expanded_context": F.lit(False), "part": F.lit(0)}).select(columns)
+    return hits.unionByName(near.join(first, "rel_path").withColumn("part", F.lit(1)).select(columns))
+
+
+def ask_vault(spark: SparkSession, store: str, query: str, dim: int = 16, top_k: int = 10, expand: int = 10, mode: str = "hybrid", per_file_cap: int = 3, packed_max_chars: int = 8000) -> DataFrame:
+    """One row, answer, over the tables of index_vault(). Texts are read for the hits alone, by their files' paths."""
+    hits = vault_hits(spark, store, query, dim, top_k, expand)
+    found = hits.collect()  # top_k + expand rows
+    chunks = vault_tables(spark, store)["chunks"].filter(F.col("rel_path").isin(sorted({r.rel_path for r in found}) or [""]))
+    texts = chunks.select("rel_path", "start_byte", "end_byte", excerpt(F.col("text"), query).alias("excerpt")).dropDuplicates(["rel_path", "start_byte", "end_byte"])
+    rows = spark.createDataFrame(found, hits.schema).join(texts, ["rel_path", "start_byte", "end_byte"]).select(HIT)
+    return ask.answer(ask.pack(ask.rerank(ask.temporal(rows, mode), per_file_cap), packed_max_chars), query)
 
 
 class InjectedCrash(RuntimeError):
@@ -189,7 +214,7 @@ def write_days(notes: DataFrame, talks: DataFrame, known: DataFrame) -> DataFram
 
 def resume_from(spark: SparkSession, manifest: str, source: str) -> str | None:
     """The last timestamp that the latest run of a source recorded; null without one."""
-    if not _exists(spark, manifest):
+    if not storage.exists(spark, manifest):
         return None
     rows = read_jsonl(spark, manifest, MANIFEST, ["source", "run_id", "created_at"]).filter(F.col("source") == source)
     return rows.agg(F.max("last_successful_item_timestamp").alias("t")).first().t
@@ -228,7 +253,7 @@ def backfill_metadata(spark: SparkSession, root: str, answers: Callable[[DataFra
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, destination, note_path) of a state file, a JSON object by conversation; a file that is missing or broken has none, an entry without destination or path is left out."""
     schema = "conversation_id string, destination string, note_path string"
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], schema)
     entries = "map<string,struct<destination_vault:string,output_note_relpath:string>>"
     rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.expr(f"try_variant_get(try_parse_json(value), '$.conversations', '{entries}')")))
@@ -242,9 +267,9 @@ def ingest_exports(spark: SparkSession, raw: DataFrame, root: str, state: str, r
     one title in one folder get suffixes that no other has. Notes whose content hash stands in the note already are not
     written again. Notes come first and the state is swapped in last, so a broken run is repeated without harm.
     """
-    if not _exists(spark, state) and _exists(spark, f"{state}.new/_SUCCESS"):
-        _rename(spark, f"{state}.new", state)  # a run broke off between the two steps of the swap
-    known = spark.read.schema("conversation_id string, destination string, note_path string").json(state) if _exists(spark, state) else spark.createDataFrame([], "conversation_id string, destination string, note_path string")
+    if not storage.exists(spark, state) and storage.exists(spark, f"{state}.new/_SUCCESS"):
+        storage.rename(spark, f"{state}.new", state)  # a run broke off between the two steps of the swap
+    known = spark.read.schema("conversation_id string, destination string, note_path string").json(state) if storage.exists(spark, state) else spark.createDataFrame([], "conversation_id string, destination string, note_path string")
     turns = raw.select(F.col("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", "m.role", "m.content")
     titled = conversations.conversation_rows(turns).drop("title").join(raw.select(F.col("conversation_id").alias("conv_id"), "title").dropDuplicates(["conv_id"]), "conv_id")
     placed = classify.sticky(classify.destination(titled).select("conv_id", "destination"), known.withColumnRenamed("conversation_id", "conv_id"), reclassify).select("conv_id", "destination")
@@ -254,7 +279,7 @@ def ingest_exports(spark: SparkSession, raw: DataFrame, root: str, state: str, r
     folder = F.concat("destination", F.lit("/"), F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("undated")))
     old = rows.filter("note_path is not null and __was = destination").withColumn("path", F.col("note_path"))
     new = rows.filter("note_path is null or __was != destination").withColumns({"__base": F.concat(folder, F.lit("/"), safe_title(F.col("title"), F.lit("Untitled"))), "__ext": F.lit(".md")})
-    there = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), note_texts.scalar_fields(note_texts.frontmatter(F.decode("content", "UTF-8")))["content_hash"].alias("__hash")) if _exists(spark, root) else spark.createDataFrame([], "path string, __hash string")
+    there = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), note_texts.scalar_fields(note_texts.frontmatter(F.decode("content", "UTF-8")))["content_hash"].alias("__hash")) if storage.exists(spark, root) else spark.createDataFrame([], "path string, __hash string")
     taken = known.select(F.col("note_path").alias("file_name")).union(there.select("path"))
     named = ledger.free_names(new, "__base", "__ext", taken, ["created_at", "conversation_id"]).withColumn("path", F.col("file_name"))
     columns = ["conversation_id", "destination", "path", "text", "content_hash"]
@@ -264,8 +289,8 @@ def ingest_exports(spark: SparkSession, raw: DataFrame, root: str, state: str, r
     written = vault.write_texts(fresh, root) if total else 0
     after = known.join(notes.select("conversation_id"), "conversation_id", "left_anti").unionByName(notes.select("conversation_id", "destination", F.col("path").alias("note_path")))
     after.write.mode("overwrite").json(f"{state}.new")
-    _drop(spark, state)
-    _rename(spark, f"{state}.new", state)
+    storage.drop(spark, state)
+    storage.rename(spark, f"{state}.new", state)
     notes.unpersist()
     return {"conversations": total, "written": written, "unchanged": total - written}
 
