@@ -1,8 +1,10 @@
 """Toxicity (operator 5): a weighted finite-state pattern grammar.
 
-The words' transducer turns a clause into symbols: insult, threat, target, negation, reported speech, other. Four weighted
-transducers read these: one weighs insults and threats, the others what came before them: a target raises, a negation or
-reported speech lowers. They are composed into one machine, whose weights are the products of theirs. A document's features are sums over matched clauses, and a
+The words' transducer turns a clause into symbols: insult, threat, target, negation, reported speech, other. A transducer of
+threats reads these first, holding a verb back until it is seen whom it hits: "I will kill you" is a threat, "you will kill
+time" none. Four weighted transducers read what it writes: one weighs insults and threats, the others what came before
+them: a target raises, a negation or reported speech lowers. They are composed into one machine, whose weights are the
+products of theirs. A document's features are sums over matched clauses, and a
 logistic model of these gives its score. Insult words and stems, with weights, and the model are fitted on labelled rows.
 """
 
@@ -42,6 +44,11 @@ THREATS = (
     | frozenset("umbringen umbringe détruire détruirai punir punirai destruir destruiré herir heriré".split())
 )
 
+# Who speaks, and the verbs that say what somebody is about to do, in the same languages.
+AGENTS = frozenset("i we ill well im ich wir je j nous yo nosotros".split())
+MODALS = frozenset("will ll would shall gonna going should can could want werde werden wird wirst werdet will wollen soll sollte vais vas va allons allez vont veux veut voy vas vamos van quiero quiere".split())
+HELPERS = frozenset("am are is be to a zu".split())
+
 #: Letters of the stems that may stand for all words that begin with them.
 STEMS = range(4, 8)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -121,6 +128,37 @@ CLASS = {**dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(NEGATIONS, NEGATION),
 FEATURES = ("rate", "sum", "most", "clauses", "share")
 
 
+def govern(symbols: list[int], words: list[str]) -> list[tuple[int, int]]:
+    """The symbols as the transducer of threats writes them, each with the place of the word whose weight it has.
+
+    A verb is held back for up to REACH words. If one of them is a target, and the speaker stands up to REACH words before
+    the verb, modals and their helpers not counted (agent, modal, verb, object), the target is written before the verb. If
+    none is, and a target with a modal right behind it stands there, the target is who acts, and the verb is no threat. All
+    else is written as it was read.
+    """
+    out: list[tuple[int, int]] = []
+    moved: set[int] = set()
+    for i, symbol in enumerate(symbols):
+        if symbol != THREAT:
+            out.append((OTHER if i in moved else symbol, i))
+            continue
+        hit = next((k for k in range(i + 1, min(len(symbols), i + 1 + REACH)) if symbols[k] == TARGET and k not in moved), None)
+        before, left = [], REACH
+        for k in range(i - 1, -1, -1):
+            left -= words[k] not in MODALS and words[k] not in HELPERS
+            if left < 0:
+                break
+            before.append(k)
+        if hit is not None and any(words[k] in AGENTS for k in before):
+            out += [(TARGET, hit), (THREAT, i)]
+            moved.add(hit)
+        elif hit is None and any(k and words[k] in MODALS and symbols[k - 1] == TARGET for k in before):
+            out.append((OTHER, i))
+        else:
+            out.append((THREAT, i))
+    return out
+
+
 class Grammar:
     """Scores texts by clauses."""
 
@@ -143,9 +181,13 @@ class Grammar:
     def clause(self, words: list[str]) -> float:
         """The sum over its words of the composed machine's weights times those of the insults; a threat weighs as much as a middling one."""
         row, total, insult, symbol = TABLE[0], 0.0, self.insult, CLASS.get
-        for word in words:
-            weight = insult(word)
-            after, factor = row[INSULT if weight else symbol(word, OTHER)]
+        weights = [insult(w) for w in words]
+        symbols = [INSULT if v else symbol(w, OTHER) for w, v in zip(words, weights, strict=True)]
+        if THREAT in symbols:
+            read = govern(symbols, words)
+            symbols, weights = [s for s, _ in read], [weights[i] for _, i in read]
+        for read, weight in zip(symbols, weights, strict=True):
+            after, factor = row[read]
             if factor:
                 total += factor * (weight or 3.0)
             row = TABLE[after]
