@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -189,7 +190,29 @@ class Scanner:
                         if follow != then:
                             size = shorter or n
                             seeds.setdefault(t, []).append((at - size, at, end - size, end))
-        return len(seen), places, [s for t, own in seeds.items() for s in self._chains(t, own)]
+        return len(seen), places, [s for t, own in seeds.items() for near in self._promising(t, own) for s in self._chains(t, near)]
+
+    def _promising(self, t: int, seeds: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """The seeds in groups that no chain connects, without groups whose seeds together hold too little of the template for any chain.
+
+        A chain counts a word of the template once, so what its group's seeds hold together bounds it.
+        """
+        size, begins, low = len(self.lists[t]), [], len(seeds) and seeds[-1][0]
+        for a, _, _, _ in reversed(seeds):
+            low = min(low, a)
+            begins.append(low)  # the first word of this seed and all behind it
+        begins.reverse()
+        start, end = 0, 0
+        for k in range(len(seeds) + 1):
+            if k == len(seeds) or k > start and begins[k] > end + self.max_gap:
+                held = bytearray(size)
+                for c, d in {s[2:] for s in seeds[start:k]}:
+                    held[c:d] = b"\x01" * (d - c)
+                if sum(held) >= self.cover * size:
+                    yield seeds[start:k]
+                start, end = k, 0
+            if k < len(seeds):
+                end = max(end, seeds[k][1])
 
     def _chains(self, t: int, seeds: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """The chains of seeds (text start, text end, template start, template end) that cover enough, best first, none over another.
