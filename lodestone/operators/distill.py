@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_share, is_salient
 from .notes import BEGIN, CLOSE, daily_block, mark, todo_block
+from .substrings import standing
 
 # What introduces a task, what decides its priority, what tells an entity's kind.
 TRIGGERS = ("need to", "must", "should", "todo:", "action:")
@@ -114,22 +115,12 @@ def proposals(df: DataFrame, key: str = "capture_id", text: str = "text") -> Dat
     return rows.select(key, "ord", "p.artifact_type", "p.title", "p.content", F.round(F.col("own") * F.col("p.share"), 4).alias("confidence"))
 
 
-def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", gram: int = 16) -> DataFrame:
+def new_tasks(found: DataFrame, existing: DataFrame, task: str = "text", todo: str = "todo", gram: int = 16, **sizes) -> DataFrame:
     """Tasks whose text stands in no existing todo text. A null task is new; an empty one stands in any text.
 
-    Distinct tasks and todo texts meet by the task's first `gram` characters, or all of a shorter one, which stand somewhere
-    in any text that holds the task; the whole task is compared after that. Todo texts are cut only to the lengths that
-    tasks have, of which there are gram + 1 at most. A text's own repeated cuts count once.
+    Texts are streamed through automata of the distinct tasks; sizes: see standing(). gram has no effect any more.
     """
-    texts = existing.select(F.col(todo).alias("__todo")).filter("__todo is not null").distinct()
-    start = F.substring(F.col(task), 1, gram)
-    one = found.select(F.col(task).alias("__task"), start.alias("__start")).filter("__task is not null").distinct()
-    lengths = [r.n for r in one.select(F.char_length("__start").alias("n")).distinct().collect()]
-    if not lengths:
-        return found
-    windows = [F.expr(f"transform(sequence(1, greatest(char_length(__todo) - {n - 1}, 1)), i -> substring(__todo, i, {n}))") for n in lengths]
-    keyed = texts.select("__todo", F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("__key"))
-    known = one.join(keyed, (F.col("__start") == F.col("__key")) & F.col("__todo").contains(F.col("__task")), "left_semi").select("__task")
+    known = standing(found, existing, task, todo, **sizes).withColumnRenamed("string", "__task")
     return found.join(known, F.col(task) == F.col("__task"), "left_anti")
 
 
