@@ -208,35 +208,31 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def row_classes(table: DataFrame, item: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Items that stand in the same set of rows, with the same value, as one class: (item, class), and (row, class, value, rows) of the classes.
+def entity_classes(keyed: DataFrame, total: int, support: int) -> DataFrame:
+    """(row, class, own): entities that stand in the same set of rows as one class, own being the number of these rows.
 
-    table: row, item, value, each row and item once; rows is how many rows a class stands in. Sets are told apart by hashes;
-    as the rows of each class are counted then, two sets that share one are found, and other hashes taken.
+    keyed: row, key, each pair once. Entities in fewer than `support` rows, or in all, are left out. Sets are told apart by
+    hashes; as the rows of each class are counted then, two sets that share one are found, and other hashes taken.
     """
     for seed in range(16):
         hashes = [F.bit_xor(F.xxhash64("row", F.lit(1000 * k + seed))).alias(f"h{k}") for k in (0, 1)]
-        sets = table.groupBy(item).agg(F.count(F.lit(1)).alias("rows"), F.first(value).alias(value), *hashes)
-        named = written(sets.select(item, F.xxhash64("rows", value, "h0", "h1", F.lit(seed)).alias("class"), "rows"), "classes")
-        reduced = written(table.join(named, item).select("row", "class", value, "rows").distinct(), "reduced")
-        wrong = reduced.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).filter("n != most")
-        if wrong.isEmpty():
-            return named.select(item, "class"), reduced
+        owners = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("own"), *hashes).filter((F.col("own") >= support) & (F.col("own") < total))
+        found = written(keyed.join(owners.select("key", "own", F.xxhash64("own", "h0", "h1").alias("class")), "key").select("row", "class", "own").distinct(), "classes")
+        if found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).filter("n != own").isEmpty():
+            return found
     raise RuntimeError("hashes of sets of rows collide")
 
 
-#: Pairs of a term and an entity that one task makes of one row.
-ROW_PAIRS = 1 << 20
+#: Entities of a row beyond which its terms are dealt out: a task makes at most so many pairs for each of the row's terms.
+ROW_ENTITIES = 64
 
 
-def row_pairs(terms: DataFrame, entities: DataFrame, most: int = ROW_PAIRS) -> DataFrame:
-    """Each pair of a term and an entity of the same row, joined; a row with more than `most` pairs is dealt out by term to several tasks."""
-    n, m = terms.groupBy("row").agg(F.count(F.lit(1)).alias("__n")), entities.groupBy("row").agg(F.count(F.lit(1)).alias("__m"))
-    heavy = n.join(m, "row").select("row", F.ceil(F.col("__n") * F.col("__m") / most).cast("int").alias("__parts")).filter("__parts > 1")
-    parts = F.coalesce("__parts", F.lit(1))
-    left = terms.join(heavy, "row", "left").withColumn("__part", F.pmod(F.xxhash64("tclass"), parts).cast("int")).drop("__parts")
-    right = entities.join(heavy, "row", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return left.join(right, ["row", "__part"])
+def row_pairs(terms: DataFrame, entities: DataFrame, most: int = ROW_ENTITIES) -> DataFrame:
+    """Each term (row, term, n) with each class of entities (row, class, own) of its row; a row of more than `most` classes is dealt out, by term, to a task for each `most` of them."""
+    parts = entities.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    left = terms.join(parts, "row").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")).drop("parts")
+    right = entities.join(parts, "row").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.join(right, ["row", "part"])
 
 
 def disclosing_terms(found: DataFrame, df: DataFrame, text_col: str = "text", threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:
@@ -244,27 +240,20 @@ def disclosing_terms(found: DataFrame, df: DataFrame, text_col: str = "text", th
 
     found: row, keys, text and base of the rows. An entity in all documents has no information to reveal. Entities and
     terms in fewer than `support` documents, and terms in more than N (n(e) / N) ** threshold, can't pass: they are left out
-    before pairs are made, which changes no result. Entities that stand in the same rows have the same counts, and so have
-    terms: pairs are made of one for each set of rows, so that copies of a long list of people cost no more than a short one.
+    before pairs are made, which changes no result. Entities that stand in the same rows have the same counts, so pairs
+    are made with one for each set of rows: copies of a long list of people cost as much as copies with one.
     """
     total = df.count()
-    keyed = found.filter(F.size("keys") > 0).select("row", F.explode("keys").alias("key"))
-    owners = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("own")).filter((F.col("own") >= support) & (F.col("own") < total))
-    held = written(keyed.join(owners, "key"), "held")
-    _, entities = row_classes(held, "key", "own")
+    entities = entity_classes(found.filter(F.size("keys") > 0).select("row", F.explode("keys").alias("key")), total, support)
     terms = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
     rows = found.join(entities.select("row").distinct(), "row", "left_semi").select("row", "text", "base")
-    known = written(rows.mapInArrow(_terms_of_rows, "row long, term string").join(terms, "term"), "known")
-    often = known.groupBy("term").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support).select("term")
-    named, classes = row_classes(known.join(often, "term", "left_semi"), "term", "n")
+    known = rows.mapInArrow(_terms_of_rows, "row long, term string").join(terms, "term")
     most = F.lit(float(total)) * F.pow(F.col("own") / F.lit(float(total)), F.lit(threshold))
-    made = row_pairs(classes.select("row", F.col("class").alias("tclass"), "n"), entities.select("row", F.col("class").alias("kclass"), "own"))
-    pairs = written(made.filter(F.col("n") <= most * 1.000001).select("row", "kclass", "own", "tclass", "n"), "pairs")
-    both = pairs.groupBy("kclass", "tclass").agg(F.count(F.lit(1)).alias("both"), F.first("own").alias("own"), F.first("n").alias("n"))
+    pairs = written(row_pairs(known, entities).filter(F.col("n") <= most * 1.000001).select("row", "class", "own", "term", "n"), "pairs")
+    both = pairs.groupBy("class", "term").agg(F.count(F.lit(1)).alias("both"), F.first("own").alias("own"), F.first("n").alias("n"))
     ratio = F.log(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("own"))) / F.log(F.lit(float(total)) / F.col("own"))
     telling = both.filter((F.col("both") >= support) & (F.col("both") >= share * F.col("own")) & (ratio >= threshold))
-    told = pairs.join(telling.select("kclass", "tclass"), ["kclass", "tclass"]).select("row", "tclass").distinct()
-    return told.join(named.withColumnRenamed("class", "tclass"), "tclass").select("row", "term")
+    return pairs.join(telling.select("class", "term"), ["class", "term"]).select("row", "term").distinct()
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, share: float = 0.25, support: int = 3) -> DataFrame:

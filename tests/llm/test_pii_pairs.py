@@ -25,7 +25,7 @@ def test_copies_of_a_list_make_few_pairs(spark):
     found = {r.doc_id: sorted((s["start"], s["end"]) for s in r.extra) for r in pii.find_pii(df).collect()}
     want = brute_extra(texts)
     assert found == {k: sorted(want[k]) for k in range(len(texts))} and found[0]
-    assert _made(spark, "pairs") < 4 * 300
+    assert _made(spark, "pairs") <= 4 * 300  # in proportion to the texts
 
 
 def test_lists_that_share_some_people(spark):
@@ -40,8 +40,8 @@ def test_lists_that_share_some_people(spark):
 
 
 def test_heavy_rows_are_dealt_out(spark):
-    terms = spark.range(200).selectExpr("1L as row", "id as tclass", "3L as n").union(spark.range(3).selectExpr("2L", "id", "3L"))
-    entities = spark.range(40).selectExpr("1L as row", "id as kclass", "3L as own").union(spark.range(5).selectExpr("2L", "id", "3L"))
-    got = pii.row_pairs(terms, entities, 500)
-    assert got.select("row", "kclass", "tclass").distinct().count() == got.count() == 200 * 40 + 3 * 5
-    assert got.filter("row = 1").select("__part").distinct().count() == 16
+    terms = spark.range(200).selectExpr("1L as row", "cast(id as string) as term", "3L as n").union(spark.range(3).selectExpr("2L", "cast(id as string)", "3L"))
+    entities = spark.range(40).selectExpr("1L as row", "id as class", "3L as own").union(spark.range(5).selectExpr("2L", "id", "3L"))
+    got = pii.row_pairs(terms, entities, 8)
+    assert got.select("row", "class", "term").distinct().count() == got.count() == 200 * 40 + 3 * 5
+    assert got.filter("row = 1").select("part").distinct().count() == 5 and got.filter("row = 2").select("part").distinct().count() == 1
