@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import storage
 from ..functions.text import excerpt, safe_title
 from ..functions.vectors import hash_embed, hash_embedding
-from ..operators import ask, classify, conversations, index, ledger, markdown, search
+from ..operators import ask, classify, conversations, index, ledger, markdown, review, search
 from ..operators import notes as note_texts
 from ..operators.segments import SegmentedIndex
 from ..operators.textindex import TextIndex
-from ..sources import logs, vault
+from ..sources import appends, logs, vault
 from ..sources.logs import MANIFEST, read_jsonl
 
 
@@ -169,6 +169,23 @@ def ask_vault(spark: SparkSession, store: str, query: str, dim: int = 16, top_k:
     return ask.answer(ask.pack(ask.rerank(ask.temporal(rows, mode), per_file_cap), packed_max_chars), query)
 
 
+def apply_writes(made: DataFrame, root: str, headers: dict[str, str] | None = None, entities_path: str = "entities.json") -> DataFrame:
+    """Appends what distill.writes() gives to the files under root, by write_id, with the bytes of distill.applied(); returns what was written where.
+
+    No file is read whole and no file's blocks meet in one task: see append_texts(). take_back() undoes blocks by their place.
+    """
+    inner = F.expr("substring(inserted_text, 2, char_length(inserted_text) - 2)")
+    blocks = made.select("path", "write_id", F.when(F.col("path") == entities_path, inner).otherwise(F.col("inserted_text")).alias("text"))
+    return appends.append_texts(blocks.filter("text != ''"), root, ["write_id"], headers=headers, arrays=(entities_path,))
+
+
+def apply_review(made: DataFrame, root: str) -> DataFrame:
+    """Writes what review.dispatch() gives under root, with the texts of review.files_after(): appended by proposal_id, or whole files, of several for one path the last; returns what was appended where."""
+    whole = made.filter("mode = 'create'").groupBy("path").agg(F.max_by("text", "proposal_id").alias("text"))
+    vault.write_texts(whole, root)
+    return appends.append_texts(made.filter("mode = 'append'"), root, ["proposal_id"], separator="", headers="header", arrays=(review.ENTITIES,), comma=", ")
+
+
 class InjectedCrash(RuntimeError):
     """Raised by sync_transcripts() on request, between two days."""
 

@@ -121,36 +121,36 @@ def _close(root: str) -> Callable:
     return run
 
 
-def append_texts(df: DataFrame, root: str, order: list[str], path: str = "path", text: str = "text", separator: str = "\n", headers: dict[str, str] | None = None, arrays: tuple[str, ...] = (), close: bool = True) -> DataFrame:
+def append_texts(df: DataFrame, root: str, order: list[str], path: str = "path", text: str = "text", separator: str = "\n", headers: dict[str, str] | str | None = None, arrays: tuple[str, ...] = (), comma: str = ",", close: bool = True) -> DataFrame:
     """Appends the texts to the files root/path, in the order (columns that tell blocks of a file apart); returns what was written where.
 
     The table, which stays under root/.appends, has path, offset, size, digest (of the bytes, separator included) and the
     order's columns. Blocks are parted from what stands before them by the separator; a file that isn't there begins with
-    its header instead. arrays: paths that are JSON arrays, whose texts are elements, joined by commas before the closing
-    bracket; one that is no array begins anew. A null text is an empty block. close: without it the journals stay, as if the
+    its header instead (headers: by path, or the name of a column). arrays: paths that are JSON arrays, whose texts are
+    elements, joined by the comma before the closing bracket; one that is no array begins anew. A null text is an empty block. close: without it the journals stay, as if the
     run had broken off.
     """
     spark = df.sparkSession
     os.makedirs(root, exist_ok=True)
     folder = os.path.join(root, ".appends", uuid.uuid4().hex)
-    rows = df.select(F.col(path).alias("path"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    header = F.col(headers) if isinstance(headers, str) else F.lit("")
+    for p, h in (headers.items() if isinstance(headers, dict) else ()):
+        header = F.when(F.col(path) == p, h).otherwise(header)
+    rows = df.select(F.col(path).alias("path"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(header, F.lit("")).alias("header"))
     dealt = rows.repartitionByRange("path", *order).sortWithinPartitions("path", *order).withColumn("part", F.spark_partition_id())
     dealt.write.parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     blocks.select("path").distinct().mapInArrow(_open(root, set(arrays)), "path string, base long, filled boolean").write.parquet(f"{folder}/targets")
     targets = spark.read.parquet(f"{folder}/targets")
     array = F.col("path").isin(*arrays) if arrays else F.lit(False)
-    header = F.lit("")
-    for p, h in (headers or {}).items():
-        header = F.when(F.col("path") == p, h).otherwise(header)
     within = Window.partitionBy("path", "part").orderBy(*order)
     ends = blocks.groupBy("path").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     own = blocks.join(ends, "path").join(targets, "path")
     own = own.withColumns({"n": F.row_number().over(within), "m": F.count(F.lit(1)).over(Window.partitionBy("path", "part"))})
     first, last = (F.col("n") == 1) & (F.col("part") == F.col("low")), (F.col("n") == F.col("m")) & (F.col("part") == F.col("high"))
-    between = F.when(array, ",").otherwise(separator)
+    between = F.when(array, comma).otherwise(separator)
     opening = F.when(array & (F.col("base") == 0), "[").otherwise("")
-    lead = F.when(first, F.concat(opening, F.when(F.col("filled") & ~(array & (F.col("base") == 0)), between).otherwise(F.when(array, "").otherwise(header)))).otherwise(between)
+    lead = F.when(first, F.concat(opening, F.when(F.col("filled") & ~(array & (F.col("base") == 0)), between).otherwise(F.when(array, "").otherwise(F.col("header"))))).otherwise(between)
     pieces = own.withColumn("data", F.concat(lead, "text", F.when(last & array, "]").otherwise("")).cast("binary")).withColumn("size", F.octet_length("data").cast("long"))
     sums = pieces.groupBy("path", "part").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import distill, review
+from lodestone.plans import jobs
 from lodestone.sources import appends
 
 
@@ -63,3 +65,30 @@ def test_json_arrays(spark, tmp_path):
     got = {n: json.loads((tmp_path / n).read_text()) for n in names}
     assert got == {"empty": [7, 8], "blank": [7, 8], "none": [7, 8], "some": [1, 2, 7, 8], "far": [1, 7, 8], "new": [7, 8]}
     assert appends.append_texts(rows.limit(0), root, ["k"]).count() == 0
+
+
+def test_distilled_and_reviewed_writes_are_the_same_bytes(spark, tmp_path):
+    """The files that jobs append to equal the texts that the operators give."""
+    root = str(tmp_path)
+    items = spark.createDataFrame([(f"w{k}", f"c{k}", f"Met Alice{k}. Project Tower{k % 2}\nTODO: call the bank {k % 3}\nI must sleep {k}.") for k in range(6)], "write_id string, capture_id string, text string")
+    old = {"todo.md": "# Todo\ncall the bank 1\n", "entities.json": '[{"name": "Met", "kind": "TOPIC"}]'}
+    for name, text in old.items():
+        (tmp_path / name).write_text(text)
+    files = spark.createDataFrame(list(old.items()), "path string, text string")
+    known = spark.createDataFrame([("Met", "TOPIC")], "name string, kind string")
+    made = distill.writes(items, files, known, "2024-01-02", "10:00", "daily.md").cache()
+    want = {r.path: r.text for r in distill.applied(files, made, {"daily.md": "# Day\n"}).collect()}
+    done = jobs.apply_writes(made, root, {"daily.md": "# Day\n"})
+    assert {p: (tmp_path / p).read_text() for p in want} == want and set(want) == {"daily.md", "todo.md", "entities.json"} and done.count() == made.count()
+    assert appends.take_back(spark, root, done.filter("path = 'daily.md'")).filter("undone").count() == 6 and (tmp_path / "daily.md").read_text() == ""
+
+    schema = "proposal_id string, artifact_type string, title string, content string, destination string"
+    rows = [("p1", "task", None, "pay", "x"), ("p2", "task", "T", "sleep", "x"), ("p3", "principle", "P", "be kind", "x"), ("p4", "memory", None, "sun", "x"), ("p5", "decision", None, "go", "x"), ("p6", "entity", "Ann", "who", "x"), ("p7", "entity", "Bo", '{"name": "Bo"}', "x"), ("p8", "note", "N", "text", ""), ("p9", "other", "N", "raw", "o.txt")]
+    made = review.dispatch(spark.createDataFrame(rows, schema), "2024-01-02")
+    old = {review.TODO: "# Tasks\n\n- [ ] old\n", review.ENTITIES: "{broken"}
+    for name, text in old.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    want = {r.path: r.text for r in review.files_after(spark.createDataFrame(list(old.items()), "path string, text string"), made).collect()}
+    jobs.apply_review(made, root)
+    assert {p: (tmp_path / p).read_text() for p in want} == want and len(want) == 7
