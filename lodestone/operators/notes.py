@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +98,29 @@ def transcript_text(note_body: Column) -> Column:
     return F.trim(F.when(found == "", note_body).otherwise(found))
 
 
+def _literals(texts: pd.Series) -> pd.Series:
+    def one(value: str | None) -> str | None:
+        if not value or not value.lstrip().startswith("{"):
+            return None
+        try:
+            found = ast.literal_eval(value.strip())
+            return json.dumps(found) if isinstance(found, dict) else None
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return pd.Series([one(v) for v in texts], dtype=object)
+
+
+def literal_json(text: Column) -> Column:
+    """A text that is a dictionary in Python's notation (single quotes, True, None, tuples), as JSON; null for others."""
+    return F.pandas_udf(_literals, "string")(text)
+
+
 def tolerant_json(text: Column) -> Column:
-    """A JSON object as a variant from what a model answers: fenced, wrapped in words, short of braces, with curly quotes or trailing commas; else null."""
+    """A JSON object as a variant from what a model answers: fenced, wrapped in words, short of braces, with curly quotes or trailing commas, as a JSON string of itself, or in Python's notation; else null.
+
+    Python reads only the texts that all else fails on.
+    """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\s﻿]+|\\s+$", "")
     unfenced = F.regexp_replace(bare, r"(?s)\A```[^\n]*\n(.*)\n```\z", "$1")
     inner = F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1)
@@ -105,8 +130,12 @@ def tolerant_json(text: Column) -> Column:
         plain = F.regexp_replace(F.translate(x, "“”‘’", "\"\"''"), r",\s*([}\]])", "$1")
         return [x, F.when(F.ltrim(x).startswith("{"), F.concat(x, F.repeat(F.lit("}"), missing))), plain]
 
-    tries = [F.try_parse_json(c) for x in (bare, unfenced, F.nullif(inner, F.lit(""))) for c in fixes(x)]
-    return F.coalesce(*[F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in tries])
+    candidates = (bare, unfenced, F.nullif(inner, F.lit("")))
+    tries = [F.try_parse_json(c) for x in candidates for c in fixes(x)]
+    tries += [F.try_parse_json(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))) for v in map(F.try_parse_json, (bare, unfenced))]
+    objects = [F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in tries]
+    rest = [F.try_parse_json(literal_json(F.when(F.coalesce(*objects).isNull() & F.contains(x, F.lit("{")), x))) for x in candidates]
+    return F.coalesce(*objects, *[F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in rest])
 
 
 def clean_sentence(text: Column) -> Column:

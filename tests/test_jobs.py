@@ -204,3 +204,16 @@ def test_routed_and_distilled(spark, tmp_path):
     rows = review.from_artifacts(logs.read_distilled(spark, str(tmp_path), "2024-01-02"), "2024-01-02").orderBy("capture_id", "ord").collect()
     assert [(r.capture_id, r.artifact_type, r.confidence) for r in rows] == [("c0", "note", 0.5), ("c0", "task", 0.45), ("c0", "entity", 0.4), ("c1", "note", 0.5)]
     assert rows[0].source_file == "10_derived/distill/2024-01-02/d.json" and len({r.proposal_id for r in rows}) == 4
+
+
+def test_answers_in_pythons_notation(spark):
+    """Dictionaries in single quotes, with what JSON lacks, and JSON that is itself a string; braces inside strings."""
+    cases = {
+        "{'a': 1}": 1, "so: {'a': 1, 'b': [True, None, (2, 3)],} ok": 1, "```python\n{'a': 1}\n```": 1, "{'a': 1, 'b': 'it\\'s {'}": 1, '{"a": 1, "b": "}{{"}': 1, json.dumps('{"a": 1}'): 1,
+        "{'a': 1": None, "['a']": None, "{1, 2}": None, "{'a': f()}": None, "{'a': " * 50: None, "'a'": None, "{'a': b'x'}": None, "{": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(notes.tolerant_json(F.col("t")).alias("v")).selectExpr("try_variant_get(v, '$.a', 'int')").collect()]
+    assert got == list(cases.values())
+    nested = df.filter("k = 1").select(notes.tolerant_json(F.col("t")).alias("v")).selectExpr("to_json(v)").first()[0]
+    assert json.loads(nested) == {"a": 1, "b": [True, None, [2, 3]]}
