@@ -40,6 +40,40 @@ def review_fold(queue: DataFrame, actions: DataFrame) -> DataFrame:
     return queue.join(last, "item_id", "left").select("item_id", status.alias("status"), F.coalesce("defers", F.lit(0)).alias("defer_count"), F.col("changed").alias("status_changed"))
 
 
+# The keys of a review session.
+KEYS = {"a": "approve", "v": "veto", "c": "correct", "d": "defer", "q": "quit"}
+
+
+def session_actions(queue: DataFrame, keys: DataFrame, by: str, limit: int | None = None) -> DataFrame:
+    """(by, item_id, seq, action): what review sessions do, one for each value of `by`.
+
+    queue: by, item_id, seq, status; keys: by, pos, key, as pressed. A session goes through its pending items by seq, at most
+    `limit` of them (none or 0: all); each known key, whatever its case, decides one item, others do nothing. The first quit
+    ends it, and so do keys or items that run out. seq of the result numbers a session's actions from 1.
+    """
+    own = Window.partitionBy(by)
+    known = F.create_map(*[F.lit(x) for kv in KEYS.items() for x in kv])
+    pressed = keys.select(by, "pos", F.try_element_at(known, F.lower("key")).alias("action")).filter("action is not null")
+    pressed = pressed.withColumn("n", F.row_number().over(own.orderBy("pos")))
+    ended = F.min(F.when(F.col("action") == "quit", F.col("n"))).over(own)
+    pressed = pressed.withColumn("__end", ended).filter("__end is null or n < __end").drop("__end")
+    items = queue.filter("status = 'pending'").withColumn("n", F.row_number().over(own.orderBy("seq", "item_id")))
+    items = items.filter(F.col("n") <= limit) if limit else items
+    return items.select(by, "item_id", "n").join(pressed.select(by, "n", "action"), [by, "n"]).select(by, "item_id", F.col("n").alias("seq"), "action")
+
+
+def review_session(queue: DataFrame, keys: DataFrame, by: str, limit: int | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The queue's items (item_id, status, defer_count, status_changed) after the sessions, and what each session did: (by, approved, vetoed, corrected, deferred).
+
+    A dry run counts, but leaves every item as it was.
+    """
+    actions = session_actions(queue, keys, by, limit)
+    told = actions.groupBy(by).agg(*[F.count_if(F.col("action") == a).alias(s) for a, s in STATUS.items()])
+    state = review_fold(queue, actions.limit(0) if dry_run else actions)
+    kept = queue.select("item_id", F.col("status").alias("__was"))
+    return state.join(kept, "item_id").withColumn("status", F.when(F.col("status") == "pending", F.col("__was")).otherwise(F.col("status"))).drop("__was"), told
+
+
 def review_tallies(actions: DataFrame) -> DataFrame:
     return actions.agg(*[F.count_if(F.col("action") == a).alias(s) for a, s in STATUS.items()])
 
