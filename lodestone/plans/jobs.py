@@ -135,6 +135,7 @@ def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16
     _put_in_force(spark, store, now, text)
     storage.drop(spark, f"{store}/files/state={state - 1}")  # the list before stays for readers that have begun
     storage.drop(spark, f"{store}/work")
+    _sweep(spark, store, [now] if full else [state, now])
     if full:
         for k in range(1, now):
             for t in made:
@@ -142,6 +143,48 @@ def index_vault(spark: SparkSession, root: str, store: str, model: str = "sha-16
     return counts
 
 
+def _sweep(spark: SparkSession, store: str, states: list[int]) -> None:
+    """Deletes the folders of runs that none of the lists of files names."""
+    lists = [spark.read.schema(TABLES["files"]).parquet(f"{store}/files/state={k}") for k in states if storage.exists(spark, f"{store}/files/state={k}")]
+    named = {r.made for df in lists for r in df.select("made").distinct().collect()}
+    for t in TABLES:
+        for name in storage.names(spark, f"{store}/{t}") if t != "files" else ():
+            made = name.removeprefix("made=")
+            if made != name and int(made) <= max(states) and int(made) not in named:
+                storage.drop(spark, f"{store}/{t}/{name}")
+
+
+def compact_vault(spark: SparkSession, store: str, most_runs: int = 16) -> list[int]:
+    """Puts the rows in force of runs of which less than half still count into one new run, or those of all runs but the largest if there are more than `most_runs`; returns the runs.
+
+    Only the rows of these runs are read and written. The new list of files is named last, as in index_vault(); the list
+    before and the rows it names stay for readers that have begun, what neither of the two names is deleted.
+    """
+    run, text = _state(spark, store)
+    tables = vault_tables(spark, store, run)
+    stored = {r.made: r.n for r in spark.read.option("basePath", f"{store}/chunks").parquet(f"{store}/chunks").groupBy("made").agg(F.count(F.lit(1)).alias("n")).collect()} if run else {}
+    counted = {r.made: r.n for r in tables["chunks"].join(tables["files"].select("rel_path", "made"), "rel_path").groupBy("made").agg(F.count(F.lit(1)).alias("n")).collect()} if run else {}
+    runs = [m for m, in tables["files"].select("made").distinct().collect()]
+    picked = [m for m in runs if 2 * counted.get(m, 0) < stored.get(m, 0)]
+    if len(runs) > most_runs:
+        picked = sorted(set(picked) | set(sorted(runs, key=lambda m: stored.get(m, 0))[:-1]))
+    if not picked:
+        return []
+    now = run + 1
+    own = tables["files"].filter(F.col("made").isin(picked)).select("rel_path")
+    for t, schema in TABLES.items():
+        if t != "files":
+            columns = [c.split()[0] for c in schema.split(", ")]
+            rows = tables[t].join(own, "rel_path", "left_semi").select(columns)
+            (rows.sortWithinPartitions("rel_path", "ord") if "ord" in columns else rows).write.mode("overwrite").parquet(f"{store}/{t}/made={now}")
+    moved = tables["files"].withColumn("made", F.when(F.col("made").isin(picked), now).otherwise(F.col("made")).cast("int"))
+    moved.write.mode("overwrite").parquet(f"{store}/files/state={now}")
+    _put_in_force(spark, store, now, text)
+    _sweep(spark, store, [run, now])
+    storage.drop(spark, f"{store}/files/state={run - 1}")
+    return picked
+
+
 def vault_hits(spark: SparkSession, store: str, query: str, dim: int = 16, top_k: int = 10, expand: int = 10) -> DataFrame:
     """The hits of a question, top_k + expand rows at most, found without reading a text: by the text index, the vectors and the links."""
     run, text = _state(spark, store)

@@ -148,3 +148,26 @@ def test_a_vault_is_read_once(spark, tmp_path):
     assert len(scans) == 1
     texts = [r.text for r in jobs.vault_tables(spark, store)["chunks"].collect()]
     assert texts == ["# A\nred\n"] and jobs.index_vault(spark, root, store) == {"changed": 1}
+
+
+def test_stored_rows_stay_in_proportion(spark, tmp_path):
+    """Runs that still count for little are merged, without parsing a file again; the state before stays readable."""
+    root, store = str(tmp_path / "vault"), str(tmp_path / "store")
+    os.makedirs(root)
+    for k in range(6):
+        (tmp_path / "vault" / f"n{k}.md").write_text(f"# N{k}\nold {k} [[n0]]\n")
+    jobs.index_vault(spark, root, store)
+    for k in range(4):
+        (tmp_path / "vault" / f"n{k}.md").write_text(f"# N{k}\nnew {k} [[n1]]\n")
+        jobs.index_vault(spark, root, store)
+    before = jobs.vault_tables(spark, store)
+    want = {t: sorted(map(repr, df.drop("made").collect())) for t, df in before.items()}
+    assert jobs.compact_vault(spark, store, most_runs=3) == [1, 2, 3, 4, 5] and jobs.compact_vault(spark, store) == []
+    assert {t: sorted(map(repr, df.drop("made").collect())) for t, df in jobs.vault_tables(spark, store).items()} == want
+    assert {t: sorted(map(repr, df.drop("made").collect())) for t, df in before.items()} == want  # a reader that began earlier
+    assert "new 3" in jobs.ask_vault(spark, store, "new 3", top_k=1).first().answer
+    (tmp_path / "vault" / "n5.md").write_text("# N5\nlast\n")
+    assert jobs.index_vault(spark, root, store) == {"changed": 1, "unchanged": 5}
+    kept = sorted(n for n in os.listdir(f"{store}/chunks") if n.startswith("made="))
+    stored = spark.read.parquet(f"{store}/chunks").count()
+    assert kept == ["made=6", "made=7"] and stored <= 2 * jobs.vault_tables(spark, store)["chunks"].count()
