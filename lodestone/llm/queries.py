@@ -28,10 +28,12 @@ def vocabulary(name: str) -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the personal data found in its whole text: counts by kind, a digest of the patterns' spans, all spans with those of disclosing terms."""
     return pii.pii_digests(documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the row that stays of its equal texts, how many there are, whether it stays itself, and the digest of its normalised text."""
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -43,10 +45,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 1024 tokens."""
     return pack_documents(documents(spark, sf_dir), vocabulary(VOCABULARY))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its score by a model of the labels that aren't held out."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     scored = toxicity.score(docs, model)
@@ -54,15 +58,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its shard of eight of nearly equal bytes, and its number there; equal texts stay together."""
     out = shard(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document digests and a feature of its text stored as sound, read back from the stored columns."""
     return media.features(media.pcm(media.store(documents(spark, sf_dir))))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each conversation, and one of control strings alone, what is read back from its formatted text and its loss mask."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -70,10 +77,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its words, the places of the phrases, the labels of phrases and of templates that chains cover, and a score."""
     return licenses.scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its fingerprint and the smallest id that links of fingerprints reach."""
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -128,8 +137,23 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law.crossJoin(whole)  # one row and one row
 
 
+def packing_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_best_fit_packing promises, as one row: each document begins once, its pieces follow each other and all but the first are full, sequences are gapless from 0 and hold 1024 tokens at most."""
+    placed = op4_best_fit_packing(spark, sf_dir)
+    own = placed.groupBy("doc_id").agg(F.count_if((F.col("piece") > 0) & (F.col("length") != 1024)).alias("short"), F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("length").alias("tokens"), F.max(F.col("start") + F.col("length")).alias("end"))
+    whole = own.agg(F.count(F.lit(1)).alias("documents"), F.every((F.col("short") == 0) & (F.col("n") == F.col("pieces")) & (F.col("last") == F.col("n") - 1) & (F.col("tokens") == F.col("end"))).alias("whole"))
+    bins = placed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"), F.countDistinct("offset").alias("places"), F.count(F.lit(1)).alias("n"))
+    law = bins.agg(F.every(F.col("tokens") <= 1024).alias("within_capacity"), F.every((F.col("tokens") == F.col("end")) & (F.col("first") == 0) & (F.col("places") == F.col("n"))).alias("gapless"))
+    return whole.crossJoin(law)  # one row and one row
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op13_whitening that SQL can express."""
+    return op13_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash, op11_periodic_runs, op12_token_counts, op13_whitening, media_payloads, license_phrases, shard_law)
+    own = (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_media, op8_chat, op9_licenses, op10_simhash, op11_periodic_runs, op12_token_counts, op13_whitening, media_payloads, license_phrases, shard_law, packing_law, whitening_deviations)
     return {f.__name__: f for f in own}
 
 
@@ -153,6 +177,10 @@ def _license_sql() -> str:
 _MEDIA_SQL = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n, (CASE WHEN octet_length(raw) = 0 THEN 64 ELSE (64 - octet_length(raw) % 64) % 64 END)::BIGINT AS more FROM b)
     SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(raw || from_hex(repeat('00', more))) AS payload_sha256 FROM p"""
 _SHARD_SQL = "SELECT count(*) AS rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, 8::BIGINT AS shards, true AS near_equal, true AS gapless, 0::BIGINT AS cut FROM documents"
+_PACKING_SQL = "SELECT count(*) AS documents, true AS whole, true AS within_capacity, true AS gapless FROM documents"
+_WHITENING_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: (floor(64 * c::DOUBLE) + 1000000)::HUGEINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda c: c IS NULL OR NOT isfinite(c)))),
+    u AS (SELECT DISTINCT x FROM v), n AS (SELECT count(*) AS n FROM u), e AS (SELECT unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM u), s AS (SELECT list(t ORDER BY pos) AS s FROM (SELECT pos, sum(c) AS t FROM e GROUP BY pos))
+    SELECT vec_id, n::BIGINT AS n, list_sum(list_transform(list_zip(x, s), lambda p: (n * p[1] - p[2]) * (n * p[1] - p[2])))::BIGINT AS deviation FROM v, n, s"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -161,6 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "media_payloads": _MEDIA_SQL,
         "license_phrases": _license_sql(),
         "shard_law": _SHARD_SQL,
+        "packing_law": _PACKING_SQL,
+        "whitening_deviations": _WHITENING_SQL,
         "op2_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOW} AS low FROM documents),
             g AS (SELECT low, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY low)

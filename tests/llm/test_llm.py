@@ -845,7 +845,7 @@ def test_sql_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, DATA)
