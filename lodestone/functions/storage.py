@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's path in spark.checkpoint.dir, which driver and executors share; where that is unset, a local session gets one of this process, any other has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or _own_dir()).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+
+
 def _at(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import storage
 from ..functions.text import excerpt
 from ..functions.vectors import hash_embed, hash_embedding, weighted_mean
 from ..operators import ask, search
+from ..operators.segments import SegmentedIndex
 from ..operators.textindex import TextIndex
 from . import jobs
 
@@ -56,6 +58,18 @@ def fts_index_search(spark, d):
     return _best(TextIndex.build(then).updated(now).topk(PHRASE, 20))
 
 
+def fts_segments_search(spark, d):
+    """The same search on an index of segments: one of the chunks as they were, one of what has changed since, and both merged."""
+    then, now = _versions(spark, d)
+    store = SegmentedIndex(spark, storage.work_folder(spark))
+    store.add(then)
+    old = then.select("rel_path", F.col("chunk_hash").alias("was"))
+    changed = now.join(old, "rel_path", "left").filter(~F.col("chunk_hash").eqNullSafe(F.col("was"))).drop("was")
+    store.add(changed, then.select("rel_path").join(now.select("rel_path"), "rel_path", "left_anti"))
+    store.merge(everything=True)
+    return _best(store.index().topk(PHRASE, 20))
+
+
 def _token_sql(where: str) -> str:
     return f"""{model.with_sql("files")}, {_BM25.split("counted AS")[0].rstrip().rstrip(",")}, w AS (SELECT file_id, unnest(list_concat(h, t)) AS token FROM tk {where})
         SELECT token, count(DISTINCT file_id) AS df, count(*) AS tf FROM w GROUP BY token"""
@@ -317,6 +331,7 @@ QUERIES = {
     "fts_index_build": (fts_index_build, _token_sql("")),
     "fts_index_update": (fts_index_update, _token_sql("WHERE file_id % 6 != 3")),
     "fts_index_search": (fts_index_search, f"{_F}, {_BM25.replace('FROM files)', 'FROM files WHERE file_id % 6 != 3)', 1)} SELECT file_id, rel_path, hits, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm.bm25, 9), mtime_ns DESC, rel_path LIMIT 20"),
+    "fts_segments_search": (fts_segments_search, f"{_F}, {_BM25.replace('FROM files)', 'FROM files WHERE file_id % 6 != 3)', 1)} SELECT file_id, rel_path, hits, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm.bm25, 9), mtime_ns DESC, rel_path LIMIT 20"),
     "session_pins_join": (session_pins_join, f"{_F} SELECT file_id AS pos, rel_path, size_bytes AS end_byte, content_hash FROM files JOIN labels ON doc_id = file_id WHERE quality = 1"),
     "weighted_mean_vector": (weighted_mean_vector, "WITH e AS (SELECT label AS model, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos, vec_id % 5 + 1 AS w FROM embeddings) SELECT model, pos::INT AS pos, round(sum(v * w) / sum(w), 6) AS x FROM e GROUP BY model, pos"),
     "sha_embed_text": (sha_embed_text, f"""{_F}, b AS (SELECT file_id, sha256(from_hex('00000000') || encode(text)) AS h0, sha256(from_hex('01000000') || encode(text)) AS h1 FROM files),
