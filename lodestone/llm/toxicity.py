@@ -180,16 +180,25 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         """The sum over its words of the composed machine's weights times those of the insults; a threat weighs as much as a middling one."""
+        if not THREATS.isdisjoint(words):
+            return self._governed(words)
         row, total, insult, symbol = TABLE[0], 0.0, self.insult, CLASS.get
-        weights = [insult(w) for w in words]
-        symbols = [INSULT if v else symbol(w, OTHER) for w, v in zip(words, weights, strict=True)]
-        if THREAT in symbols:
-            read = govern(symbols, words)
-            symbols, weights = [s for s, _ in read], [weights[i] for _, i in read]
-        for read, weight in zip(symbols, weights, strict=True):
-            after, factor = row[read]
+        for word in words:
+            weight = insult(word)
+            after, factor = row[INSULT if weight else symbol(word, OTHER)]
             if factor:
-                total += factor * (weight or 3.0)
+                total += factor * weight
+            row = TABLE[after]
+        return total
+
+    def _governed(self, words: list[str]) -> float:
+        """The same of a clause with words of threats, through their transducer."""
+        weights = [self.insult(w) for w in words]
+        symbols = [INSULT if v else CLASS.get(w, OTHER) for w, v in zip(words, weights, strict=True)]
+        row, total = TABLE[0], 0.0
+        for symbol, i in govern(symbols, words):
+            after, factor = row[symbol]
+            total += factor * (weights[i] or 3.0)
             row = TABLE[after]
         return total
 
