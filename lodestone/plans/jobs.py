@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
@@ -283,21 +283,32 @@ def resume_from(spark: SparkSession, manifest: str, source: str) -> str | None:
 def backfill_metadata(spark: SparkSession, root: str, answers: Callable[[DataFrame], DataFrame], version: int, log: str, run_id: str, limit: int | None = None, batch: int = 1_000, dry_run: bool = False) -> dict[str, int]:
     """Generates the metadata that notes under root lack: in order of their paths, at most `limit` notes, `batch` at a time, with a progress event for each.
 
-    answers gives (path, text) a column answer, as a model would; only notes that want one are asked about. A batch's notes
+    Notes are read once, into a table in order of their paths; each batch reads its own part of it. answers gives (path,
+    text) a column answer, as a model would; only notes that want one are asked about. A batch's notes
     are written before its event, and notes that are up to date are passed over, so a broken run is simply repeated.
     Returns how many notes have each status.
     """
-    notes = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), F.decode("content", "UTF-8").alias("text")).orderBy("path")
-    paths = [r.path for r in (notes.limit(limit) if limit is not None else notes).select("path").collect()]  # names alone
+    work = storage.work_folder(spark)
+    notes = vault.read_vault(spark, root).select(F.col("rel_path").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    dealt = notes.repartitionByRange("path").sortWithinPartitions("path").withColumn("__p", F.spark_partition_id())
+    dealt.write.parquet(f"{work}/notes")
+    rows = spark.read.parquet(f"{work}/notes")
+    before = F.coalesce(F.sum("m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("m")).withColumn("before", before).select("__p", "before")  # a row for each task
+    numbered = rows.join(F.broadcast(places), "__p").withColumn("n", F.row_number().over(Window.partitionBy("__p").orderBy("path")) + F.col("before") - 1)
+    numbered = numbered.filter(F.col("n") < limit) if limit is not None else numbered
+    numbered.select("path", "text", F.expr(f"cast(n div {batch} as int)").alias("part")).write.partitionBy("part").parquet(f"{work}/parts")
+    parts = spark.read.schema("path string, text string, part int").parquet(f"{work}/parts")
+    total = parts.count()
     counts: dict[str, int] = {}
 
     def tell(status: str, done: int) -> None:
-        payload = F.create_map(*[F.lit(x) for x in ("status", status, "processed", str(done), "total", str(len(paths)))])
+        payload = F.create_map(*[F.lit(x) for x in ("status", status, "processed", str(done), "total", str(total))])
         logs.append_events(spark.range(1).select(F.lit("METADATA_BACKFILL_PROGRESS").alias("event_type"), F.lit(None).cast("string").alias("capture_id"), payload.alias("payload")), log, run_id)
 
     tell("started", 0)
-    for at in range(0, len(paths), batch):
-        own = notes.filter((F.col("path") >= paths[at]) & (F.col("path") <= paths[min(at + batch, len(paths)) - 1]))
+    for at in range(0, total, batch):
+        own = parts.filter(F.col("part") == at // batch).drop("part")
         waiting = note_texts.metadata_workflow(own.withColumn("answer", F.lit(None).cast("string")), version, dry_run=dry_run).filter("status = 'waiting'").select("path")
         asked = answers(own.join(waiting, "path", "left_semi")).select("path", "answer")
         made = note_texts.metadata_workflow(own.join(asked, "path", "left"), version, dry_run=dry_run).cache()
@@ -305,8 +316,9 @@ def backfill_metadata(spark: SparkSession, root: str, answers: Callable[[DataFra
             counts[r.status] = counts.get(r.status, 0) + r["count"]
         vault.write_texts(made.filter("status = 'generated'"), root)
         made.unpersist()
-        tell("running", min(at + batch, len(paths)))
-    tell("completed", len(paths))
+        tell("running", min(at + batch, total))
+    tell("completed", total)
+    storage.drop(spark, work)
     return counts
 
 

@@ -217,3 +217,19 @@ def test_answers_in_pythons_notation(spark):
     assert got == list(cases.values())
     nested = df.filter("k = 1").select(notes.tolerant_json(F.col("t")).alias("v")).selectExpr("to_json(v)").first()[0]
     assert json.loads(nested) == {"a": 1, "b": [True, None, [2, 3]]}
+
+
+def test_backfill_reads_notes_once(spark, tmp_path, monkeypatch):
+    root, log = str(tmp_path / "notes"), str(tmp_path / "log")
+    put(root, **{f"n{k}": f"---\ncontent_hash: h{k}\n---\n## Transcript\n\nhello {k}\n" for k in range(5)})
+    real, scans = vault.read_vault, []
+    monkeypatch.setattr(jobs.vault, "read_vault", lambda *a, **k: scans.append(a) or real(*a, **k))
+    seen = []
+
+    def answers(notes):
+        seen.append(sorted(r.path for r in notes.collect()))
+        return notes.withColumn("answer", F.lit("no"))
+
+    assert jobs.backfill_metadata(spark, root, answers, 1, log, "r", batch=2) == {"json_parse_failed": 5}
+    assert len(scans) == 1 and seen == [["n0.md", "n1.md"], ["n2.md", "n3.md"], ["n4.md"]]
+    assert jobs.backfill_metadata(spark, root, answers, 1, log, "r", limit=0) == {} and len(seen) == 3
