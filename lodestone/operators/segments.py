@@ -153,7 +153,8 @@ class SegmentedIndex:
         number = old.number + 1
         parts = Generation(old.number, {s: old.segments[s] for s in picked}, old.changes, key=old.key)
         live = self.lengths(parts)
-        postings = self._read("postings", POSTINGS, parts).join(live.select("seg", "file_id"), ["seg", "file_id"], "left_semi")
+        # Chunks are far fewer than postings: hashed, so that postings aren't sorted before they are sorted by token.
+        postings = self._read("postings", POSTINGS, parts).join(live.select("seg", "file_id").hint("shuffle_hash"), ["seg", "file_id"], "left_semi")
         rows = self._write_segment(TextIndex(live.drop("seg"), postings.drop("seg")), number)
         rest = {s: n for s, n in old.segments.items() if s not in picked} | ({str(number): rows} if rows else {})
         # A list of changes only speaks of segments before it.
