@@ -52,3 +52,14 @@ def test_tasks_end_with_the_last_that_counts(spark):
     text = "\n".join(f"you must do part {k}" if k % 2 else "nothing" for k in range(40))
     got = spark.createDataFrame([(text,)], "text string").select(distill.tasks(F.col("text")).alias("t")).first().t
     assert [t.text for t in got] == [f"do part {k}" for k in range(1, 14, 2)]
+
+
+def test_writes_read_the_texts_once(spark):
+    items = spark.createDataFrame([("w", "c1", "You must call Anna\nand Bob"), ("v", "c2", "you must call Anna")], "write_id string, capture_id string, text string")
+    todo = spark.createDataFrame([("todo.md", "nothing")], "path string, text string")
+    known = spark.createDataFrame([("bob", "TOPIC")], "name string, kind string")
+    made = distill.writes(items, todo, known, "2024-01-02", "10:00", "daily.md")
+    assert "split(" not in planned(made)
+    got = {(r.capture_id, r.path): r.inserted_text for r in made.collect()}
+    assert set(got) == {("c1", "daily.md"), ("c2", "daily.md"), ("c1", "todo.md"), ("c1", "entities.json")}
+    assert "- [ ] [MED] call Anna" in got["c1", "todo.md"] and "Anna" in got["c1", "entities.json"]
