@@ -63,3 +63,19 @@ def test_writes_read_the_texts_once(spark):
     got = {(r.capture_id, r.path): r.inserted_text for r in made.collect()}
     assert set(got) == {("c1", "daily.md"), ("c2", "daily.md"), ("c1", "todo.md"), ("c1", "entities.json")}
     assert "- [ ] [MED] call Anna" in got["c1", "todo.md"] and "Anna" in got["c1", "entities.json"]
+
+
+def test_new_tasks_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    texts = [("a", "you must call Anna"), ("b", "you must call Bob\nyou must go home"), ("c", "nothing")]
+    noted_texts = spark.createDataFrame(texts, "id string, text string").mapInArrow(noted, "id string, text string")
+    found = noted_texts.select("id", F.posexplode(distill.tasks(F.col("text"))).alias("pos", "t")).select("id", "pos", "t.text")
+    fresh = distill.new_tasks(found, spark.createDataFrame([("- call Anna",), (None,)], "todo string"))
+    assert fresh.columns == ["id", "pos", "text"] and sorted(map(tuple, fresh.collect())) == [("b", 0, "call Bob"), ("b", 1, "go home")]
+    assert made.value == len(texts)
